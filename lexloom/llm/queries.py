@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, token_count, url_filter, url_labels
+from lexloom.llm import language_id, packing, token_count, url_filter, url_labels
 from lexloom.llm.common import table
 
 
@@ -66,11 +66,16 @@ FROM c, w
 """
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op4_token_count": op4_token_count,
         "op7_url_filter": op7_url_filter,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
