@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, packing, token_count, url_filter, url_labels
+from lexloom.llm import language_id, packing, pii, pii_labels, token_count, url_filter, url_labels
 from lexloom.llm.common import table
 
 
@@ -28,6 +28,19 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@lru_cache(1)
+def pii_model() -> pii.CrfModel:
+    return pii.train(pii_labels.labelled_rows())
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"), pii_model())
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -74,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op4_token_count": op4_token_count,
+        "op5_pii": op5_pii,
         "op7_url_filter": op7_url_filter,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
