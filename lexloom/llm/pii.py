@@ -128,7 +128,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def train(rows: list[list[tuple[str, str]]], epochs: int = 12, rate: float = 0.3, decay: float = 2e-3) -> CrfModel:
+def train(rows: list[list[tuple[str, str]]], epochs: int = 8, rate: float = 0.3, decay: float = 2e-3) -> CrfModel:
     """Maximum likelihood by gradient ascent, a sentence at a time (Adagrad); deterministic."""
     tags = ("O", *[f"{p}-{k}" for k in pii_labels.KINDS for p in "BI"])
     number = {t: i for i, t in enumerate(tags)}

@@ -45,6 +45,33 @@ def _turned(token: str, k: int) -> str:
     return "".join(out)
 
 
+SYLLABLES = ("an", "the", "ou", "re", "st", "ing", "tion", "ver", "ach", "eau", "qu", "os", "la", "er", "nd", "ment", "é", "ü", "ció", "ge")
+MARKS = ("", "", "", "", ",", ".", "***", "!!", "###", ".***", "|")
+LINKS = ("at", "dot", "to", "or", "is", "and", "of", "mail", "write", "number", "call", "key", "token", "=", "AT", "contact")
+
+
+def plain_rows(count: int = 220) -> list[list[tuple[str, str]]]:
+    """Invented prose with cue words strewn in, sometimes with a word many times over; nothing in it is private."""
+    state, rows = 12345, []
+
+    def turn(n: int) -> int:
+        nonlocal state
+        state = (state * 1103515245 + 12345) % 2147483648
+        return (state >> 8) % n
+
+    for _ in range(count):
+        row: list[str] = []
+        while len(row) < 10 + turn(12):
+            if turn(4) == 0:
+                word = LINKS[turn(len(LINKS))]
+            else:
+                word = "".join(SYLLABLES[turn(len(SYLLABLES))] for _ in range(1 + turn(5)))
+                word = (word, word, word.capitalize(), word.upper())[turn(4)]
+            row += [word + MARKS[turn(len(MARKS))]] * (1 if turn(9) else 2 + turn(14))
+        rows.append([(t, "O") for t in row])
+    return rows
+
+
 def labelled_rows(copies: int = 6) -> list[list[tuple[str, str]]]:
     rows = []
     names = {"n": "national", "o": "obfuscated", "s": "secret"}
@@ -63,4 +90,4 @@ def labelled_rows(copies: int = 6) -> list[list[tuple[str, str]]]:
                 kind = "" if ends else kind
             rows.append(row)
         rows += [[(t, "O") for t in text.split()] for text in PLAIN]
-    return rows
+    return rows + plain_rows()
