@@ -34,3 +34,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: one pass over one column."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()["b"]
+
+
+def numbered(docs: DataFrame, columns: dict[str, str], tag: str) -> DataFrame:
+    """A written table with a unique ``rid`` for each row and the named columns (new name: old name), so that rows with
+    null or repeated ids stay apart and every later read sees the same numbers."""
+    return written(docs.select(*[F.col(old).alias(new) for new, old in columns.items()]).withColumn("rid", F.monotonically_increasing_id()), tag)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, packing, pii, pii_labels, token_count, url_filter, url_labels
+from lexloom.llm import jaccard_join, language_id, packing, pii, pii_labels, token_count, url_filter, url_labels
 from lexloom.llm.common import table
 
 
@@ -79,6 +79,10 @@ FROM c, w
 """
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_count": op4_token_count,
         "op5_pii": op5_pii,
         "op7_url_filter": op7_url_filter,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
