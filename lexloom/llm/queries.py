@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, jaccard_join, language_id, packing, pii, pii_labels, token_count, url_filter, url_labels
+from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phrase_dedup, pii, pii_labels, token_count, url_filter, url_labels
 from lexloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -94,6 +98,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_phrase_dedup": op3_phrase_dedup,
         "op4_token_count": op4_token_count,
         "op5_pii": op5_pii,
         "op6_decontaminate": op6_decontaminate,
