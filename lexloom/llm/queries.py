@@ -13,6 +13,9 @@ from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phras
 from lexloom.llm.common import table
 
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
 def fold_of(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5
 
@@ -92,7 +95,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY, capacity=2048, end_id=0)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -105,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": op7_url_filter,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "pipeline": pipeline,
     }
 
 
