@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phrase_dedup, pii, pii_labels, token_count, url_filter, url_labels
+from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phrase_dedup, pii, pii_labels, token_count, url_filter, url_labels, weighted_sampling
 from lexloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprint_edits(table(spark, sf_dir, "documents"), samples=32)
+
+
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_weighted_sampling": op2_weighted_sampling,
         "op3_phrase_dedup": op3_phrase_dedup,
         "op4_token_count": op4_token_count,
         "op5_pii": op5_pii,
