@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phrase_dedup, pii, pii_labels, token_count, url_filter, url_labels, weighted_sampling
+from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phrase_dedup, pii, pii_labels, suffix_dedup, token_count, url_filter, url_labels, weighted_sampling
 from lexloom.llm.common import table
 
 
@@ -102,6 +102,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY, capacity=2048, end_id=0)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": op7_url_filter,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_suffix_dedup": op10_suffix_dedup,
         "pipeline": pipeline,
     }
 
