@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lexloom.plans import queries as registered
+
 
 def queries() -> dict:
-    return {}
+    return dict(registered.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registered.SQL)
