@@ -35,7 +35,7 @@ def bce_term(x: Column, y: Column, positive_weight: float) -> Column:
 def loss(logits: DataFrame, hits: DataFrame, weights: DataFrame, positive_weight: float = 1.0, scale: float = 1.0) -> DataFrame:
     """One row, loss: the mean over all (position, slot) pairs; slots without a hit count as 0, with no dense target made.
     logits(seq, vocab_id, value), hits(seq, vocab_id, hits), weights(seq, loss_weight)."""
-    y = F.coalesce(F.least("hits", F.lit(1)), F.lit(0)).cast("double")
+    y = F.least(F.coalesce("hits", F.lit(0)), F.lit(1)).cast("double")  # least() passes over nulls
     joined = logits.join(hits, ["seq", "vocab_id"], "left").join(weights, "seq")
     return joined.agg((F.avg(bce_term(F.col("value"), y, positive_weight) * F.col("loss_weight")) * scale).alias("loss"))
 
