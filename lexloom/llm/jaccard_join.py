@@ -153,13 +153,13 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-TILES = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("links", pa.int64()), ("whole", pa.bool_())])
+TILES = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64()), ("whole", pa.bool_())])
 
 
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        groups: dict[tuple, dict[bytes, tuple]] = {}
-        cols = [table.column(c).to_pylist() for c in ("component", "i", "j", "key", "tile", "copies", "grams", "tiles")]
+        groups: dict[tuple, dict[int, tuple]] = {}
+        cols = [table.column(c).to_pylist() for c in ("component", "i", "j", "rid", "tile", "copies", "grams", "tiles")]
         for comp, i, j, key, tile, copies, grams, tiles in zip(*cols):
             groups.setdefault((comp, i, j, tiles), {})[key] = (tile, copies, np.frombuffer(grams, np.uint64))
         out: list[list] = [[], [], [], []]
@@ -198,24 +198,25 @@ def _classes(rows: DataFrame, config: JaccardConfig) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType.simpleString()
     signed = written(rows.select("rid", "text", "doc_id").mapInArrow(_signatures(config), f"rid bigint, doc_id {id_type}, key binary, bands array<bigint>"), "signatures")
     full = signed.where("key is not null")
-    # one node for each different set; bands are a function of the key
+    # one node for each different set, named by its least row; bands are a function of the set
     nodes = full.groupBy("key").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"))
-    banded = full.join(nodes.select("rid"), "rid", "left_semi").select("key", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").drop("last")
-    met = banded.join(hubs, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    grouped = components(met, "candidates").select(F.col("node").alias("key"), "component")
+    banded = full.join(nodes.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
+    hubs = banded.groupBy("bucket").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub <> last").drop("last")
+    met = banded.join(hubs, "bucket").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
+    grouped = components(met, "candidates").select(F.col("node").alias("rid"), "component")
     sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    members = written(grouped.join(sizes, "component").join(nodes, "key").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")), "members")
+    members = written(grouped.join(sizes, "component").join(nodes.select("rid", "copies"), "rid").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")), "members")
     dealt = max(1, members.count() // DEALT)
-    sets = rows.select("rid", "text").join(members, "rid").mapInArrow(_sets(config.n), "rid bigint, key binary, component binary, tiles int, copies bigint, tile int, grams binary")
+    # always by a shuffle, so that the plan is the same at every size
+    sets = rows.select("rid", "text").join(members.hint("merge"), "rid").mapInArrow(_sets(config.n), "rid bigint, component bigint, tiles int, copies bigint, tile int, grams binary")
     spread = sets.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
     spread = spread.withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
     spread = spread.withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(dealt))).otherwise(F.xxhash64("component", "i", "j")))
-    checked = written(spread.groupBy("task").applyInArrow(_verify(config.threshold), "key binary, other binary, links bigint, whole boolean"), "verified")
-    links = checked.groupBy("key").agg(F.sum("links").alias("links"), F.min("other").alias("other"), F.first("whole").alias("whole"))
-    apart = components(checked.where("not whole and key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")), "classes")
-    linked = links.join(apart, links["key"] == apart["node"], "left").select("key", "links", F.coalesce("component", F.when(F.col("whole"), F.col("other")), "key").alias("class"))
-    of_key = nodes.select("key", "copies").join(linked, "key", "left").select("key", F.coalesce("class", "key").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    checked = written(spread.groupBy("task").applyInArrow(_verify(config.threshold), "node bigint, other bigint, links bigint, whole boolean"), "verified")
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("other").alias("other"), F.first("whole").alias("whole"))
+    apart = components(checked.where("not whole and node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")), "classes").withColumnRenamed("node", "rid")
+    linked = links.withColumnRenamed("node", "rid").join(apart, "rid", "left").select("rid", "links", F.coalesce("component", F.when(F.col("whole"), F.col("other")), "rid").alias("class"))
+    of_key = nodes.join(linked, "rid", "left").select("key", F.coalesce("class", "rid").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_row = full.select("rid", "doc_id", "key").join(of_key, "key")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     firsts = of_row.groupBy("class").agg(F.min(order).alias("f")).select("class", F.col("f.doc_id").alias("class_id"), F.col("f.rid").alias("first_rid"))
