@@ -24,19 +24,20 @@ def training_rows(df: DataFrame, keys: list[str], text_col: str, config: SplitCo
     """keys, pos, word, target, is_eot, loss_weight: each word with the next as its target. The shift is made inside each
     row's word array, so that nothing is shuffled."""
     words = text_to_words(trigrams.prepared(F.col(text_col), config.lowercase, True))
-    pairs = df.select(*keys, words.alias("w")).select(*keys, F.col("w"), F.posexplode(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("pos", "word"))
-    target = F.get(F.col("w"), F.col("pos") + 1)
+    pairs = df.select(*keys, words.alias("__w")).select(*keys, "__w", F.posexplode(F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 1, F.lit(0)))).alias("pos", "word"))
+    target = F.get(F.col("__w"), F.col("pos") + 1)
     return pairs.where(F.col("pos") < config.sequence_length).select(*keys, "pos", "word", target.alias("target"), (target == config.end_of_text).alias("is_eot"), F.lit(1.0).alias("loss_weight"))
 
 
 def weighted_training_rows(parts: DataFrame, keys: list[str], part_col: str, text_col: str, weight_col: str, config: SplitConfig) -> DataFrame:
     """training_rows over parts that follow each other: a target has its own part's weight. All parts of a sample meet in one array."""
     words = text_to_words(trigrams.prepared(F.col(text_col), config.lowercase, True))
-    each = parts.select(*keys, F.struct(F.col(part_col).alias("p"), F.transform(words, lambda w: F.struct(w.alias("word"), F.col(weight_col).cast("double").alias("weight"))).alias("w")).alias("s"))
-    whole = each.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["w"])).alias("w"))
-    pairs = whole.select(*keys, "w", F.posexplode(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("pos", "now"))
-    target = F.get(F.col("w"), F.col("pos") + 1)
-    return pairs.where(F.col("pos") < config.sequence_length).select(*keys, "pos", F.col("now.word").alias("word"), target["word"].alias("target"), (target["word"] == config.end_of_text).alias("is_eot"), target["weight"].alias("loss_weight"))
+    weighted = F.transform(words, lambda w: F.struct(w.alias("word"), F.col(weight_col).cast("double").alias("weight")))
+    each = parts.select(*keys, F.struct(F.col(part_col).alias("p"), weighted.alias("w")).alias("__s"))
+    whole = each.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("__s")), lambda s: s["w"])).alias("__w"))
+    pairs = whole.select(*keys, "__w", F.posexplode(F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 1, F.lit(0)))).alias("pos", "__now"))
+    target = F.get(F.col("__w"), F.col("pos") + 1)
+    return pairs.where(F.col("pos") < config.sequence_length).select(*keys, "pos", F.col("__now.word").alias("word"), target["word"].alias("target"), (target["word"] == config.end_of_text).alias("is_eot"), target["weight"].alias("loss_weight"))
 
 
 def padded(rows: DataFrame, keys: list[str], length: int) -> DataFrame:

@@ -60,8 +60,9 @@ def as_numbers(payload_col: str, dtype: str) -> F.Column:
     if np.dtype(dtype) != np.dtype("int32"):
         raise ValueError("only int32 payloads have a number form; uint8 payloads are texts")
     count = F.floor(F.octet_length(payload_col) / 4).cast("int")
-    word = lambda i: F.conv(F.hex(F.concat(*[F.substr(F.col(payload_col), i * 4 + 4 - b, F.lit(1)) for b in range(4)])), 16, 10).cast("bigint").cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), word)).otherwise(F.array().cast("array<int>"))
+    word = lambda i: F.conv(F.hex(F.concat(*[F.substr(F.col(payload_col), i * 4 + 4 - b, F.lit(1)) for b in range(4)])), 16, 10).cast("bigint")
+    signed = lambda i: F.when(word(i) >= 1 << 31, word(i) - (1 << 32)).otherwise(word(i)).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), signed)).otherwise(F.array().cast("array<int>"))
 
 
 def write_documents(docs: DataFrame, base: str, shard_col: str = "shard", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
