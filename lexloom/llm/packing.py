@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import written
 
 #: words, and pieces of words, in each generation that a Python worker keeps
-CACHE = 300_000
+CACHE = 600_000
 SHARD_PIECES = 30_000
 FAN_IN = 64
 #: bins filled below this part of a sequence are packed again across shards
@@ -45,23 +45,23 @@ UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ſ]|<\\|")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t\n\v\f\r \xa0{_L}{_N}]+")
 
 
-class _Kept(dict):
-    """Keeps what was looked up in the last two generations of CACHE entries; what goes is made again when needed."""
+class _Kept:
+    """What was looked up in the last two generations of CACHE entries; what goes is made again when needed. Plain dicts:
+    a set's difference with a subclass of dict would walk through all of it."""
 
     def __init__(self):
-        super().__init__()
+        self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def ready(self, keys: set[str], make) -> None:
-        new = keys.difference(self)
-        if len(self) + len(new) > CACHE:
-            self.older = dict(self)
-            self.clear()
+        new = keys.difference(self.now)
+        if len(self.now) + len(new) > CACHE:
+            self.older, self.now = self.now, {}
             new = keys
         old = self.older
-        self.update((k, old[k]) for k in new if k in old)
+        self.now.update((k, old[k]) for k in new if k in old)
         if rest := [k for k in new if k not in old]:
-            self.update(zip(rest, make(rest)))
+            self.now.update(zip(rest, make(rest)))
 
 
 class WordTokenizer:
@@ -97,7 +97,7 @@ class WordTokenizer:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         split = [PIECES.findall(w) for w in words]
         self.pieces.ready(set().union(*split), self._encode_pieces)
-        get = self.pieces.__getitem__
+        get = self.pieces.now.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -114,7 +114,7 @@ class WordTokenizer:
             split = {i: texts[i].lower().split() for i in range(start, end) if out[i] is None}
             if split:
                 self.words.ready(set().union(*split.values()), self._encode_words)
-                get = self.words.__getitem__
+                get = self.words.now.__getitem__
                 for i, words in split.items():
                     out[i] = b"".join(map(get, words))
             start = end
