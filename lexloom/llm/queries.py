@@ -103,7 +103,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,5 +129,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _covered_sql(window: int) -> str:
+    """Common table expressions: w (doc_id, list of words), c (doc_id, position of each word inside a repeated window)."""
+    return f"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM w WHERE len(w) >= {window})),
+r AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS p FROM k JOIN r USING (h))"""
+
+
+OP3_SQL = f"""WITH {_covered_sql(35)},
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w) ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM l WHERE l.a = reach.a) AS n_links FROM reach GROUP BY a"""
+
+OP10_SQL = f"""WITH {_covered_sql(50)},
+i AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM c),
+s AS (SELECT doc_id, min(p) - 1 AS a, max(p) AS b FROM i GROUP BY doc_id, island),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(spans, '') AS spans FROM w LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _op7_sql()}
+    """The other methods (compression, gamma samples, an automaton over a vocabulary file, a trained model, a decomposition, a
+    search) have no SQL form; tests hold them against brute force."""
+    return {"op3_phrase_dedup": OP3_SQL, "op7_url_filter": _op7_sql(), "op8_jaccard_join": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
