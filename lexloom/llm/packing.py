@@ -265,6 +265,23 @@ def _drain(bins: _Bins, a: int) -> None:
                     break
         return found
 
+    def make_room(x: tuple[int, int]) -> bool:
+        """Exchanges one for one between two other bins so that x fits into one of them, then moves it there."""
+        most = max((capacity - bins.fill[b] for b in under), default=0)
+        for b in under:
+            need = x[0] - (capacity - bins.fill[b])
+            for item in list(bins.items[b]) if 0 < need <= most else ():
+                for less in range(item[0] - need, max(0, item[0] - most - 1), -1):
+                    gain = item[0] - less
+                    for c in holders.get(less, ()):
+                        if c != b and capacity - bins.fill[c] >= gain and bins.fill[c] + gain > bins.fill[b]:
+                            back = next(y for y in bins.items[c] if y[0] == less)
+                            update(c, [back], [item])
+                            update(b, [item], [back, x])
+                            take([x], [])
+                            return True
+        return False
+
     changed = True
     while changed and bins.items[a]:
         changed = False
@@ -288,6 +305,8 @@ def _drain(bins: _Bins, a: int) -> None:
                 take(out, [back])
                 changed = True
                 break
+        if not changed:
+            changed = make_room(min(bins.items[a]))
     if bins.items[a]:
         bins._place(a)
 

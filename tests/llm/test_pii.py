@@ -1,0 +1,87 @@
+import random
+import re
+
+from lexloom.llm import pii, pii_labels, queries
+
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            bad = {"email": False, "ip": any(int(p) > 255 for p in m[0].split(".")) if kind == "ip" else False, "card": not (16 <= len(digits) <= 19 and pii.luhn(digits)), "phone": not 8 <= len(digits) <= 15}[kind]
+            if not bad:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_against_plain_patterns():
+    rng = random.Random(9)
+    for _ in range(20_000):
+        t = "".join(rng.choice("aB1239..@@+-() 5é") for _ in range(rng.randint(0, 45)))
+        assert pii.base_spans(t) == plain(t), t
+    t = "x 4111 1111 1111 1111 y +1 (017) 555-7713 z a.b@c.de 10.0.0.255 300.1.1.1"
+    assert [s[0] for s in pii.base_spans(t)] == ["email", "ip", "card", "phone"]
+
+
+def test_long_runs_are_linear():
+    assert pii.base_spans("a" * 400_000 + "1" * 400_000) == []
+
+
+def test_model_on_its_table_and_beyond():
+    model = queries.pii_model()
+    decoder = pii.Decoder(model)
+    wrong = 0
+    rows = pii_labels.labelled_rows(8)
+    for row in rows:
+        tags = decoder.tags([[t for t, _ in row]])[0]
+        got = [0] * len(row) if tags is None else tags.tolist()
+        wrong += [model.tags[i] for i in got] != [y for _, y in row]
+    assert wrong <= 0.03 * len(rows)
+    found = pii.find_all(["Please call (555) 123-4567 now.", "token = \"9a8b7c6d5e4f30211203f4e5d6c7b8a9\" is mine", "the weather is fine and all is well"], decoder)
+    assert [[s[0] for s in x] for x in found] == [["national"], ["secret"], []]
+
+
+def test_viterbi_against_enumeration():
+    import itertools
+
+    import numpy as np
+
+    model = queries.pii_model()
+    decoder = pii.Decoder(model)
+    rng = random.Random(2)
+    vocabulary = ["call", "(555)", "123-4567", "at", "dot", "com", "key", "=", "ab12cd34ef56ab78", "the", "Ou"]
+    for _ in range(12):
+        tokens = [rng.choice(vocabulary) for _ in range(rng.randint(1, 4))]
+        got = decoder.tags([tokens])[0]
+        got = [0] * len(tokens) if got is None else got.tolist()
+
+        def score(y, tokens=tokens):
+            s = model.start[y[0]]
+            for i, k in enumerate(y):
+                s += model.tables(tokens[i])[0, k]
+                s += model.tables(tokens[i - 1])[1, k] if i else 0
+                s += model.tables(tokens[i + 1])[2, k] if i + 1 < len(tokens) else 0
+                s += model.transitions[y[i - 1], k] if i else 0
+            return s
+
+        best = max(itertools.product(range(len(model.tags)), repeat=len(tokens)), key=score)
+        assert np.isclose(score(got), score(best), atol=1e-3)
+
+
+def test_base_spans_stay_and_mask(spark, make_docs):
+    texts = ["mail a.b@c.de or +1 (017) 555-7713 today", None, "", "nothing"]
+    docs = make_docs(spark, texts)
+    got = {r.doc_id: r.spans for r in pii.find_spans(docs, queries.pii_model()).collect()}
+    base = pii.base_spans(texts[0])
+    assert [tuple(s) for s in got[0] if s.kind in pii.BASE_KINDS] == base
+    masked = pii.mask(docs, queries.pii_model())
+    assert masked.columns == docs.columns
+    assert {r.doc_id: r.text for r in masked.collect()} == {0: "mail <email> or <phone> today", 1: None, 2: "", 3: "nothing"}
