@@ -2,7 +2,7 @@
 
 Documents are read as overlapping passages. For each block of benchmark items:
 
-1. a pass counts in how many passages each benchmark term occurs (terms that no item has cannot match one and enter the
+1. a pass cuts texts into words and writes those that are benchmark terms as numbers; another counts in how many passages each benchmark term occurs (terms that no item has cannot match one and enter the
    passage norms only);
 2. two passes give a randomised singular value decomposition of the TF-IDF matrix of all passages and, with a heavy
    weight, the items: the range of A'A on a random basis, then the Gram matrix in that range. Partial sums of terms by
@@ -21,13 +21,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 500_000
+from lexloom.llm.common import written
+
 CHUNK = 200
 WIDTH = 16
 
@@ -49,26 +51,22 @@ class DecontaminateConfig:
     seed: int = 5
 
 
-TRIM = re.compile(r"^[\W_]+|[\W_]+$")
+WORD = re.compile(r"[^\W_]+")
 
 
-def term(token: str) -> str:
-    return TRIM.sub("", token.lower())
+def tokens(text: str | None) -> list[str]:
+    """Runs of letters and digits, in lower case."""
+    return WORD.findall(text.lower()) if text else []
 
 
-class Terms(dict):
-    """Raw token to term number, -1 for terms that are not in the vocabulary, -2 for tokens without letter or digit."""
+def number_type(vocabulary: dict[str, int]) -> str:
+    return "<i2" if len(vocabulary) < 1 << 15 else "<i4"
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        t = term(token)
-        n = self[token] = self.vocabulary.get(t, -1) if t else -2
-        return n
+def encoded(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
+    """The text's words as term numbers, -1 where the vocabulary lacks a word."""
+    found = tokens(text)
+    return np.fromiter(map(vocabulary.get, found, repeat(-1)), number_type(vocabulary), len(found))
 
 
 @dataclass(frozen=True)
@@ -79,40 +77,50 @@ class Item:
 
 
 class Passages:
-    """The passages of some texts: distinct (passage, term) pairs in order, and counts of unknown words."""
+    """The passages of some texts: distinct (passage, term) pairs in order, and counts of unknown words. A passage is two
+    neighbouring blocks of half a window. Only terms that keep marks are paired; ids has each text's words as term numbers."""
 
-    def __init__(self, texts: list[str | None], terms: Terms, size: int, window: int):
+    def __init__(self, ids: list[np.ndarray], size: int, window: int, keep: np.ndarray | None = None):
         half = window // 2
-        self.ids = [np.fromiter(map(terms.__getitem__, w), np.int64, len(w)) for w in (t.split() if t else [] for t in texts)]
-        self.ids = [x[x > -2] for x in self.ids]
-        lengths = np.array([len(x) for x in self.ids], np.int64)
-        counts = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - window) // half)), 0)
+        lengths = np.array([len(x) for x in ids], np.int64)
+        every = np.concatenate(ids).astype(np.int32) if len(ids) else np.empty(0, np.int32)
+        self.every, self.ends = every, np.cumsum(lengths)
+        blocks = -(-lengths // half)
+        counts = np.maximum(blocks - 1, blocks > 0)
         self.base = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.count = int(self.base[-1])
-        self.doc = np.repeat(np.arange(len(texts)), counts)
-        every = np.concatenate(self.ids) if self.count else np.empty(0, np.int64)
-        doc = np.repeat(np.arange(len(texts)), lengths)
-        pos = np.arange(len(every)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        block = pos // half
-        keys, self.unknown = [], np.zeros(self.count, np.int64)
+        self.doc = np.repeat(np.arange(len(ids)), counts)
+        known = np.flatnonzero(every >= 0 if keep is None else keep[every] & (every >= 0))
+        of = lambda at: np.searchsorted(self.ends, at, side="right")
+        doc = of(known)
+        block = (known - (self.ends - lengths)[doc]) // half
+        keys = []
         for back in (0, 1):
             b = block - back
             ok = (b >= 0) & (b < counts[doc])
-            passage = self.base[doc[ok]] + b[ok]
-            known = every[ok] >= 0
-            keys.append(passage[known] * size + every[ok][known])
-            self.unknown += np.bincount(passage[~known], minlength=self.count)
+            keys.append((self.base[doc[ok]] + b[ok]) * size + every[known[ok]])
         pairs = np.unique(np.concatenate(keys))
         self.passage, self.term = pairs // size, pairs % size
+        # unknown words by block, then by passage
+        first = np.concatenate([[0], np.cumsum(blocks)])
+        missing = np.flatnonzero(every == -1)
+        doc = of(missing)
+        by_block = np.bincount(first[doc] + (missing - (self.ends - lengths)[doc]) // half, minlength=int(first[-1]) + 1)
+        at = first[self.doc] + np.arange(self.count) - self.base[self.doc]
+        self.unknown = by_block[at] + np.where(blocks[self.doc] > 1, by_block[at + 1], 0)
+
+    def words(self, doc: int) -> np.ndarray:
+        return self.every[self.ends[doc - 1] if doc else 0 : self.ends[doc]]
 
     def vectors(self, idf: np.ndarray, basis: np.ndarray, least: float = 0.0, rare: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, vectors, norms, passage index and term of the weighted pairs): the passages with weight, times basis."""
-        keep = idf[self.term] > 0
-        passage, t = self.passage[keep], self.term[keep]
+        """(rows, vectors, norms, passage index and term of their pairs): the passages with weight, times basis; all terms have weight."""
+        passage, t = self.passage, self.term
         weight = np.bincount(passage, idf[t] ** 2, minlength=self.count)
         norm = np.sqrt(weight + self.unknown * rare**2)
         rows = np.flatnonzero((weight > 0) & (np.sqrt(weight) >= least * norm))
-        inside = np.isin(passage, rows, assume_unique=False) if len(rows) < self.count else np.ones(len(passage), bool)
+        chosen = np.zeros(self.count, bool)
+        chosen[rows] = True
+        inside = chosen[passage]
         passage, t = passage[inside], t[inside]
         if not len(rows):
             return rows, np.empty((0, basis.shape[1]), np.float32), norm[rows], passage, t
@@ -133,23 +141,27 @@ def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
             yield batch, batch.column(text_at).to_pylist()
 
 
-def _summed(texts: DataFrame, work, size: int, width: int) -> np.ndarray:
-    """Sums over all tasks of the (size x width) matrices that work makes of each chunk of texts."""
+def _arrays(column: list[bytes], kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(b, kind) for b in column]
+
+
+def _summed(ids: DataFrame, kind: str, work, size: int, width: int) -> np.ndarray:
+    """Sums over all tasks of the (size x width) matrices that work makes of each chunk of encoded texts."""
     slices = -(-width // WIDTH)
     names = [f"v{k}" for k in range(WIDTH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, slices * WIDTH))
         for _, chunk in _chunks(batches, 0):
-            work(chunk, total[:, :width])
+            work(_arrays(chunk, kind), total[:, :width])
         used = np.flatnonzero(total.any(axis=1))
         for s in range(slices):
             part = total[used, s * WIDTH : (s + 1) * WIDTH]
             yield pa.RecordBatch.from_arrays([pa.array(used * slices + s, pa.int64()), *[pa.array(np.ascontiguousarray(part[:, k])) for k in range(WIDTH)]], ["at", *names])
 
-    parts = texts.mapInArrow(run, "at bigint, " + ", ".join(f"{n} double" for n in names))
+    parts = ids.mapInArrow(run, "at bigint, " + ", ".join(f"{n} double" for n in names))
     out = np.zeros((size, slices * WIDTH))
-    for r in parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).toLocalIterator():
+    for r in parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).collect():
         s = r["at"] % slices
         out[r["at"] // slices, s * WIDTH : (s + 1) * WIDTH] = r[1:]
     return out[:, :width]
@@ -167,10 +179,10 @@ class Index:
     items: list[Item]
     config: DecontaminateConfig
 
-    def matches(self, texts: list[str | None], terms: Terms) -> list[tuple[int, int, float, float, float]]:
-        """(text, item, cosine, subsequence share, answer share) of what is confirmed, the best passage of each pair."""
+    def matches(self, ids: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
+        """ids: texts as `encoded` makes them. (text, item, cosine, subsequence share, answer share) of what is confirmed, the best passage of each pair."""
         c = self.config
-        p = Passages(texts, terms, len(self.vocabulary), c.window)
+        p = Passages(ids, len(self.vocabulary), c.window, self.idf > 0)
         rows, vectors, norms, _, _ = p.vectors(self.idf, self.basis, c.cosine, self.rare)
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         for i in range(0, len(rows), 2048):
@@ -182,7 +194,7 @@ class Index:
                 if found.get((doc, int(k)), (0, 0, 0))[1] >= 1:
                     continue
                 start = (passage - p.base[doc]) * (c.window // 2)
-                around = p.ids[doc][max(0, start - item.terms.size * 2) : start + c.window + item.terms.size * 2]
+                around = p.words(doc)[max(0, start - item.terms.size * 2) : start + c.window + item.terms.size * 2]
                 around = around[around >= 0]
                 around = around[self.idf[around] > 0]
                 share = subsequence(item.terms.tolist(), around.tolist()) / item.terms.size
@@ -221,19 +233,33 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, answer_col: str | None
         yield block
 
 
-def build_index(texts: DataFrame, block: list, config: DecontaminateConfig) -> Index | None:
-    split = [[t for t in map(term, r["text"].split()) if t] for r in block]
+def _encoded_table(docs: DataFrame, id_col: str | None, text_col: str, vocabulary: dict[str, int]) -> DataFrame:
+    """A written table of doc_id and ids, so that texts are cut into words once."""
+    slim = docs.select((F.col(id_col) if id_col else F.lit(None).cast("bigint")).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, chunk in _chunks(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoded(t, vocabulary).tobytes() for t in chunk], pa.binary())], ["doc_id", "ids"])
+
+    return written(slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary"), "encoded")
+
+
+def build_index(docs: DataFrame, id_col: str | None, text_col: str, block: list, config: DecontaminateConfig) -> tuple[Index, DataFrame] | None:
+    """The index of a block of items, and the table of encoded texts it was made from."""
+    split = [tokens(r["text"]) for r in block]
     vocabulary = {t: i for i, t in enumerate(sorted({t for s in split for t in s}))}
-    size = len(vocabulary)
+    size, kind = len(vocabulary), number_type(vocabulary)
     if not size:
         return None
+    table = _encoded_table(docs, id_col, text_col, vocabulary)
+    coded = table.select("ids")
 
     def frequencies(chunk: list, total: np.ndarray) -> None:
-        p = Passages(chunk, known(vocabulary), size, config.window)
+        p = Passages(chunk, size, config.window)
         total[:size, 0] += np.bincount(p.term, minlength=size)
         total[size, 0] += p.count
 
-    counted = _summed(texts, frequencies, size + 1, 1)[:, 0]
+    counted = _summed(coded, kind, frequencies, size + 1, 1)[:, 0]
     n, df = counted[size], counted[:size]
     idf = np.where(df <= max(config.max_share * n, 50), np.log((1 + n) / (1 + df)) + 1e-3, 0.0)
     rows = np.zeros((len(block), size), np.float64)
@@ -243,7 +269,7 @@ def build_index(texts: DataFrame, block: list, config: DecontaminateConfig) -> I
         ids = ids[idf[ids] > 0]
         rows[i, ids] = idf[ids]
         answer = r["answer"] if r["answer"] is not None else ([x for x in re.split(r"[.!?]+", r["text"]) if x.strip()] or [""])[-1]
-        terms = [vocabulary[t] for t in map(term, answer.split()) if t in vocabulary]
+        terms = [vocabulary[t] for t in tokens(answer) if t in vocabulary]
         items.append(Item(r["id"], ids, frozenset(t for t in terms if idf[t] > 0)))
     keep = [i for i, x in enumerate(items) if x.terms.size]
     items, rows = [items[i] for i in keep], rows[keep]
@@ -258,7 +284,7 @@ def build_index(texts: DataFrame, block: list, config: DecontaminateConfig) -> I
         narrow = basis.astype(np.float32)
 
         def ranged(chunk: list, total: np.ndarray) -> None:
-            p = Passages(chunk, known(vocabulary), size, config.window)
+            p = Passages(chunk, size, config.window, idf > 0)
             _, vectors, _, row, t = p.vectors(idf, narrow)
             order = np.argsort(t, kind="stable")
             t, row = t[order], row[order]
@@ -268,51 +294,39 @@ def build_index(texts: DataFrame, block: list, config: DecontaminateConfig) -> I
                 total[tt[starts]] += np.add.reduceat(vectors[row[i : i + 20_000]], starts, axis=0) * idf[tt[starts], None]
 
         def gram(chunk: list, total: np.ndarray) -> None:
-            p = Passages(chunk, known(vocabulary), size, config.window)
+            p = Passages(chunk, size, config.window, idf > 0)
             vectors = p.vectors(idf, narrow)[1]
             total += vectors.T @ vectors
 
         return ranged, gram
 
-    y = _summed(texts, product(omega)[0], size, rank) + heavy**2 * rows.T @ (rows @ omega)
+    y = _summed(coded, kind, product(omega)[0], size, rank) + heavy**2 * rows.T @ (rows @ omega)
     q = np.linalg.qr(y)[0]
     b = rows @ q
-    g = _summed(texts, product(q)[1], q.shape[1], q.shape[1]) + heavy**2 * b.T @ b
+    g = _summed(coded, kind, product(q)[1], q.shape[1], q.shape[1]) + heavy**2 * b.T @ b
     values, turn = np.linalg.eigh(g)
     turn = turn[:, values > values.max() * 1e-10]
     basis = (q @ turn).astype(np.float32)
     latent = rows @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(vocabulary, idf, float(idf[idf > 0].mean()), basis, latent.astype(np.float32), items, config)
-
-
-_TERMS: dict[int, tuple[dict, Terms]] = {}
-
-
-def known(vocabulary: dict[str, int]) -> Terms:
-    """The cache of raw tokens for a vocabulary, kept while the same object is used."""
-    if _TERMS.get(0, (None,))[0] is not vocabulary:
-        _TERMS[0] = (vocabulary, Terms(vocabulary))
-    return _TERMS[0][1]
+    return Index(vocabulary, idf, float(idf[idf > 0].mean()), basis, latent.astype(np.float32), items, config), table
 
 
 def find(docs: DataFrame, items: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share, kind (copy or paraphrase): a row for each document and item it holds."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type, item_type = slim.schema["doc_id"].dataType.simpleString(), items.schema[item_id_col].dataType
+    id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType
     schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, cosine double, lcs_share double, answer_share double"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, item_id_col, item_text_col, answer_col, config.block_items):
-        if index := build_index(texts, block, config):
-            out = out.union(slim.mapInArrow(_found(index), schema))
+        if made := build_index(docs, id_col, text_col, block, config):
+            out = out.union(made[1].mapInArrow(_found(made[0]), schema))
     return out.withColumn("kind", F.when(F.col("lcs_share") >= config.copy, F.lit("copy")).otherwise(F.lit("paraphrase")))
 
 
 def _found(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in _chunks(batches, 1):
-            hits = index.matches(chunk, known(index.vocabulary))
+            hits = index.matches(_arrays(chunk, number_type(index.vocabulary)))
             if hits:
                 ids = pa.array([index.items[h[1]].id for h in hits])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), ids, *[pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4)]], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
@@ -322,17 +336,16 @@ def _found(index: Index):
 
 def keep_clean(docs: DataFrame, items: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
-    texts = docs.select(F.col(text_col).alias("text"))
     for block in _blocks(items, item_id_col, item_text_col, answer_col, config.block_items):
-        if index := build_index(texts, block, config):
-            docs = docs.mapInArrow(_without(index, docs.columns.index(text_col)), docs.schema)
+        if made := build_index(docs, None, text_col, block, config):
+            docs = docs.mapInArrow(_without(made[0], docs.columns.index(text_col)), docs.schema)
     return docs
 
 
 def _without(index: Index, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in _chunks(batches, text_at):
-            bad = {h[0] for h in index.matches(chunk, known(index.vocabulary))}
+            bad = {h[0] for h in index.matches([encoded(t, index.vocabulary) for t in chunk])}
             yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
     return run
