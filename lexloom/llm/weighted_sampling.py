@@ -94,7 +94,8 @@ def fingerprint_edits(docs: DataFrame, samples: int = 32, id_col: str = "doc_id"
     spark = docs.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranged = slim.repartitionByRange(ranges, "doc_id", "h").withColumn("part", F.spark_partition_id())
+    # written, for every later read has to see the same ranges: another shuffle may draw other bounds
+    ranged = written(slim.repartitionByRange(ranges, "doc_id", "h").withColumn("part", F.spark_partition_id()), "ranged")
     order = Window.partitionBy("part").orderBy("doc_id", "h")
     lined = ranged.select("*", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("next"))
 
