@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
 
-#: largest logits table that is sent to every task, in rows (12 bytes each)
-BROADCAST_ROWS = 1_000_000
-
 
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
@@ -23,10 +20,11 @@ def logits_of(df: DataFrame, seq_col: str, array_col: str) -> DataFrame:
 def word_scores(logits: DataFrame, words: DataFrame, slots: DataFrame, config: SplitConfig) -> DataFrame:
     """seq, word, score: with S the word's activations (edge slots weighted), A all activations of the row, T its trigrams:
     S / (K T) + (S - A) / (V - T K); null where V = T K. words(word, n_trigrams), slots(word, is_edge, vocab_id)."""
-    active = logits.select("seq", "vocab_id", sigmoid(F.col("value")).alias("a"))
+    # the join makes many rows of each logit; dealt by seq before it, they need no shuffle after it where slots are small enough
+    # to be sent along
+    active = logits.repartition("seq").select("seq", "vocab_id", sigmoid(F.col("value")).alias("a"))
     total = active.groupBy("seq").agg(F.sum("a").alias("all_a"))
     weight = F.when(F.col("is_edge"), F.lit(config.word_edge_weight)).otherwise(F.lit(1.0))
-    # slots stay where they are; hits are pre-summed for each (seq, word) before the shuffle
     hit = slots.join(active, "vocab_id").groupBy("seq", "word").agg(F.sum(weight * F.col("a")).alias("s"))
     t = F.col("n_trigrams").cast("double")
     k, v = float(config.slots), float(config.vocab_size)
@@ -35,11 +33,11 @@ def word_scores(logits: DataFrame, words: DataFrame, slots: DataFrame, config: S
 
 
 def softmax(scores: DataFrame) -> DataFrame:
-    """log_prob over each row's words; the row's maximum and sum come from aggregates, not from a window over all words."""
-    top = scores.groupBy("seq").agg(F.max("score").alias("top"))
-    shifted = scores.join(top, "seq").withColumn("e", F.col("score") - F.col("top"))
-    total = shifted.groupBy("seq").agg(F.log(F.sum(F.exp("e"))).alias("log_sum"))
-    return shifted.join(total, "seq").select("seq", "word", "score", (F.col("e") - F.col("log_sum")).alias("log_prob"))
+    """log_prob over each row's words. Two windows over the same rows: one shuffle by seq, which ranking shares, and the scores
+    are made once."""
+    row = Window.partitionBy("seq")
+    shifted = scores.withColumn("e", F.col("score") - F.max("score").over(row))
+    return shifted.select("seq", "word", "score", (F.col("e") - F.log(F.sum(F.exp("e")).over(row))).alias("log_prob"))
 
 
 def top_words(scores: DataFrame, k: int, blacklist: DataFrame | None = None, by: str = "score") -> DataFrame:
