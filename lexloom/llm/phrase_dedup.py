@@ -6,8 +6,8 @@ A window is `window` consecutive words. Every word covered by a window that also
    without a recurring anchor hold no repeated window and are done.
 2. The other texts, one for each digest, are written with their recurring anchors; a pass numbers the windows behind these,
    and Spark counts the numbers: passages that occur at least twice are confirmed.
-3. Texts are dealt to shards of bounded size. Each shard's automaton is compiled from the phrases of the passages confirmed
-   for it, and all its texts are streamed through it; every hit is checked against the confirmed passages around it.
+3. Texts are dealt to shards of bounded size. Each shard's automaton is compiled from the recurring phrases of its texts, and
+   all its texts are streamed through it; every hit is checked against the confirmed passages around it.
    So each text passes one automaton, and an automaton's size is bounded by its shard's text.
 
 Defined results: words are maximal runs of characters other than blank and U+0009 to U+000D, unchanged. A null text has no
@@ -72,12 +72,12 @@ def _outline(winnow: Winnow):
 
 
 def _windows(winnow: Winnow):
-    """Rows of (number, anchor, shard, n) for each different window behind a recurring anchor of a text, with the anchor's phrase
-    in one of its rows."""
+    """Rows of (number, shard, n) for each different window behind a recurring anchor of a text, with the anchor's phrase in one of
+    its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for text, wanted, copies, shard in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "anchors", "copies", "shard")]):
                 split = words.split(text)
                 x = words.numbers(split)
@@ -95,12 +95,11 @@ def _windows(winnow: Winnow):
                     p = where[int(of[i])]
                     phrases[i] = b" ".join(split[p : p + winnow.gram])
                 cols[0].append(numbers.view(np.int64))
-                cols[1].append(of.view(np.int64))
-                cols[2].append(np.full(len(numbers), shard, np.int32))
-                cols[3].append(np.minimum(counts * copies, 2).astype(np.int32))
-                cols[4] += phrases
+                cols[1].append(np.full(len(numbers), shard, np.int32))
+                cols[2].append(np.minimum(counts * copies, 2).astype(np.int32))
+                cols[3] += phrases
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in cols[:4]], pa.array(cols[4], pa.binary())], ["number", "anchor", "shard", "n", "phrase"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["number", "shard", "n", "phrase"])
 
     return run
 
@@ -120,11 +119,10 @@ def _locate(winnow: Winnow):
 
     def run(texts: pa.Table, patterns: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        phrases = patterns.column("phrase").to_pylist() if patterns.num_rows else []
-        if phrases:
-            automaton, ids = compile_automaton(phrases)
-            confirmed = np.unique(np.concatenate([np.array(x, np.int64) for x in patterns.column("windows").to_pylist()])).view(np.uint64)
-            confirmed.sort()
+        confirmed = np.unique(patterns.column("number").drop_null().to_numpy()).view(np.uint64)
+        confirmed.sort()
+        if len(confirmed):
+            automaton, ids = compile_automaton(sorted(set(patterns.column("phrase").drop_null().to_pylist())))
             for key, text in zip(texts.column("digest").to_pylist(), texts.column("text").to_pylist()):
                 split = words.split(text)
                 ends = np.fromiter((e for e, _ in automaton.iter(tuple(map(ids.get, split, [0] * len(split))))), np.int64)
@@ -172,11 +170,11 @@ def remove_repeats(docs: DataFrame, config: PhraseDedupConfig = PhraseDedupConfi
     shard = F.pmod(F.xxhash64("digest"), F.lit(max(1, size // config.shard_bytes))).cast("int").alias("shard")
     texts = texts.select("*", shard)
 
-    windows = written(texts.mapInArrow(_windows(winnow), "number bigint, anchor bigint, shard int, n int, phrase binary"), "windows")
+    windows = written(texts.mapInArrow(_windows(winnow), "number bigint, shard int, n int, phrase binary"), "windows")
     twice = windows.groupBy("number").agg(F.sum("n").alias("n")).where("n > 1").select("number")
-    confirmed = windows.select("number", "anchor", "shard").join(twice, "number").groupBy("shard", "anchor").agg(F.collect_set("number").alias("windows"))
-    phrases = windows.where("phrase is not null").groupBy("anchor").agg(F.min("phrase").alias("phrase"))
-    patterns = confirmed.join(phrases, "anchor").select("shard", "phrase", "windows")
+    confirmed = windows.select("number", "shard").join(twice, "number").select("shard", "number", F.lit(None).cast("binary").alias("phrase"))
+    phrases = windows.where("phrase is not null").select("shard", F.lit(None).cast("bigint").alias("number"), "phrase")
+    patterns = confirmed.union(phrases)
     removed = texts.select("shard", "digest", "text").groupBy("shard").cogroup(patterns.groupBy("shard")).applyInArrow(_locate(winnow), "digest binary, n_removed bigint, sha string")
     removed = removed.select("digest", "n_removed", F.col("sha").alias("kept"))
     out = outline.drop("anchors").join(removed, "digest", "left")
