@@ -8,10 +8,14 @@ Documents are read as overlapping passages. For each block of benchmark items:
    weight, the items: the range of A'A on a random basis, then the Gram matrix in that range. Partial sums of terms by
    rank are added by Spark; the driver holds terms x rank numbers, bounded by the block, whatever the corpus;
 3. a last pass compares every passage with every item in the latent space (cosine, with the passage's full norm) and
-   verifies candidates inside the document: longest common subsequence of content terms, and for partial ones the share
-   of the answer's terms.
+   by the share of the item that it holds, and verifies candidates inside the document: longest common
+   subsequence of all the item's words, and for partial ones the share of the answer's terms.
 
-Defined results: null or empty texts and items match nothing, nor do items without content terms. The answer is the item's
+Terms weigh less the more passages hold them, but none is left out, and in the second comparison they weigh by the number
+of items that have them: an item that a large part of the corpus holds makes its own terms frequent in passages, not in
+items, and is found all the same.
+
+Defined results: null or empty texts and items match nothing, nor do items without letters or digits. The answer is the item's
 last sentence where no answer column is named or the answer is null. Repeated rows each give their rows; an empty corpus
 or benchmark gives none; other columns are neither read nor returned. Texts of any length are read whole.
 """
@@ -36,12 +40,11 @@ WIDTH = 16
 
 @dataclass(frozen=True)
 class DecontaminateConfig:
-    """A passage has `window` words and starts every half window. Terms in more than `max_share` of the passages carry no
-    weight. A subsequence of `copy` of an item's content terms is a copy; one of `part` is a paraphrase if `answer` of
-    the answer's terms are there as well."""
+    """A passage has `window` words and starts every half window. Items near a passage by `cosine`, or of whose terms' weight it
+    holds `part`, are verified. A subsequence of `copy` of an item's words is a copy; one of `part` is a paraphrase if `answer`
+    of the answer's terms are there as well."""
 
     window: int = 64
-    max_share: float = 0.05
     cosine: float = 0.2
     copy: float = 0.75
     part: float = 0.5
@@ -78,9 +81,9 @@ class Item:
 
 class Passages:
     """The passages of some texts: distinct (passage, term) pairs in order, and counts of unknown words. A passage is two
-    neighbouring blocks of half a window. Only terms that keep marks are paired; ids has each text's words as term numbers."""
+    neighbouring blocks of half a window. ids has each text's words as term numbers."""
 
-    def __init__(self, ids: list[np.ndarray], size: int, window: int, keep: np.ndarray | None = None):
+    def __init__(self, ids: list[np.ndarray], size: int, window: int):
         half = window // 2
         lengths = np.array([len(x) for x in ids], np.int64)
         every = np.concatenate(ids).astype(np.int32) if len(ids) else np.empty(0, np.int32)
@@ -90,7 +93,7 @@ class Passages:
         self.base = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.count = int(self.base[-1])
         self.doc = np.repeat(np.arange(len(ids)), counts)
-        known = np.flatnonzero(every >= 0 if keep is None else keep[every] & (every >= 0))
+        known = np.flatnonzero(every >= 0)
         of = lambda at: np.searchsorted(self.ends, at, side="right")
         doc = of(known)
         block = (known - (self.ends - lengths)[doc]) // half
@@ -112,12 +115,12 @@ class Passages:
     def words(self, doc: int) -> np.ndarray:
         return self.every[self.ends[doc - 1] if doc else 0 : self.ends[doc]]
 
-    def vectors(self, idf: np.ndarray, basis: np.ndarray, least: float = 0.0, rare: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(self, idf: np.ndarray, basis: np.ndarray, rare: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(rows, vectors, norms, passage index and term of their pairs): the passages with weight, times basis; all terms have weight."""
         passage, t = self.passage, self.term
         weight = np.bincount(passage, idf[t] ** 2, minlength=self.count)
         norm = np.sqrt(weight + self.unknown * rare**2)
-        rows = np.flatnonzero((weight > 0) & (np.sqrt(weight) >= least * norm))
+        rows = np.flatnonzero(weight > 0)
         chosen = np.zeros(self.count, bool)
         chosen[rows] = True
         inside = chosen[passage]
@@ -169,25 +172,28 @@ def _summed(ids: DataFrame, kind: str, work, size: int, width: int) -> np.ndarra
 
 @dataclass
 class Index:
-    """What the last pass needs of a block of items."""
+    """What the last pass needs of a block of items. basis: the latent axes, then a column for each item that makes weighted
+    sums the share of it in a passage; enough: the share that has a passage verified."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     rare: float
     basis: np.ndarray
     latent: np.ndarray
+    enough: np.ndarray
     items: list[Item]
     config: DecontaminateConfig
 
     def matches(self, ids: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
         """ids: texts as `encoded` makes them. (text, item, cosine, subsequence share, answer share) of what is confirmed, the best passage of each pair."""
         c = self.config
-        p = Passages(ids, len(self.vocabulary), c.window, self.idf > 0)
-        rows, vectors, norms, _, _ = p.vectors(self.idf, self.basis, c.cosine, self.rare)
+        p = Passages(ids, len(self.vocabulary), c.window)
+        rows, vectors, norms, _, _ = p.vectors(self.idf, self.basis, self.rare)
+        rank = self.latent.shape[1]
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         for i in range(0, len(rows), 2048):
-            near = vectors[i : i + 2048] @ self.latent.T / norms[i : i + 2048, None]
-            for r, k in zip(*np.nonzero(near >= c.cosine)):
+            near = vectors[i : i + 2048, :rank] @ self.latent.T / norms[i : i + 2048, None]
+            for r, k in zip(*np.nonzero((near >= c.cosine) | (vectors[i : i + 2048, rank:] >= self.enough))):
                 passage = rows[i + r]
                 doc = int(p.doc[passage])
                 item = self.items[k]
@@ -196,7 +202,6 @@ class Index:
                 start = (passage - p.base[doc]) * (c.window // 2)
                 around = p.words(doc)[max(0, start - item.terms.size * 2) : start + c.window + item.terms.size * 2]
                 around = around[around >= 0]
-                around = around[self.idf[around] > 0]
                 share = subsequence(item.terms.tolist(), around.tolist()) / item.terms.size
                 if share < c.part:
                     continue
@@ -261,16 +266,15 @@ def build_index(docs: DataFrame, id_col: str | None, text_col: str, block: list,
 
     counted = _summed(coded, kind, frequencies, size + 1, 1)[:, 0]
     n, df = counted[size], counted[:size]
-    idf = np.where(df <= max(config.max_share * n, 50), np.log((1 + n) / (1 + df)) + 1e-3, 0.0)
+    idf = np.log((1 + n) / (1 + df)) + 1
     rows = np.zeros((len(block), size), np.float64)
     items = []
     for i, (r, s) in enumerate(zip(block, split)):
         ids = np.array([vocabulary[t] for t in s], np.int64)
-        ids = ids[idf[ids] > 0]
         rows[i, ids] = idf[ids]
         answer = r["answer"] if r["answer"] is not None else ([x for x in re.split(r"[.!?]+", r["text"]) if x.strip()] or [""])[-1]
         terms = [vocabulary[t] for t in tokens(answer) if t in vocabulary]
-        items.append(Item(r["id"], ids, frozenset(t for t in terms if idf[t] > 0)))
+        items.append(Item(r["id"], ids, frozenset(terms)))
     keep = [i for i, x in enumerate(items) if x.terms.size]
     items, rows = [items[i] for i in keep], rows[keep]
     if not items:
@@ -284,7 +288,7 @@ def build_index(docs: DataFrame, id_col: str | None, text_col: str, block: list,
         narrow = basis.astype(np.float32)
 
         def ranged(chunk: list, total: np.ndarray) -> None:
-            p = Passages(chunk, size, config.window, idf > 0)
+            p = Passages(chunk, size, config.window)
             _, vectors, _, row, t = p.vectors(idf, narrow)
             order = np.argsort(t, kind="stable")
             t, row = t[order], row[order]
@@ -294,7 +298,7 @@ def build_index(docs: DataFrame, id_col: str | None, text_col: str, block: list,
                 total[tt[starts]] += np.add.reduceat(vectors[row[i : i + 20_000]], starts, axis=0) * idf[tt[starts], None]
 
         def gram(chunk: list, total: np.ndarray) -> None:
-            p = Passages(chunk, size, config.window, idf > 0)
+            p = Passages(chunk, size, config.window)
             vectors = p.vectors(idf, narrow)[1]
             total += vectors.T @ vectors
 
@@ -309,7 +313,12 @@ def build_index(docs: DataFrame, id_col: str | None, text_col: str, block: list,
     basis = (q @ turn).astype(np.float32)
     latent = rows @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(vocabulary, idf, float(idf[idf > 0].mean()), basis, latent.astype(np.float32), items, config), table
+    held = (rows > 0) * (np.log((1 + len(items)) / (1 + (rows > 0).sum(axis=0))) + 1)
+    held /= held.sum(axis=1, keepdims=True)
+    # a passage has but a part of a longer item; the rest is for rounding
+    enough = config.part * np.minimum(1, config.window / np.array([x.terms.size for x in items])) - 1e-4
+    basis = np.hstack([basis, (held / idf).T.astype(np.float32)])
+    return Index(vocabulary, idf, float(idf.mean()), basis, latent.astype(np.float32), enough.astype(np.float32), items, config), table
 
 
 def find(docs: DataFrame, items: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:

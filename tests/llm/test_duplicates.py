@@ -120,3 +120,18 @@ def test_contamination(spark, make_docs):
 def test_subsequence():
     assert decontaminate.subsequence([1, 2, 3, 2, 4], [9, 1, 3, 2, 2, 4]) == 4
     assert decontaminate.subsequence([1], []) == 0
+
+
+def test_frequent_items_stay(spark, make_docs):
+    # the copies of an item make its own words frequent: in a third of the rows, then in all; each has words of its own around
+    rng = random.Random(8)
+    noise = lambda n: " ".join(f"n{rng.randint(0, 500)}" for _ in range(n))
+    hot, other = " ".join(f"h{i}" for i in range(24)), " ".join([*(f"h{i}" for i in range(18)), *(f"o{i}" for i in range(6))])
+    bench = spark.createDataFrame([(0, hot), (1, other), (2, noise(60))], "item_id bigint, text string")
+    for every in (3, 1):
+        texts = [f"{noise(40)} {hot} {noise(40)}" if i % every == 0 else noise(100) for i in range(1200 * every)] + [f"{noise(30)} {other} {noise(30)}"]
+        docs = make_docs(spark, texts)
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.find(docs, bench).collect()}
+        want = {(i, 0) for i in range(0, len(texts) - 1, every)} | {(len(texts) - 1, 1)}
+        assert want <= set(got) and all(got[x].lcs_share == got[x].answer_share == 1 for x in want)
+        assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
