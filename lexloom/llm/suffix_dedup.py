@@ -10,6 +10,8 @@ and, reversed, the words before it, as far as a window can reach.
 3. Each suffix is compared with its nearest neighbours in a stream, and the match is extended left and right; if it spans
    `window` words or more, its words are repeated. Neighbours across the borders of tasks meet in a further small step.
    Texts with equal digests count as one text that repeats as a whole.
+4. Where a minimiser has more suffixes than a suffix is compared with, a partner may be near in neither order. The windows
+   around each such suffix are numbered, Spark counts the numbers, and windows that occur twice are repeated as well.
 
 Defined results: words are maximal runs of characters other than blank and U+0009 to U+000D, unchanged. A null text has no
 words; texts of fewer words than a window have no spans. Repeated rows are copies of each other. An empty table gives no
@@ -142,6 +144,32 @@ def _borders(config: SuffixDedupConfig):
     return run
 
 
+def _windows(config: SuffixDedupConfig):
+    """(number, digest, low) of each window around a suffix: the number stands for the minimiser, its place in the window and
+    the other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches, 5000):
+            pos, anchor = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("pos", "anchor"))
+            sides = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("before", "after")])
+            parts = [np.concatenate([np.frombuffer(b, ">u4")[::-1], np.frombuffer(a, ">u4")]) for b, a in sides]
+            left = np.array([len(b) // 4 for b in batch.column(batch.schema.get_field_index("before")).to_pylist()], np.int64)
+            lengths = np.array([len(x) for x in parts], np.int64)
+            row = np.repeat(np.arange(len(parts)), lengths)
+            first = np.cumsum(lengths) - lengths
+            back = left[row] - (np.arange(len(row)) - first[row])  # words of the window before the minimiser
+            whole = np.flatnonzero((back >= 0) & (lengths[row] - left[row] + back >= config.reach))
+            if not len(whole):
+                continue
+            row, back = row[whole], back[whole]
+            others = words.runs(np.concatenate(parts).astype(np.uint64), config.reach)[whole]
+            numbers = words.mixed(words.mixed(others ^ anchor[row].view(np.uint64)) + back.astype(np.uint64))
+            digests = batch.column(batch.schema.get_field_index("digest")).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), digests, pa.array(pos[row] - back)], ["number", "digest", "low"])
+
+    return run
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each text, merged where they touch."""
     for batch in batches:
@@ -187,6 +215,12 @@ def repeated_spans(docs: DataFrame, config: SuffixDedupConfig = SuffixDedupConfi
         across = found.where("border is not null").groupBy("border").applyInArrow(_borders(config), MATCHES)
         both = found.where("low is not null").union(across).select("digest", "low", "high")
         matches = both if matches is None else matches.union(both)
+    if config.reach:  # else equal minimisers are equal windows, and any neighbour confirms them
+        frequent = suffixes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > config.neighbours + 1).select("anchor")
+        windows = suffixes.join(frequent.hint("merge"), "anchor").mapInArrow(_windows(config), "number bigint, digest binary, low bigint")
+        twice = windows.groupBy("number").agg(F.count("*").alias("n")).where("n > 1").select("number")
+        counted = windows.join(twice.hint("merge"), "number").select("digest", "low", (F.col("low") + config.window).alias("high"))
+        matches = matches.union(counted)
     gathered = matches.groupBy("digest").agg(F.collect_set(F.struct("low", "high")).alias("s"))
     spans = gathered.mapInArrow(_merged, "digest binary, spans array<struct<start:bigint,end:bigint>>")
     out = outline.drop("anchors").join(spans, "digest", "left").join(copies.select("digest", "copies"), "digest", "left")

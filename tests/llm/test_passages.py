@@ -65,6 +65,21 @@ def test_spans(spark, make_docs, seed):
         assert found == gone and got[i].n_repeated == sum(gone) and got[i].n_words == len(w)
 
 
+def test_frequent_passage_in_common_words(spark, make_docs):
+    # 1200 texts share 48 words; two more words that make a window equal may lie on both sides
+    rng = random.Random(3)
+    common, weights = [f"c{i}" for i in range(300)], [1 / (i + 1) for i in range(300)]
+    around = lambda: rng.choices(common, weights, k=60)
+    passage = [f"p{i}" for i in range(48)]
+    texts = [" ".join([*around(), *passage, *around()]) for _ in range(1200)]
+    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(make_docs(spark, texts)).collect()}
+    for i, (w, gone) in enumerate(covered(texts, 50)):
+        found = [False] * len(w)
+        for s in got[i].spans:
+            found[s.start : s.end] = [True] * (s.end - s.start)
+        assert found == gone and got[i].n_repeated == sum(gone)
+
+
 def test_runs_and_anchors():
     x = words.numbers([f"a{i % 7}".encode() for i in range(60)])
     for n in (1, 2, 5, 14, 35):
