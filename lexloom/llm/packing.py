@@ -2,8 +2,8 @@
 
 Tokens are counted and hashed once and written as a table of pieces. The pieces are dealt evenly to shards; each shard
 packs its own by best fit (longest first) and then improves the result by local search: moves, one-for-one and
-two-for-one exchanges between underfull bins, each of which raises the sum of squared fills, until bins empty and nothing
-improves. Bins that stay clearly underfull are gathered, 64 shards together, and packed once more.
+two-for-one exchanges between underfull bins, which raise squared fills until bins empty and nothing improves. The least
+filled bins of each shard are gathered, those of 64 shards together, and packed once more where that takes fewer bins.
 
 Defined results: a null text is empty; an empty text is the end token alone. Only documents longer than a sequence are
 cut, into full pieces and a last one that may be shorter. Null or repeated ids are carried along and never used as keys.
@@ -17,20 +17,23 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import written
+from lexloom.llm.words import slices, words_of
 
-#: words, and pieces of words, in each generation that a Python worker keeps
-CACHE = 600_000
+#: bytes of text cut into words at once
+BATCH_BYTES = 2 << 20
+#: pieces that a task packs; shards whose least filled bins are packed again together
 SHARD_PIECES = 30_000
 FAN_IN = 64
-#: bins filled below this part of a sequence are packed again across shards
-OPEN_BELOW = 0.98
 
 
 def _classes() -> tuple[str, str]:
@@ -41,34 +44,48 @@ def _classes() -> tuple[str, str]:
 
 _L, _N = _classes()
 #: texts without these characters take the fast path: there, splitting is the same as the tokenizer's own
-UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ſ]|<\\|")
+UNUSUAL = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{12f}\x{131}-\x{17f}]|<\|"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t\n\v\f\r \xa0{_L}{_N}]+")
 
 
-class _Kept:
-    """What was looked up in the last two generations of CACHE entries; what goes is made again when needed. Plain dicts:
-    a set's difference with a subclass of dict would walk through all of it."""
+class _KnownWords:
+    """Ids of words met so far, by the words' numbers, in three arrays; emptied beyond LIMIT words, which changes no result."""
+
+    LIMIT = 1_000_000
 
     def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.starts, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
+
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        """Index of each number, -1 where it is not known."""
+        if not len(self.numbers):
+            return np.full(len(numbers), -1)
+        at = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        return np.where(self.numbers[at] == numbers, at, -1)
 
-    def ready(self, keys: set[str], make) -> None:
-        new = keys.difference(self.now)
-        if len(self.now) + len(new) > CACHE:
-            self.older, self.now = self.now, {}
-            new = keys
-        old = self.older
-        self.now.update((k, old[k]) for k in new if k in old)
-        if rest := [k for k in new if k not in old]:
-            self.now.update(zip(rest, make(rest)))
+    def add(self, numbers: np.ndarray, made: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))])
+        numbers = np.concatenate([self.numbers, numbers])
+        order = np.argsort(numbers)
+        self.numbers, self.starts, self.sizes = numbers[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes])[order]
+
+
+#: each byte as the character that stands for it in the vocabulary: printable ones as they are, the rest from U+0100 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class WordTokenizer:
-    """Token ids of whole texts as bytes (little-endian, 4 bytes an id), by the tokenizers library.
+    """Token ids of whole texts by the tokenizers library.
 
-    The vocabulary file drops white space, splits lower-case text into pieces and encodes each piece alone, so the ids of
-    a word or piece are asked for once and kept. Texts with unusual characters go through the library whole.
+    The vocabulary file drops white space, splits lower-case text into pieces and encodes each piece alone, so that the ids of a
+    word are asked for once and kept while a task lasts. Texts with unusual characters go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -76,107 +93,107 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
-        self.last = np.array(ends)
-        self.words, self.pieces = _Kept(), _Kept()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Many at a time with blanks between them; a piece's last id is one that ends a word."""
-        out = []
-        for i in range(0, len(pieces), 1000):
-            ids = np.asarray(self.tokenizer.encode(" ".join(pieces[i : i + 1000]), add_special_tokens=False).ids, "<u4")
-            ends = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
-            out += [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-        if len(out) != len(pieces):
-            raise ValueError("the vocabulary does not mark the ends of words")
-        return out
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        split = [PIECES.findall(w) for w in words]
-        self.pieces.ready(set().union(*split), self._encode_pieces)
-        get = self.pieces.now.__getitem__
-        return [b"".join(map(get, x)) for x in split]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if UNUSUAL.search(t)]
-        for i, b in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = b
-        start = 0
-        while start < len(texts):  # about half a million characters at a time
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= 500_000):
-                size += len(texts[end])
-                end += 1
-            split = {i: texts[i].lower().split() for i in range(start, end) if out[i] is None}
-            if split:
-                self.words.ready(set().union(*split.values()), self._encode_words)
-                get = self.words.now.__getitem__
-                for i, words in split.items():
-                    out[i] = b"".join(map(get, words))
-            start = end
+        self.known = _KnownWords()
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        cut, pieces, out = self.tokenizer.model.tokenize, {}, []
+        for word in words:
+            if not word.isascii():
+                split = [p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in PIECES.findall(word)]
+            elif word.isalpha():
+                split = (word,)
+            else:
+                split = [p if p.isprintable() else p.translate(_BYTE_CHARS) for p in PIECES.findall(word)]
+            ids: list[int] = []
+            for piece in split:
+                got = pieces.get(piece)
+                if got is None:
+                    got = pieces[piece] = [t.id for t in cut(piece)]
+                ids += got
+            out.append(ids)
         return out
 
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def tokenizer_at(path: str) -> WordTokenizer:
-    """Kept in the Python worker, which serves many tasks."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        w = words_of(pc.replace_substring(pc.utf8_lower(texts), "\u00a0", " "))
+        codes, distinct = pd.factorize(w.numbers())
+        places = self.known.places(distinct)
+        if (missing := np.flatnonzero(places < 0)).size:
+            if len(self.known.numbers) + missing.size > _KnownWords.LIMIT:
+                self.known.clear()
+                missing = np.arange(len(distinct))
+            first = np.empty(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            data = w.data.tobytes()
+            spans = zip(w.starts[first[missing]].tolist(), w.ends[first[missing]].tolist())
+            self.known.add(distinct[missing], self._encode_words([data[a:b].decode("utf-8", "surrogatepass") for a, b in spans]))
+            places = self.known.places(distinct)
+        at = places[codes]
+        sizes = self.known.sizes[at]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.known.ids[np.repeat(self.known.starts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, upto[w.bounds]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's ids begin; null texts have none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, UNUSUAL)
+        ids, bounds = self._plain(pc.if_else(odd, "", texts))
+        if not (rows := np.flatnonzero(odd.to_numpy(zero_copy_only=False))).size:
+            return ids, bounds
+        whole = self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in rows], add_special_tokens=False)
+        parts, done = [], 0
+        sizes = np.diff(bounds)
+        for i, e in zip(rows.tolist(), whole):
+            parts += [ids[done : bounds[i]], np.asarray(e.ids, np.uint32)]
+            done, sizes[i] = bounds[i], len(e.ids)
+        return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and deal, an evenly spread number; one pass, no shuffle."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, made = tokenizer_at(tokenizer_path), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                row, piece, start, length, crc, deal = [], [], [], [], [], []
-                for i, ids in enumerate(tok.ids([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, a in enumerate(range(0, n, capacity)):
-                        part = ids[4 * a : 4 * (a + capacity)]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        deal.append((crc[-1] * 2654435761 + made * 40503) % (1 << 31))
-                        made += 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "deal"],
-                )
+        tok, made = WordTokenizer(tokenizer_path), 0
+        for batch in slices(batches, 1, BATCH_BYTES):
+            ids, bounds = tok.encode(batch.column(1))
+            sizes = np.diff(bounds) + 1
+            count = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[row] - start)
+            # every text's ids with the end token behind them
+            data = np.insert(ids.astype("<u4"), bounds[1:], end_id)
+            at = bounds[:-1][row] + row + start
+            flat = memoryview(data).cast("B")
+            crc = np.fromiter((zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())), np.int64, len(row))
+            deal = (crc * 2654435761 + (made + np.arange(len(row))) * 40503) % (1 << 31)
+            made += len(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(deal)],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "deal"],
+            )
 
     return slim.mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, deal bigint")
 
 
 class _Bins:
-    """Bins by free room; ``open`` has bit f set where a bin with f free tokens exists."""
+    """Bins by free room, and the sizes that underfull bins hold. Sets of room are bits of an integer: bit f of ``open`` is set
+    where a bin has f free tokens, bit f of ``rooms[z]`` where one of these holds an item of size z."""
 
     def __init__(self, capacity: int):
         self.capacity, self.items, self.fill = capacity, [], []
         self.at: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.open = 0
 
-    def _place(self, b: int) -> None:
+    def place(self, b: int) -> None:
         free = self.capacity - self.fill[b]
         self.at[free].add(b)
         self.open |= 1 << free
 
-    def _lift(self, b: int) -> None:
+    def lift(self, b: int) -> None:
         free = self.capacity - self.fill[b]
         self.at[free].discard(b)
         if not self.at[free]:
@@ -185,146 +202,169 @@ class _Bins:
     def best(self, need: int) -> int:
         """The bin with the least room of at least need, or -1."""
         rest = self.open >> need
-        if not rest:
-            return -1
-        found = self.at[need + (rest & -rest).bit_length() - 1]
-        return next(iter(found))
+        return next(iter(self.at[need + (rest & -rest).bit_length() - 1])) if rest else -1
 
     def new(self) -> int:
         self.items.append([])
         self.fill.append(0)
-        self._place(len(self.fill) - 1)
+        self.place(len(self.fill) - 1)
         return len(self.fill) - 1
 
-    def change(self, b: int, out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
-        self._lift(b)
+    def index(self) -> None:
+        """Starts to keep account of sizes; from here on bins are changed by show and hide around what changes them."""
+        self.rooms = [0] * (self.capacity + 1)
+        self.most = np.full(self.capacity + 1, -1, np.int64)  # greatest room beside each size
+        self.holders: dict[tuple[int, int], set[int]] = {}
+        for b in range(len(self.fill)):
+            self.lift(b)
+            self.show(b)
+
+    def show(self, b: int) -> None:
+        free = self.capacity - self.fill[b]
+        if not self.items[b] or not free:
+            return
+        self.place(b)
+        for z in {size for size, _ in self.items[b]}:
+            self.holders.setdefault((z, free), set()).add(b)
+            self.rooms[z] |= 1 << free
+            self.most[z] = self.rooms[z].bit_length() - 1
+
+    def hide(self, b: int) -> None:
+        free = self.capacity - self.fill[b]
+        if not self.items[b] or not free:
+            return
+        self.lift(b)
+        for z in {size for size, _ in self.items[b]}:
+            held = self.holders[z, free]
+            held.discard(b)
+            if not held:
+                del self.holders[z, free]
+                self.rooms[z] &= ~(1 << free)
+                self.most[z] = self.rooms[z].bit_length() - 1
+
+    def holder(self, size: int, need: int) -> int:
+        """Of the bins that hold an item of the size and have room of at least need, the fullest."""
+        rest = self.rooms[size] >> need
+        return next(iter(self.holders[size, need + (rest & -rest).bit_length() - 1]))
+
+    def item(self, b: int, size: int) -> tuple[int, int]:
+        return next(x for x in self.items[b] if x[0] == size)
+
+    def exchange(self, a: int, b: int, out: list[tuple[int, int]], back: list[tuple[int, int]]) -> None:
+        """out goes from a, which is hidden, to b; back the other way."""
+        self.hide(b)
         for x in out:
+            self.items[a].remove(x)
+        for x in back:
             self.items[b].remove(x)
-        self.items[b] += into
-        self.fill[b] += sum(x[0] for x in into) - sum(x[0] for x in out)
-        if self.items[b]:
-            self._place(b)
+        self.items[a] += back
+        self.items[b] += out
+        gain = sum(x[0] for x in out) - sum(x[0] for x in back)
+        self.fill[a] -= gain
+        self.fill[b] += gain
+        self.show(b)
 
 
-def pack(lengths: list[int], capacity: int, patience: int = 8) -> list[list[int]]:
-    """Indices by bin; no bin's lengths sum to over capacity. The search ends at the least possible number of bins, or
-    after patience bins in a row that could not be emptied."""
+def pack(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Indices by bin; no bin's lengths sum to over capacity. Best fit, then local search, which ends at the least possible
+    number of bins or when no move and no exchange raises the sum of squared fills."""
     bins = _Bins(capacity)
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         b = bins.best(lengths[i])
         if b < 0:
             b = bins.new()
-        bins.change(b, [], [(lengths[i], i)])
-    least = -(-sum(lengths) // capacity)
-    used = lambda: sum(1 for x in bins.items if x)
-    count, failed = used(), 0
-    for b in sorted(range(len(bins.fill)), key=lambda b: (bins.fill[b], b)):
-        if count <= least or failed >= patience:
-            break
-        if bins.items[b] and bins.fill[b] < capacity:
-            _drain(bins, b)
-            count, failed = (count, failed + 1) if bins.items[b] else (count - 1, 0)
+        bins.lift(b)
+        bins.items[b].append((lengths[i], i))
+        bins.fill[b] += lengths[i]
+        bins.place(b)
+    count, least = len(bins.fill), -(-sum(lengths) // capacity)
+    if count > least:
+        bins.index()
+        emptying = changed = True
+        while count > least and (emptying or changed):
+            before, changed = count, False
+            for a in sorted((b for b in range(len(bins.fill)) if bins.items[b] and bins.fill[b] < capacity), key=lambda b: (bins.fill[b], b)):
+                if count > least and bins.items[a] and bins.fill[a] < capacity:
+                    changed |= _give(bins, a, emptying)
+                    count -= not bins.items[a]
+            emptying = emptying and count < before
     return [[i for _, i in x] for x in bins.items if x]
 
 
-def _drain(bins: _Bins, a: int) -> None:
-    """Takes tokens out of bin a while an exchange raises the sum of squared fills."""
-    capacity = bins.capacity
-    if bins.items[a]:
-        bins._lift(a)  # a itself is no target
-    holders: dict[int, set[int]] = {}
-    under = [b for b in range(len(bins.fill)) if b != a and bins.items[b] and bins.fill[b] < capacity]
-    for b in under:
-        for size, _ in bins.items[b]:
-            holders.setdefault(size, set()).add(b)
-
-    def update(b: int, out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
-        bins.change(b, out, into)
-        for size, _ in out:
-            if all(s != size for s, _ in bins.items[b]):
-                holders[size].discard(b)
-        for size, _ in into:
-            holders.setdefault(size, set()).add(b)
-
-    def take(out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
-        for x in out:
-            bins.items[a].remove(x)
-        bins.items[a] += into
-        bins.fill[a] += sum(x[0] for x in into) - sum(x[0] for x in out)
-
-    def gives(size: int) -> tuple[int, int] | None:
-        """(bin, smaller size) so that size fits in place of the smaller one, with the largest gain that the room allows."""
-        found = None
-        for less in range(size - 1, 0, -1):
-            gain = size - less
-            if gain >= capacity // 4:
-                break
-            for b in holders.get(less, ()):
-                if capacity - bins.fill[b] >= gain and bins.fill[b] + gain > bins.fill[a] - gain:
-                    found = (b, less)
-                    break
-        return found
-
-    def make_room(x: tuple[int, int]) -> bool:
-        """Exchanges one for one between two other bins so that x fits into one of them, then moves it there."""
-        most = max((capacity - bins.fill[b] for b in under), default=0)
-        for b in under:
-            need = x[0] - (capacity - bins.fill[b])
-            for item in list(bins.items[b]) if 0 < need <= most else ():
-                for less in range(item[0] - need, max(0, item[0] - most - 1), -1):
-                    gain = item[0] - less
-                    for c in holders.get(less, ()):
-                        if c != b and capacity - bins.fill[c] >= gain and bins.fill[c] + gain > bins.fill[b]:
-                            back = next(y for y in bins.items[c] if y[0] == less)
-                            update(c, [back], [item])
-                            update(b, [item], [back, x])
-                            take([x], [])
-                            return True
-        return False
-
-    changed = True
-    while changed and bins.items[a]:
-        changed = False
-        for x in sorted(bins.items[a], reverse=True):
-            b = bins.best(x[0])
-            if b >= 0 and bins.fill[b] + x[0] > bins.fill[a]:  # move
-                update(b, [], [x])
-                take([x], [])
-                changed = True
-                break
-        if changed:
-            continue
-        own = sorted(bins.items[a], reverse=True)
-        sets = [[x] for x in own] + [[x, y] for i, x in enumerate(own[:12]) for y in own[i + 1 : 12]]  # one for one, two for one
-        for out in sets:
-            size = sum(x[0] for x in out)
-            if size <= capacity and (g := gives(size)):
-                b, less = g
-                back = next(x for x in bins.items[b] if x[0] == less)
-                update(b, [back], out)
-                take(out, [back])
-                changed = True
+def _give(bins: _Bins, a: int, emptying: bool) -> bool:
+    """Hands tokens of a on to other bins while a step allows it; whether any did. A gain of g tokens for b raises the sum of
+    squared fills where fill(b) + g > fill(a). While bins are being emptied, what is left in a counts in its place, so that it
+    is enough that b ends fuller than a."""
+    bins.hide(a)
+    done = False
+    while bins.items[a] and (found := _step(bins, a, emptying)):
+        bins.exchange(a, *found)
+        done = True
+    bins.show(a)
+    return done
+
+
+def _step(bins: _Bins, a: int, emptying: bool) -> tuple[int, list, list] | None:
+    """A bin, what goes to it, and what comes back: a move, else one for one, else two for one, with the greatest gain for
+    what goes."""
+    fill = bins.fill
+    own = sorted(bins.items[a], reverse=True)
+    for x in own:
+        b = bins.best(x[0])
+        if b >= 0 and fill[b] + x[0] > fill[a]:
+            return b, [x], []
+    widest = bins.open.bit_length() - 1
+    for sets in ({x[0]: [x] for x in own}, {x[0] + y[0]: [x, y] for i, x in enumerate(own) for y in own[i + 1 :]}):
+        for size, out in sorted(sets.items(), reverse=True):
+            low = max(1, size - widest)
+            most = bins.most[low:size]
+            for z in (np.flatnonzero(most + np.arange(low, low + len(most)) >= size) + low).tolist():
+                gain, b = size - z, bins.holder(z, size - z)
+                if fill[b] + gain > fill[a] - (gain if emptying else 0):
+                    return b, out, [bins.item(b, z)]
+    return None
+
+
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "sequence_id", "offset", "open"]
+
+
+def _placed(table: pa.Table, bins: list[list[int]], group: int, open_: set[int]) -> pa.Table:
+    lengths = table.column("length").to_pylist()
+    sequence, offset, loose = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
+    for k, members in enumerate(bins):
+        at = 0
+        for i in members:
+            sequence[i], offset[i], loose[i] = (group << 36) + k, at, k in open_
+            at += lengths[i]
+    return pa.table([*[table.column(c) for c in COLUMNS[:6]], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(loose, pa.bool_())], COLUMNS)
+
+
+def _pack_shard(capacity: int):
+    """Packs a shard; open are its least filled bins, with a FAN_IN-th of a shard's pieces at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lengths = table.column("length").to_pylist()
+        bins = pack(lengths, capacity)
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        open_, pieces = set(), 0
+        for k in sorted((k for k, f in enumerate(fill) if f < capacity), key=lambda k: (fill[k], k)):
+            pieces += len(bins[k])
+            if pieces > SHARD_PIECES // FAN_IN:
                 break
-        if not changed:
-            changed = make_room(min(bins.items[a]))
-    if bins.items[a]:
-        bins._place(a)
+            open_.add(k)
+        return _placed(table, bins, table.column("shard")[0].as_py(), open_)
+
+    return run
 
 
-def _packer(capacity: int, key: str, shift: int):
+def _pack_open(capacity: int, shift: int):
+    """Packs open bins of several shards again, where that takes fewer."""
+
     def run(table: pa.Table) -> pa.Table:
-        lengths = table.column("length").to_pylist()
-        group = table.column(key)[0].as_py() if table.num_rows else 0
-        sequence, offset, open_ = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
-        for k, members in enumerate(pack(lengths, capacity)):
-            at = 0
-            loose = sum(lengths[i] for i in members) < OPEN_BELOW * capacity
-            for i in members:
-                sequence[i], offset[i], open_[i] = ((group + shift) << 36) + k, at, loose
-                at += lengths[i]
-        keep = ["doc_id", "piece", "start", "length", "ids_crc32", "shard"]
-        out = [table.column(c) for c in keep] + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(open_, pa.bool_())]
-        return pa.table(out, [*keep, "sequence_id", "offset", "open"])
+        bins = pack(table.column("length").to_pylist(), capacity)
+        if len(bins) >= pc.count_distinct(table.column("sequence_id")).as_py():
+            return table.select(COLUMNS)
+        return _placed(table, bins, shift + table.column("wide")[0].as_py(), set())
 
     return run
 
@@ -336,7 +376,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     id_type = pieces.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, shard bigint, sequence_id bigint, offset bigint, open boolean"
     dealt = pieces.withColumn("shard", F.col("deal") % shards).drop("deal")
-    first = written(dealt.groupBy("shard").applyInArrow(_packer(capacity, "shard", 0), schema), "packed")
-    loose = first.where("open").drop("sequence_id", "offset", "open").withColumn("wide", F.expr(f"shard div {FAN_IN}"))
-    again = loose.groupBy("wide").applyInArrow(_packer(capacity, "wide", shards), schema)
+    first = written(dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), schema), "packed")
+    if shards == 1:
+        return first.drop("shard", "open")
+    open_ = first.where("open").withColumn("wide", F.expr(f"shard div {FAN_IN}"))
+    again = open_.groupBy("wide").applyInArrow(_pack_open(capacity, shards), schema)
     return first.where("not open").union(again).drop("shard", "open")
