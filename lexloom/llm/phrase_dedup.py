@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import words
 from lexloom.llm.common import written
-from lexloom.llm.winnow import Winnow, at_most_twice
+from lexloom.llm.winnow import Winnow, at_most_twice, members, outline
 
 
 @dataclass(frozen=True)
@@ -41,77 +41,58 @@ class PhraseDedupConfig:
     shard_bytes: int = 4_000_000
 
 
-def digest(text: str | None) -> bytes:
-    return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
-
-
-def _sha(kept: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(kept)).hexdigest()
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
-
-
-def _outline(winnow: Winnow):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches):
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                split = words.split(text)
-                grams = winnow.grams(words.numbers(split)) if len(split) >= winnow.window else np.empty(0, np.uint64)
-                at = winnow.selected(grams, winnow.anchors(grams))
-                for column, value in zip(out, (digest(text), len(split), _sha(split), at_most_twice(grams[at]).view(np.int64) if len(at) else None)):
-                    column.append(value)
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], ["doc_id", "digest", "n_words", "sha", "anchors"])
-
-    return run
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def _windows(winnow: Winnow):
-    """Rows of (number, shard, n) for each different window behind a recurring anchor of a text, with the anchor's phrase in one of
-    its rows."""
+    """Rows of (number, shard, n) for each different window behind a recurring anchor of a text, and of (shard, phrase) for each
+    such anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches):
-            cols: list[list] = [[], [], [], []]
-            for text, wanted, copies, shard in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "anchors", "copies", "shard")]):
-                split = words.split(text)
-                x = words.numbers(split)
-                grams = winnow.grams(x)
-                anchors = winnow.anchors(grams)
-                recurs = np.sort(np.array(wanted, np.int64).view(np.uint64))
-                at = np.minimum(np.searchsorted(recurs, anchors), len(recurs) - 1)
-                inside = np.flatnonzero(recurs[at] == anchors)
-                numbers, first, counts = np.unique(words.runs(x, winnow.window)[inside], return_index=True, return_counts=True)
-                of = anchors[inside][first]
-                _, lead = np.unique(of, return_index=True)
-                where = {int(g): int(i) for i, g in zip(*(lambda s: (s[::-1], grams[s][::-1]))(winnow.selected(grams, anchors)))}
-                phrases: list[bytes | None] = [None] * len(numbers)
-                for i in lead:
-                    p = where[int(of[i])]
-                    phrases[i] = b" ".join(split[p : p + winnow.gram])
-                cols[0].append(numbers.view(np.int64))
-                cols[1].append(np.full(len(numbers), shard, np.int32))
-                cols[2].append(np.minimum(counts * copies, 2).astype(np.int32))
-                cols[3] += phrases
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["number", "shard", "n", "phrase"])
+        for batch in words.slices(batches):
+            w = words.words_of(_column(batch, "text"))
+            x = w.numbers()
+            grams = winnow.grams(x)
+            anchors = winnow.anchors(grams, w.bounds)
+            shard, copies = (_column(batch, c).to_numpy() for c in ("shard", "copies"))
+            starts = np.flatnonzero(anchors)
+            starts = starts[members(w.text_of[starts], anchors[starts], _column(batch, "anchors"))]
+            text, number = at_most_twice(w.text_of[starts], words.runs(x, winnow.window)[starts])
+            first = np.ones(len(text), bool)
+            first[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
+            n = np.diff(np.append(np.flatnonzero(first), len(text)))
+            text, number = text[first], number[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number.view(np.int64)), pa.array(shard[text]), pa.array(np.minimum(n * copies[text], 2).astype(np.int32)), pa.nulls(len(text), pa.binary())],
+                ["number", "shard", "n", "phrase"],
+            )
+            p = winnow.selected(grams, anchors)
+            p = p[members(w.text_of[p], grams[p], _column(batch, "anchors"))]
+            _, at = np.unique(words.mixed(grams[p]) ^ w.text_of[p].astype(np.uint64), return_index=True)
+            phrases = [b" ".join(w.data[a:b].tobytes() for a, b in zip(w.starts[i : i + winnow.gram].tolist(), w.ends[i : i + winnow.gram].tolist())) for i in p[at].tolist()]
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(shard[w.text_of[p[at]]]), none.cast(pa.int32()), pa.array(phrases, pa.binary())], ["number", "shard", "n", "phrase"])
 
     return run
 
 
-def compile_automaton(phrases: list[bytes]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
-    """An automaton over word ids, which only the words of its phrases have."""
-    ids: dict[bytes, int] = {}
+def compile_automaton(phrases: list[bytes]) -> tuple[ahocorasick.Automaton, np.ndarray]:
+    """An automaton over word ids, and the sorted numbers of the words that its phrases have: a word's id is its place, from 1."""
+    w = words.words_of(pa.array(phrases, pa.binary()).cast(pa.string()))
+    known, ids = np.unique(w.numbers(), return_inverse=True)
+    ids = (ids + 1).tolist()
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, phrase in enumerate(phrases):
-        automaton.add_word(tuple(ids.setdefault(w, len(ids) + 1) for w in phrase.split(b" ")), i)
+    for i, (a, b) in enumerate(zip(w.bounds.tolist(), w.bounds[1:].tolist())):
+        automaton.add_word(tuple(ids[a:b]), i)
     automaton.make_automaton()
-    return automaton, ids
+    return automaton, known
+
+
+def word_ids(numbers: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Ids of words as compile_automaton gives them, 0 for others."""
+    at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+    return np.where(known[at] == numbers, at + 1, 0)
 
 
 def _locate(winnow: Winnow):
@@ -119,49 +100,54 @@ def _locate(winnow: Winnow):
 
     def run(texts: pa.Table, patterns: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        confirmed = np.unique(patterns.column("number").drop_null().to_numpy()).view(np.uint64)
-        confirmed.sort()
+        confirmed = np.unique(patterns.column("number").drop_null().to_numpy().view(np.uint64))
         if len(confirmed):
-            automaton, ids = compile_automaton(sorted(set(patterns.column("phrase").drop_null().to_pylist())))
-            for key, text in zip(texts.column("digest").to_pylist(), texts.column("text").to_pylist()):
-                split = words.split(text)
-                ends = np.fromiter((e for e, _ in automaton.iter(tuple(map(ids.get, split, [0] * len(split))))), np.int64)
-                if not len(ends):
+            automaton, known = compile_automaton(sorted(set(patterns.column("phrase").drop_null().to_pylist())))
+            for batch in words.slices(iter(texts.to_batches())):
+                w = words.words_of(_column(batch, "text"))
+                x = w.numbers()
+                ids, bounds = word_ids(x, known).tolist(), w.bounds.tolist()
+                ends = [a + e for a, b in zip(bounds, bounds[1:]) for e, _ in automaton.iter(tuple(ids[a:b]))]
+                if not ends:
                     continue
                 # windows that hold a phrase found: starts from `span` - 1 words before it up to its own start
-                count = len(split) - winnow.window + 1
-                steps = np.zeros(len(split) + 2, np.int64)
-                first = ends - winnow.gram + 1
-                np.add.at(steps, np.maximum(0, first - winnow.span + 1), 1)
-                np.add.at(steps, first + 1, -1)
-                near = np.flatnonzero(np.cumsum(steps[:count]) > 0)
-                numbers = words.runs(words.numbers(split), winnow.window)[near]
+                first = np.array(ends) - winnow.gram + 1
+                near = _inside(np.maximum(w.bounds[w.text_of[first]], first - winnow.span + 1), first + 1, len(x))
+                near = np.flatnonzero(near[: len(x) - winnow.window + 1] & words.whole(w.bounds, winnow.window))
+                numbers = words.runs(x, winnow.window)[near]
                 at = np.minimum(np.searchsorted(confirmed, numbers), len(confirmed) - 1)
                 hit = near[confirmed[at] == numbers]
-                if not len(hit):
-                    continue
-                steps[:] = 0
-                np.add.at(steps, hit, 1)
-                np.add.at(steps, hit + winnow.window, -1)
-                gone = np.cumsum(steps[: len(split)]) > 0
-                for column, value in zip(out, (key, int(gone.sum()), _sha([w for w, g in zip(split, gone.tolist()) if not g]))):
-                    column.append(value)
+                gone = _inside(hit, hit + winnow.window, len(x))
+                kept, begins = w.joined(~gone)
+                lost = np.add.reduceat(np.append(gone, False), w.bounds[:-1], dtype=np.int64) * (w.counts > 0)
+                keys = _column(batch, "digest")
+                for k in np.flatnonzero(lost).tolist():
+                    out[0].append(keys[k].as_py())
+                    out[1].append(int(lost[k]))
+                    out[2].append(hashlib.sha256(kept[begins[k] : begins[k + 1]]).hexdigest())
         return pa.table([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.string()))], ["digest", "n_removed", "sha"])
 
     return run
 
 
+def _inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places, whether it lies in one of the ranges."""
+    steps = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
+    return np.cumsum(steps)[:n] > 0
+
+
 def remove_repeats(docs: DataFrame, config: PhraseDedupConfig = PhraseDedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
     winnow = Winnow(config.window, config.phrase)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    outline = written(slim.mapInArrow(_outline(winnow), f"doc_id {id_type}, digest binary, n_words bigint, sha string, anchors array<bigint>"), "outline")
+    outlined = written(slim.mapInArrow(outline(winnow, with_sha=True, twice=True), f"doc_id {id_type}, digest binary, n_words bigint, sha string, anchors array<bigint>"), "outline")
 
-    each = outline.where("anchors is not null").select("digest", F.explode("anchors").alias("anchor"))
+    some = outlined.where(F.size("anchors") > 0)
+    each = some.select("digest", F.explode("anchors").alias("anchor"))
     recurring = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     of_text = each.join(recurring, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
-    copies = outline.where("anchors is not null").groupBy("digest").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min("doc_id").alias("first_id"))
+    copies = some.groupBy("digest").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min("doc_id").alias("first_id"))
     wanted = of_text.join(copies, "digest")
     keyed = slim.where("text is not null").withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = keyed.join(wanted, (keyed["digest"] == wanted["digest"]) & keyed["doc_id"].eqNullSafe(wanted["first_id"])).drop(wanted["digest"])
@@ -177,5 +163,5 @@ def remove_repeats(docs: DataFrame, config: PhraseDedupConfig = PhraseDedupConfi
     patterns = confirmed.union(phrases)
     removed = texts.select("shard", "digest", "text").groupBy("shard").cogroup(patterns.groupBy("shard")).applyInArrow(_locate(winnow), "digest binary, n_removed bigint, sha string")
     removed = removed.select("digest", "n_removed", F.col("sha").alias("kept"))
-    out = outline.drop("anchors").join(removed, "digest", "left")
+    out = outlined.drop("anchors").join(removed, "digest", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))

@@ -5,13 +5,12 @@ occurs twice has a minimiser at the same place in both. A suffix is held as its
 and, reversed, the words before it, as far as a window can reach.
 
 1. Spark counts minimisers; suffixes with one that occurs once have no neighbour and go, with the texts that hold no other.
-2. The rest are sorted over the whole corpus, by minimiser and following words (the suffix array) and again by minimiser and
-   preceding words. Sorting is by range on whole keys, so that a frequent minimiser spreads over many tasks.
-3. Each suffix is compared with its nearest neighbours in a stream, and the match is extended left and right; if it spans
-   `window` words or more, its words are repeated. Neighbours across the borders of tasks meet in a further small step.
-   Texts with equal digests count as one text that repeats as a whole.
-4. Where a minimiser has more suffixes than a suffix is compared with, a partner may be near in neither order. The windows
-   around each such suffix are numbered, Spark counts the numbers, and windows that occur twice are repeated as well.
+2. The rest are sorted by minimiser, following words and preceding words: the suffix array, dealt by minimiser. A frequent
+   minimiser's suffixes are dealt to several parts.
+3. Each suffix is compared with its neighbours, and the match is extended left and right; if it spans `window` words or more,
+   its words are repeated. Where a minimiser has three suffixes or more, a partner need not be next to it: all windows around
+   them are numbered and those that occur twice are repeated. Windows of minimisers in several parts are counted over all
+   parts, after each part has counted its own. Texts with equal digests count as one text that repeats as a whole.
 
 Defined results: words are maximal runs of characters other than blank and U+0009 to U+000D, unchanged. A null text has no
 words; texts of fewer words than a window have no spans. Repeated rows are copies of each other. An empty table gives no
@@ -20,152 +19,200 @@ rows; other columns are neither read nor returned. Texts of any length are read
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import words
 from lexloom.llm.common import written
-from lexloom.llm.phrase_dedup import _chunks, _outline
-from lexloom.llm.winnow import Winnow
+from lexloom.llm.winnow import Winnow, outline, places
+
+#: suffixes compared at once; the suffixes of one minimiser in a part stay together
+BLOCK = 30_000
+#: suffixes of one minimiser in a part, about
+PART = 10_000
 
 
 @dataclass(frozen=True)
 class SuffixDedupConfig:
-    """gram: words of a minimiser; neighbours: how many before it in each order a suffix is compared with."""
+    """gram: words of a minimiser."""
 
     window: int = 50
     gram: int = 20
-    neighbours: int = 6
 
     @property
     def reach(self) -> int:
         return self.window - self.gram
 
 
-def _suffixes(winnow: Winnow, reach: int):
-    """(digest, pos, anchor, after, before) for each minimiser of a text that recurs; a word is 4 bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches):
-            out: list[list] = [[], [], [], [], []]
-            for key, text, wanted in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("digest", "text", "anchors")]):
-                x = words.numbers(words.split(text))
-                grams = winnow.grams(x)
-                places = winnow.selected(grams, winnow.anchors(grams))
-                recurs = np.sort(np.array(wanted, np.int64).view(np.uint64))
-                at = np.minimum(np.searchsorted(recurs, grams[places]), len(recurs) - 1)
-                narrow = (x >> np.uint64(32)).astype(">u4")
-                back = narrow[::-1].tobytes()
-                narrow, n = narrow.tobytes(), len(x)
-                for p in places[recurs[at] == grams[places]].tolist():
-                    after = p + winnow.gram
-                    for column, value in zip(out, (key, p, int(grams[p].view(np.int64)), narrow[4 * after : 4 * (after + reach)], back[4 * (n - p) : 4 * (n - p + reach)])):
-                        column.append(value)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["digest", "pos", "anchor", "after", "before"])
-
-    return run
-
-
-def common_words(a: bytes, b: bytes) -> int:
-    """Words that two strings of 4-byte words have in common at their start."""
-    n = min(len(a), len(b)) // 4
-    if a[: 4 * n] == b[: 4 * n]:
-        return n
-    x = int.from_bytes(a[: 4 * n], "big") ^ int.from_bytes(b[: 4 * n], "big")
-    return n - 1 - (x.bit_length() - 1) // 32
-
-
-MATCHES = "digest binary, pos bigint, low bigint, high bigint, border int, anchor bigint, after binary, before binary, side int"
-_SCHEMA = pa.schema([("digest", pa.binary()), ("pos", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("border", pa.int32()), ("anchor", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("side", pa.int32())])
-
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of the given sizes in words of 4 bytes, one after another in data."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
-class _Stream:
-    """Compares each suffix with those just before it; `found` gathers (digest, low, high) of matches."""
 
-    def __init__(self, config: SuffixDedupConfig):
-        self.config, self.recent = config, deque(maxlen=config.neighbours)
-        self.found: dict[tuple[bytes, int], list[int]] = {}
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of the given sizes one after another: each entry's row and place in it."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-    def add(self, row: tuple) -> None:
-        """row: (digest, pos, anchor, after, before)"""
-        if self.recent and self.recent[-1][2] != row[2]:
-            self.recent.clear()
-        c = self.config
-        for other in self.recent:
-            right, left = common_words(row[3], other[3]), common_words(row[4], other[4])
-            if left + c.gram + right >= c.window:
-                for r in (row, other):
-                    span = self.found.setdefault((r[0], r[1]), [r[1], r[1]])
-                    span[0], span[1] = min(span[0], r[1] - left), max(span[1], r[1] + c.gram + right)
-        self.recent.append(row)
 
-    def table(self, edges: list[tuple] = ()) -> pa.RecordBatch:
-        rows = [(d, p, low, high, None, None, None, None, None) for (d, p), (low, high) in self.found.items()]
-        rows += [(r[0], r[1], None, None, border, r[2], r[3], r[4], side) for border, side, r in edges]
-        self.found = {}
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
-
-
-def _neighbours(config: SuffixDedupConfig):
-    """Over one sorted part: its matches, and the rows at its ends for the borders with the parts before and after."""
+def _suffixes(winnow: Winnow, reach: int):
+    """(digest, pos, anchor, parts, part, after, before) for each minimiser of a text that recurs; a word is 4 bytes. The suffixes
+    of a frequent minimiser are dealt to several parts by text and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stream, head = TaskContext.get().partitionId(), _Stream(config), []
-        for batch in batches:
-            for row in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("digest", "pos", "anchor", "after", "before")]):
-                stream.add(row)
-                if len(head) < config.neighbours:
-                    head.append(row)
-            yield stream.table()
-        if head:
-            yield stream.table([(part, 1, r) for r in head] + [(part + 1, 0, r) for r in stream.recent])
+        for batch in words.slices(batches):
+            of = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            w = words.words_of(of("text"))
+            x = w.numbers()
+            grams = winnow.grams(x)
+            p = winnow.selected(grams, winnow.anchors(grams, w.bounds))
+            wanted = of("anchors")
+            flat = wanted.flatten()
+            at = places(w.text_of[p], grams[p], wanted, flat.field("anchor"))
+            p, at = p[at >= 0], at[at >= 0]
+            text = w.text_of[p]
+            narrow = (x >> np.uint64(32)).astype(">u4")
+            after = np.minimum(reach, w.bounds[text + 1] - p - winnow.gram)
+            before = np.minimum(reach, p - w.bounds[text])
+            row, place = _spread(after)
+            right = _binary(narrow[p[row] + winnow.gram + place], after)
+            row, place = _spread(before)
+            left = _binary(narrow[p[row] - 1 - place], before)
+            pos = p - w.bounds[text]
+            name = np.frombuffer(b"".join(d[:8] for d in of("digest").to_pylist()), np.uint64)
+            parts = flat.field("parts").to_numpy()[at]
+            part = words.mixed(name[text] + pos.astype(np.uint64)) % parts.astype(np.uint64)
+            arrays = [of("digest").take(pa.array(text)), pa.array(pos), pa.array(grams[p].view(np.int64)), pa.array(parts), pa.array(part.astype(np.int32)), right, left]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "pos", "anchor", "parts", "part", "after", "before"])
 
     return run
 
 
-def _borders(config: SuffixDedupConfig):
-    def run(table: pa.Table) -> pa.Table:
-        stream = _Stream(config)
-        rows = list(zip(*[table.column(c).to_pylist() for c in ("side", "digest", "pos", "anchor", "after", "before")]))
-        for side in (0, 1):
-            for r in rows:
-                if r[0] == side:
-                    stream.add(r[1:])
-        return pa.Table.from_batches([stream.table()])
-
-    return run
+def _matrix(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sizes): the rows' words, filled up with zeros."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    data = np.frombuffer(column.buffers()[2] or b"", ">u4")[offsets[0] : offsets[-1]].astype(np.uint64)
+    sizes = np.diff(offsets)
+    out = np.zeros((len(column), reach), np.uint64)
+    row, place = _spread(sizes)
+    out[row, place] = data
+    return out, sizes
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal entries at the start of each row, `most` of them at most."""
+    same = np.ones((len(a), a.shape[1] + 1), bool)
+    same[:, :-1] = a == b
+    same[:, -1] = False
+    return np.minimum(same.argmin(axis=1), most)
+
+
+def _prefixes(m: np.ndarray) -> np.ndarray:
+    """A number for each prefix of each row, the empty one first."""
+    out = np.zeros((len(m), m.shape[1] + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(m.shape[1]):
+            out[:, k + 1] = words.mixed(out[:, k] + m[:, k] + np.uint64(1))
+    return out
+
+
+FOUND = "digest binary, low bigint, high bigint, number bigint, n int"
+
+
+def _found(digests: pa.Array, row: np.ndarray, low: np.ndarray, high: np.ndarray | None, number: np.ndarray | None, n: int) -> pa.RecordBatch:
+    size = len(low)
+    none = pa.nulls(size, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [digests.take(pa.array(row)), pa.array(low), none if high is None else pa.array(high), none if number is None else pa.array(number.view(np.int64)), pa.array(np.full(size, n, np.int32))],
+        ["digest", "low", "high", "number", "n"],
+    )
+
+
+def _compared(table: pa.Table, config: SuffixDedupConfig) -> Iterator[pa.RecordBatch]:
+    """Matches among sorted suffixes; those of a minimiser with several parts may have their match in another."""
+    anchor, open_ = table.column("anchor").to_numpy(), table.column("parts").to_numpy() > 1
+    starts = np.flatnonzero(_changes(table))
+    sizes = np.diff(np.append(starts, len(anchor)))
+    group, _ = _spread(sizes)
+    used = np.flatnonzero((sizes[group] > 1) | open_)
+    if not len(used):
+        return
+    table = table.take(pa.array(used)).combine_chunks()
+    anchor, group, sizes, border = anchor[used], group[used], sizes[group[used]], open_[used]
+    digests, pos = table.column("digest").chunk(0), table.column("pos").to_numpy()
+    (after, n_after), (before, n_before) = (_matrix(table.column(c).chunk(0), config.reach) for c in ("after", "before"))
+    # two suffixes are neighbours: how far the words agree on both sides
+    j = np.flatnonzero((group[1:] == group[:-1]) & (sizes[1:] == 2) & ~border[1:]) + 1
+    right = _common(after[j], after[j - 1], np.minimum(n_after[j], n_after[j - 1]))
+    left = _common(before[j], before[j - 1], np.minimum(n_before[j], n_before[j - 1]))
+    hit = left + config.gram + right >= config.window
+    j, left, right = j[hit], left[hit], right[hit]
+    for row in (j, j - 1):
+        yield _found(digests, row, pos[row] - left, pos[row] + config.gram + right, None, 0)
+    # among three or more, a window's partner need not be the neighbour: all windows around them, by words after the minimiser
+    many = np.flatnonzero((sizes > 2) | border)
+    if not len(many):
+        return
+    ahead, behind = _prefixes(after[many]), _prefixes(before[many])
+    shown, edge = np.zeros((len(many), config.reach + 1), bool), border[many]
+    for r in range(config.reach + 1):
+        rows = np.flatnonzero((n_after[many] >= r) & (n_before[many] >= config.reach - r))
+        with np.errstate(over="ignore"):
+            numbers = words.mixed(words.mixed(words.mixed(ahead[rows, r] + np.uint64(r)) ^ behind[rows, config.reach - r]) ^ anchor[many[rows]].view(np.uint64))
+        order = np.argsort(numbers)
+        same = numbers[order][1:] == numbers[order][:-1]
+        twice = np.zeros(len(rows), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        shown[rows[twice], r] = True
+        # windows that may have a partner in another part
+        open_ = rows[edge[rows] & ~twice]
+        if len(open_):
+            yield _found(digests, many[open_], pos[many[open_]] - config.reach + r, None, numbers[edge[rows] & ~twice], 1)
+        if (known := np.unique(numbers[edge[rows] & twice])).size:
+            zero = np.zeros(len(known), np.int64)
+            yield _found(digests, zero, zero, None, known, 2)
+    steps = np.diff(np.pad(shown.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(steps == 1)
+    last = np.nonzero(steps == -1)[1] - 1
+    at = pos[many[row]] - config.reach
+    yield _found(digests, many[row], at + first, at + last + config.window, None, 0)
+
+
+def _changes(table: pa.Table) -> np.ndarray:
+    """Whether each row begins another minimiser or part."""
+    out = np.ones(table.num_rows, bool)
+    anchor, part = table.column("anchor").to_numpy(), table.column("part").to_numpy()
+    out[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
+    return out
 
 
-def _windows(config: SuffixDedupConfig):
-    """(number, digest, low) of each window around a suffix: the number stands for the minimiser, its place in the window and
-    the other words."""
+def _neighbours(config: SuffixDedupConfig):
+    """Over sorted suffixes: spans (digest, low, high), and open windows (digest, low, number) of minimisers with several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches, 5000):
-            pos, anchor = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("pos", "anchor"))
-            sides = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("before", "after")])
-            parts = [np.concatenate([np.frombuffer(b, ">u4")[::-1], np.frombuffer(a, ">u4")]) for b, a in sides]
-            left = np.array([len(b) // 4 for b in batch.column(batch.schema.get_field_index("before")).to_pylist()], np.int64)
-            lengths = np.array([len(x) for x in parts], np.int64)
-            row = np.repeat(np.arange(len(parts)), lengths)
-            first = np.cumsum(lengths) - lengths
-            back = left[row] - (np.arange(len(row)) - first[row])  # words of the window before the minimiser
-            whole = np.flatnonzero((back >= 0) & (lengths[row] - left[row] + back >= config.reach))
-            if not len(whole):
+        held, rows, limit = [], 0, BLOCK
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < limit:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(_changes(table))[-1])
+            if not cut:
+                held, limit = table.to_batches(), 2 * rows
                 continue
-            row, back = row[whole], back[whole]
-            others = words.runs(np.concatenate(parts).astype(np.uint64), config.reach)[whole]
-            numbers = words.mixed(words.mixed(others ^ anchor[row].view(np.uint64)) + back.astype(np.uint64))
-            digests = batch.column(batch.schema.get_field_index("digest")).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), digests, pa.array(pos[row] - back)], ["number", "digest", "low"])
+            yield from _compared(table.slice(0, cut), config)
+            held, rows, limit = table.slice(cut).to_batches(), rows - cut, BLOCK
+        if rows:
+            yield from _compared(pa.Table.from_batches(held).combine_chunks(), config)
 
     return run
 
@@ -173,17 +220,21 @@ def _windows(config: SuffixDedupConfig):
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each text, merged where they touch."""
     for batch in batches:
-        out = []
-        for spans in batch.column(1).to_pylist():
-            one: list[list[int]] = []
-            for s in sorted((x["low"], x["high"]) for x in spans):
-                if one and s[0] <= one[-1][1]:
-                    one[-1][1] = max(one[-1][1], s[1])
-                else:
-                    one.append(list(s))
-            out.append([{"start": a, "end": b} for a, b in one])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["digest", "spans"])
+        lists = batch.column(1)
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        low, high = flat.field("low").to_numpy(), flat.field("high").to_numpy()
+        order = np.lexsort((low, row))
+        row, low, high = row[order], low[order], high[order]
+        wide = int(high.max(initial=0)) + 1  # texts apart, so that one running maximum serves all
+        reach = np.maximum.accumulate(high + row * wide) - row * wide
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (low[1:] > reach[:-1])
+        begin = np.flatnonzero(first)
+        last = np.append(begin[1:], len(row)) - 1 if len(row) else begin
+        spans = pa.StructArray.from_arrays([pa.array(low[begin]), pa.array(reach[last])], ["start", "end"])
+        offsets = np.searchsorted(row[begin], np.arange(len(lists) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["digest", "spans"])
 
 
 def repeated_spans(docs: DataFrame, config: SuffixDedupConfig = SuffixDedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,39 +242,31 @@ def repeated_spans(docs: DataFrame, config: SuffixDedupConfig = SuffixDedupConfi
     winnow = Winnow(config.window, config.gram)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    outline = written(slim.mapInArrow(_outline(winnow), f"doc_id {id_type}, digest binary, n_words bigint, sha string, anchors array<bigint>").drop("sha"), "outline")
+    outlined = written(slim.mapInArrow(outline(winnow), f"doc_id {id_type}, digest binary, n_words bigint, anchors array<bigint>"), "outline")
 
-    each = outline.where("anchors is not null").select("digest", F.explode("anchors").alias("anchor"))
+    some = outlined.where(F.size("anchors") > 0)
+    each = some.select("digest", F.explode("anchors").alias("anchor"))
     # the suffix of a text that occurs twice is no neighbour of its own copy: digests count once, repeats in a text do not
     texts_of = each.groupBy("digest", "anchor").agg(F.count("*").alias("n"))
-    copies = outline.where("anchors is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    copies = some.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
     inside = texts_of.join(copies.select("digest", "copies"), "digest").select("digest", "anchor", F.ceil(F.col("n") / F.col("copies")).alias("n"))
-    recurring = inside.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    of_text = inside.select("digest", "anchor").join(recurring, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
+    recurring = inside.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    of_text = inside.select("digest", "anchor").join(recurring, "anchor").groupBy("digest").agg(F.collect_list(F.struct("anchor", "parts")).alias("anchors"))
     wanted = of_text.join(copies, "digest")
     keyed = slim.where("text is not null").withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     # always by a shuffle, so that the plan is the same at every size
     texts = keyed.join(wanted.hint("merge"), (keyed["digest"] == wanted["digest"]) & keyed["doc_id"].eqNullSafe(wanted["first_id"])).drop(wanted["digest"])
     texts = texts.dropDuplicates(["digest", "first_id"]).select("digest", "text", "anchors")
-    suffixes = written(texts.mapInArrow(_suffixes(winnow, config.reach), "digest binary, pos bigint, anchor bigint, after binary, before binary"), "suffixes")
-
-    matches = None
-    for first, second in (("after", "before"), ("before", "after")):
-        keys = ["anchor", first, second, "digest", "pos"]
-        ranged = suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        found = written(ranged.mapInArrow(_neighbours(config), MATCHES), "matches")
-        across = found.where("border is not null").groupBy("border").applyInArrow(_borders(config), MATCHES)
-        both = found.where("low is not null").union(across).select("digest", "low", "high")
-        matches = both if matches is None else matches.union(both)
-    if config.reach:  # else equal minimisers are equal windows, and any neighbour confirms them
-        frequent = suffixes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > config.neighbours + 1).select("anchor")
-        windows = suffixes.join(frequent.hint("merge"), "anchor").mapInArrow(_windows(config), "number bigint, digest binary, low bigint")
-        twice = windows.groupBy("number").agg(F.count("*").alias("n")).where("n > 1").select("number")
-        counted = windows.join(twice.hint("merge"), "number").select("digest", "low", (F.col("low") + config.window).alias("high"))
-        matches = matches.union(counted)
+    suffixes = texts.mapInArrow(_suffixes(winnow, config.reach), "digest binary, pos bigint, anchor bigint, parts int, part int, after binary, before binary")
+    sorted_ = suffixes.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "after", "before")
+    found = written(sorted_.mapInArrow(_neighbours(config), FOUND), "found")
+    open_ = found.where("number is not null")
+    twice = open_.groupBy("number").agg(F.sum("n").alias("total")).where("total > 1").select("number")
+    across = open_.where("n = 1").join(twice.hint("merge"), "number").select("digest", "low", (F.col("low") + config.window).alias("high"))
+    matches = found.where("number is null").select("digest", "low", "high").union(across)
     gathered = matches.groupBy("digest").agg(F.collect_set(F.struct("low", "high")).alias("s"))
     spans = gathered.mapInArrow(_merged, "digest binary, spans array<struct<start:bigint,end:bigint>>")
-    out = outline.drop("anchors").join(spans, "digest", "left").join(copies.select("digest", "copies"), "digest", "left")
+    out = outlined.drop("anchors").join(spans, "digest", "left").join(copies.select("digest", "copies"), "digest", "left")
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     out = out.withColumn("spans", F.when((F.col("copies") > 1) & (F.col("n_words") >= config.window), whole).otherwise(F.coalesce("spans", none)))
