@@ -8,8 +8,8 @@
    sets is verified, and a tile returns for each member its number of links and one edge to its part of the tile.
 4. Connected components of verified links are the classes.
 
-Defined results: words are maximal runs of characters other than blank and U+0009 to U+000D of the lower-cased text; a
-text of fewer words than n has one gram, all its words; a null text or one without words is its own class with no links.
+Defined results: words are maximal runs of characters other than blank and U+0009 to U+000D of the lower-cased text (each
+character by itself); a text of fewer words than n has one gram, all its words; a null text or one without words is its own class with no links.
 class_id is the least doc_id of the class (null only if all are null). Repeated rows are copies of each other. An empty
 table gives no rows; other columns are neither read nor returned. Texts of any length are read whole.
 """
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ from lexloom.llm import words
 from lexloom.llm.common import numbered, written
 from lexloom.llm.graph import components
 
-#: members of a tile's side, and members dealt to a task
-TILE = 256
+#: members and grams of a tile's side, about, and members dealt to a task
+TILE = 1024
+TILE_GRAMS = 1 << 20
 DEALT = 1500
 
 
@@ -55,12 +57,23 @@ def band_shape(threshold: float, recall: float, most: int = 200) -> tuple[int, i
     return most, 1
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
-    """The text's distinct n-grams as sorted numbers."""
-    x = words.numbers(words.split(text.lower() if text else None))
-    if not len(x):
-        return x
-    return np.unique(words.runs(x, min(n, len(x))) + np.uint64(min(n, len(x))))
+def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text as sorted numbers, one text after another, and where each text's begin."""
+    w = words.words_of(pc.utf8_lower(texts))
+    x, counts = w.numbers(), w.counts
+    sizes = np.where(counts < n, np.minimum(counts, 1), counts - n + 1)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    grams = np.empty(int(begins[-1]), np.uint64)
+    grams[np.repeat(counts >= n, sizes)] = words.runs(x, n)[words.whole(w.bounds, n)] + np.uint64(n)
+    for k in range(1, n):
+        rows = np.flatnonzero(counts == k)
+        grams[begins[rows]] = words.runs(x, k)[w.bounds[rows]] + np.uint64(k) if len(rows) else 0
+    for a, b in zip(begins.tolist(), begins[1:].tolist()):
+        grams[a:b].sort()
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[begins[:-1][sizes > 0]] = True
+    return grams[new], np.concatenate([[0], np.cumsum(new)])[begins]
 
 
 def set_key(grams: np.ndarray) -> bytes | None:
@@ -77,38 +90,40 @@ class Signer:
         self.fold = words.mixed(np.arange(1, self.rows + 1, dtype=np.uint64)) | np.uint64(1)
         self.band = words.mixed(np.arange(1, self.bands + 1, dtype=np.uint64) << np.uint64(20))
 
-    def bands_of(self, grams: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
+    def bands_of(self, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Band hashes of each set, a row each; sets without grams have rows of no meaning."""
+        least = np.full((len(bounds) - 1, len(self.a)), np.iinfo(np.uint64).max, np.uint64)
+        block = np.empty((128, len(self.a)), np.uint64)
         with np.errstate(over="ignore"):
-            for i in range(0, len(grams), 512):
-                np.minimum(least, (grams[i : i + 512, None] * self.a + self.b).min(axis=0), out=least)
-            return words.mixed((least.reshape(self.bands, self.rows) * self.fold).sum(axis=1, dtype=np.uint64) ^ self.band).view(np.int64)
+            for row, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                for i in range(a, b, 128):
+                    part = block[: min(128, b - i)]
+                    np.multiply(grams[i : min(i + 128, b), None], self.a, out=part)
+                    part += self.b
+                    np.minimum(least[row], part.min(axis=0), out=least[row])
+            return words.mixed((least.reshape(-1, self.bands, self.rows) * self.fold).sum(axis=2, dtype=np.uint64) ^ self.band).view(np.int64)
 
 
 def _signatures(config: JaccardConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(config)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                keys, bands = [], []
-                for text in batch.column(1).to_pylist():
-                    grams = gram_set(text, config.n)
-                    keys.append(set_key(grams))
-                    bands.append(signer.bands_of(grams) if keys[-1] else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["rid", "doc_id", "key", "bands"])
+        for batch in words.slices(batches, 1):
+            grams, bounds = gram_sets(batch.column(1), config.n)
+            keys = [set_key(grams[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            bands = signer.bands_of(grams, bounds)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * signer.bands), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(np.diff(bounds)), lists], ["rid", "doc_id", "key", "grams", "bands"])
 
     return run
 
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                grams = [gram_set(t, n).tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-                keep = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(grams, pa.binary())], [*keep, "grams"])
+        for batch in words.slices(batches):
+            grams, bounds = gram_sets(batch.column(batch.schema.get_field_index("text")), n)
+            sets = pa.array([grams[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary())
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], sets], [*keep, "grams"])
 
     return run
 
@@ -196,16 +211,18 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id
 
 def _classes(rows: DataFrame, config: JaccardConfig) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.select("rid", "text", "doc_id").mapInArrow(_signatures(config), f"rid bigint, doc_id {id_type}, key binary, bands array<bigint>"), "signatures")
+    signed = written(rows.select("rid", "text", "doc_id").mapInArrow(_signatures(config), f"rid bigint, doc_id {id_type}, key binary, grams bigint, bands array<bigint>"), "signatures")
     full = signed.where("key is not null")
     # one node for each different set, named by its least row; bands are a function of the set
-    nodes = full.groupBy("key").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"))
+    nodes = full.groupBy("key").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("grams").alias("size"))
     banded = full.join(nodes.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub <> last").drop("last")
     met = banded.join(hubs, "bucket").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
     grouped = components(met, "candidates").select(F.col("node").alias("rid"), "component")
-    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    members = written(grouped.join(sizes, "component").join(nodes.select("rid", "copies"), "rid").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")), "members")
+    sized = grouped.join(nodes.select("rid", "copies", "size"), "rid")
+    # a tile's side is bounded by members and by grams, so that long texts have smaller tiles
+    sizes = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("int").alias("tiles"))
+    members = written(sized.drop("size").join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")).select("rid", "component", "tiles", "copies", "tile"), "members")
     dealt = max(1, members.count() // DEALT)
     # always by a shuffle, so that the plan is the same at every size
     sets = rows.select("rid", "text").join(members.hint("merge"), "rid").mapInArrow(_sets(config.n), "rid bigint, component bigint, tiles int, copies bigint, tile int, grams binary")
@@ -227,7 +244,9 @@ def _classes(rows: DataFrame, config: JaccardConfig) -> DataFrame:
 
 def keep_first(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, without those that have a class's other row before them."""
-    rid = "__rid"
+    rid = "rid"
+    while rid in docs.columns:
+        rid += "_"
     rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     found = _classes(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(rid).alias("rid")), config)
     gone = found.where("not first").select(F.col("rid").alias(rid))
