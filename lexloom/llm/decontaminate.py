@@ -1,23 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as overlapping passages. For each block of benchmark items:
-
-1. a pass cuts texts into words and writes those that are benchmark terms as numbers; another counts in how many passages each benchmark term occurs (terms that no item has cannot match one and enter the
-   passage norms only);
-2. two passes give a randomised singular value decomposition of the TF-IDF matrix of all passages and, with a heavy
-   weight, the items: the range of A'A on a random basis, then the Gram matrix in that range. Partial sums of terms by
-   rank are added by Spark; the driver holds terms x rank numbers, bounded by the block, whatever the corpus;
-3. a last pass compares every passage with every item in the latent space (cosine, with the passage's full norm) and
-   by the share of the item that it holds, and verifies candidates inside the document: longest common
-   subsequence of all the item's words, and for partial ones the share of the answer's terms.
-
-Terms weigh less the more passages hold them, but none is left out, and in the second comparison they weigh by the number
-of items that have them: an item that a large part of the corpus holds makes its own terms frequent in passages, not in
-items, and is found all the same.
-
-Defined results: null or empty texts and items match nothing, nor do items without letters or digits. The answer is the item's
-last sentence where no answer column is named or the answer is null. Repeated rows each give their rows; an empty corpus
-or benchmark gives none; other columns are neither read nor returned. Texts of any length are read whole.
+Documents are read as blocks of `block` terms; passages are blocks and pairs of neighbouring blocks.
+
+1. A pass over the corpus makes the randomised singular value decomposition of its TF-IDF matrix: terms are hashed to
+   `features` columns, every block is added, with a random sign, to one of `sketch` rows, and the blocks that hold a feature
+   are counted. Sums over tasks are small tables of fixed size, whatever the corpus and the benchmark. The driver weighs the
+   sketch's columns by the counts and decomposes it; its right singular vectors are the latent axes.
+2. A second pass brings passages and items to the latent space and searches by cosine. The axes are scaled by their singular
+   values, those far above the usual ones less, so that neither a language's common words nor a passage that much of the
+   corpus holds drowns the rest. Candidates are verified inside the document: longest common subsequence with all the
+   item's terms and, for partial ones, the share of the answer's terms. Before that, an upper bound of the subsequence (the
+   item's terms that occur near the passage at all) sorts out most; it drops nothing that could be confirmed.
+
+A term weighs less the more blocks hold it, and none is left out. The search is approximate (what is confirmed has a passage
+of at least `cosine`); the verification is exact.
+
+Defined results: terms are maximal runs of letters and numbers in lower case. Null or empty texts and items match nothing, nor
+do items without terms. The answer is the item's last sentence where no answer column is named or the answer is null.
+Repeated rows each give their rows; an empty corpus or benchmark gives none; other columns are neither read nor returned.
+Texts of any length are read whole. The benchmark is held by the driver and by each task, the corpus never.
 """
 
 from __future__ import annotations
@@ -25,191 +26,237 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import written
+from lexloom.llm import words
 
-CHUNK = 200
-WIDTH = 16
+#: columns of the sketch in one row of a task's sums
+SLICE = 128
+#: items verified at once
+ITEMS = 256
 
 
 @dataclass(frozen=True)
 class DecontaminateConfig:
-    """A passage has `window` words and starts every half window. Items near a passage by `cosine`, or of whose terms' weight it
-    holds `part`, are verified. A subsequence of `copy` of an item's words is a copy; one of `part` is a paraphrase if `answer`
-    of the answer's terms are there as well."""
-
-    window: int = 64
-    cosine: float = 0.2
+    """Items near a passage by `cosine` are verified. A subsequence of `copy` of an item's terms is a copy; one of `part` is a
+    paraphrase if `answer` of the answer's terms are there as well."""
+
+    block: int = 32
+    features: int = 4096
+    sketch: int = 256
+    rank: int = 128
+    cosine: float = 0.35
     copy: float = 0.75
     part: float = 0.5
     answer: float = 0.6
-    block_items: int = 400
-    extra_rank: int = 24
     seed: int = 5
 
 
-WORD = re.compile(r"[^\W_]+")
+class Blocks:
+    """The blocks and passages of some texts. features: distinct features of each block, filled up with config.features."""
+
+    def __init__(self, texts: pa.Array | list[str | None], config: DecontaminateConfig):
+        self.words = w = words.terms_of(texts)
+        self.numbers = x = w.numbers()
+        self.counts = -(-w.counts // config.block)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        text = w.text_of
+        place = np.arange(len(x)) - w.bounds[text]
+        self.block = self.first[text] + place // config.block
+        self.features = np.full((int(self.first[-1]), config.block), config.features, np.int32)
+        self.features[self.block, place % config.block] = x % np.uint64(config.features)
+        self.features.sort(axis=1)
+        again = self.features[:, 1:] == self.features[:, :-1]
+        self.features[:, 1:][again] = config.features
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks, then pairs of neighbouring blocks of a text: their text, their first block, and whether it is a pair."""
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        pairs = np.flatnonzero(text[1:] == text[:-1])
+        every = np.arange(len(text))
+        return np.concatenate([text, text[pairs]]), np.concatenate([every, pairs]), np.repeat([False, True], [len(every), len(pairs)])
 
 
-def tokens(text: str | None) -> list[str]:
-    """Runs of letters and digits, in lower case."""
-    return WORD.findall(text.lower()) if text else []
+# ---- decomposition
 
 
-def number_type(vocabulary: dict[str, int]) -> str:
-    return "<i2" if len(vocabulary) < 1 << 15 else "<i4"
+def _sketch(config: DecontaminateConfig):
+    """A task's sums: rows of the sketch by slices of columns, and at -1 the number of blocks and of those with each feature."""
+    size = config.features + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        total, found = np.zeros(config.sketch * size, np.float32), np.zeros(size)
+        for batch in words.slices(batches, 0):
+            blocks = Blocks(batch.column(0), config).features
+            n = len(blocks)
+            draw = words.mixed(words.mixed(np.arange(made, made + n, dtype=np.uint64)) ^ words.mixed(np.full(n, part * 1000 + config.seed, np.uint64)))
+            sign = np.where(draw >> np.uint64(63), 1, -1).astype(np.float32)
+            np.add.at(total, ((draw % np.uint64(config.sketch)).astype(np.int64)[:, None] * size + blocks).ravel(), np.repeat(sign, config.block))
+            found += np.bincount(blocks.ravel(), minlength=size)
+            made += n
+        if made:
+            found[-1] = made
+            total = total.reshape(config.sketch, size)
+            at = np.arange(0, config.features, SLICE)
+            sums = [found.tobytes(), *[np.ascontiguousarray(total[:, i : i + SLICE]).astype(np.float64).tobytes() for i in at]]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array(sums, pa.binary())], ["at", "sums"])
+
+    return run
 
 
-def encoded(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    """The text's words as term numbers, -1 where the vocabulary lacks a word."""
-    found = tokens(text)
-    return np.fromiter(map(vocabulary.get, found, repeat(-1)), number_type(vocabulary), len(found))
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the same place, one row at a time."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = np.frombuffer(data.as_buffer(), np.float64)
+            if at in total:
+                total[at] += part
+            else:
+                total[at] = part.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["at", "sums"])
+
+
+def fit(docs: DataFrame, text_col: str = "text", config: DecontaminateConfig = DecontaminateConfig()) -> np.ndarray:
+    """The latent axes: a row for each feature, scaled by its weight, and a last one of zeros."""
+    schema = "at int, sums binary"
+    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(_sketch(config), schema).repartition("at").mapInArrow(_added, schema)
+    parts = {r["at"]: np.frombuffer(r["sums"], np.float64) for r in sums.collect()}
+    if not parts:
+        return np.zeros((config.features + 1, 1), np.float32)
+    found = parts.pop(-1)
+    sketch = np.hstack([parts[at].reshape(config.sketch, -1)[:, :SLICE] for at in sorted(parts)])[:, : config.features]
+    weight = np.log((1 + found[-1]) / (1 + found[:-1])) + 0.5
+    sketch = sketch * weight
+    values, left = np.linalg.eigh(sketch @ sketch.T)
+    values, left = np.sqrt(np.maximum(values[::-1], 0))[: config.rank], left[:, ::-1][:, : config.rank]
+    kept = values > 1e-5 * values[0]
+    values, axes = values[kept], sketch.T @ (left[:, kept] / values[kept])
+    scale = np.minimum(values, 2 * np.median(values)) if len(values) else values
+    return np.ascontiguousarray(np.vstack([axes * weight[:, None] / scale, np.zeros((1, len(scale)))]), np.float32)
+
+
+def projected(features: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Sum of the axes' rows over each row of features."""
+    out = np.zeros((len(features), axes.shape[1]), np.float32)
+    row = np.empty((512, axes.shape[1]), np.float32)
+    for i in range(0, len(features), 512):
+        part, to = features[i : i + 512], out[i : i + 512]
+        for k in range(features.shape[1]):
+            np.take(axes, part[:, k], axis=0, out=row[: len(part)], mode="clip")
+            to += row[: len(part)]
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+# ---- search
 
 
 @dataclass(frozen=True)
 class Item:
+    """terms: numbers of the item's words in order; answer: those of the answer."""
+
     id: object
     terms: np.ndarray
     answer: frozenset
 
 
-class Passages:
-    """The passages of some texts: distinct (passage, term) pairs in order, and counts of unknown words. A passage is two
-    neighbouring blocks of half a window. ids has each text's words as term numbers."""
-
-    def __init__(self, ids: list[np.ndarray], size: int, window: int):
-        half = window // 2
-        lengths = np.array([len(x) for x in ids], np.int64)
-        every = np.concatenate(ids).astype(np.int32) if len(ids) else np.empty(0, np.int32)
-        self.every, self.ends = every, np.cumsum(lengths)
-        blocks = -(-lengths // half)
-        counts = np.maximum(blocks - 1, blocks > 0)
-        self.base = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.count = int(self.base[-1])
-        self.doc = np.repeat(np.arange(len(ids)), counts)
-        known = np.flatnonzero(every >= 0)
-        of = lambda at: np.searchsorted(self.ends, at, side="right")
-        doc = of(known)
-        block = (known - (self.ends - lengths)[doc]) // half
-        keys = []
-        for back in (0, 1):
-            b = block - back
-            ok = (b >= 0) & (b < counts[doc])
-            keys.append((self.base[doc[ok]] + b[ok]) * size + every[known[ok]])
-        pairs = np.unique(np.concatenate(keys))
-        self.passage, self.term = pairs // size, pairs % size
-        # unknown words by block, then by passage
-        first = np.concatenate([[0], np.cumsum(blocks)])
-        missing = np.flatnonzero(every == -1)
-        doc = of(missing)
-        by_block = np.bincount(first[doc] + (missing - (self.ends - lengths)[doc]) // half, minlength=int(first[-1]) + 1)
-        at = first[self.doc] + np.arange(self.count) - self.base[self.doc]
-        self.unknown = by_block[at] + np.where(blocks[self.doc] > 1, by_block[at + 1], 0)
-
-    def words(self, doc: int) -> np.ndarray:
-        return self.every[self.ends[doc - 1] if doc else 0 : self.ends[doc]]
-
-    def vectors(self, idf: np.ndarray, basis: np.ndarray, rare: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, vectors, norms, passage index and term of their pairs): the passages with weight, times basis; all terms have weight."""
-        passage, t = self.passage, self.term
-        weight = np.bincount(passage, idf[t] ** 2, minlength=self.count)
-        norm = np.sqrt(weight + self.unknown * rare**2)
-        rows = np.flatnonzero(weight > 0)
-        chosen = np.zeros(self.count, bool)
-        chosen[rows] = True
-        inside = chosen[passage]
-        passage, t = passage[inside], t[inside]
-        if not len(rows):
-            return rows, np.empty((0, basis.shape[1]), np.float32), norm[rows], passage, t
-        starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        vectors = np.empty((len(rows), basis.shape[1]), np.float32)
-        weighted = basis * idf[:, None].astype(np.float32)
-        bounds = np.append(starts, len(passage))
-        for i in range(0, len(rows), 512):
-            a, b = bounds[i], bounds[min(i + 512, len(rows))]
-            vectors[i : i + 512] = np.add.reduceat(weighted[t[a:b]], starts[i : i + 512] - a, axis=0)
-        return rows, vectors, norm[rows], np.repeat(np.arange(len(rows)), np.diff(bounds)), t
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, CHUNK):
-            batch = whole.slice(at, CHUNK)
-            yield batch, batch.column(text_at).to_pylist()
-
-
-def _arrays(column: list[bytes], kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(b, kind) for b in column]
-
-
-def _summed(ids: DataFrame, kind: str, work, size: int, width: int) -> np.ndarray:
-    """Sums over all tasks of the (size x width) matrices that work makes of each chunk of encoded texts."""
-    slices = -(-width // WIDTH)
-    names = [f"v{k}" for k in range(WIDTH)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, slices * WIDTH))
-        for _, chunk in _chunks(batches, 0):
-            work(_arrays(chunk, kind), total[:, :width])
-        used = np.flatnonzero(total.any(axis=1))
-        for s in range(slices):
-            part = total[used, s * WIDTH : (s + 1) * WIDTH]
-            yield pa.RecordBatch.from_arrays([pa.array(used * slices + s, pa.int64()), *[pa.array(np.ascontiguousarray(part[:, k])) for k in range(WIDTH)]], ["at", *names])
-
-    parts = ids.mapInArrow(run, "at bigint, " + ", ".join(f"{n} double" for n in names))
-    out = np.zeros((size, slices * WIDTH))
-    for r in parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).collect():
-        s = r["at"] % slices
-        out[r["at"] // slices, s * WIDTH : (s + 1) * WIDTH] = r[1:]
-    return out[:, :width]
+class Group:
+    """Some items with what a search needs: the vocabulary, each item's distinct terms and how often it has them, and the latent
+    vectors of its passages."""
+
+    def __init__(self, items: list[Item], axes: np.ndarray, config: DecontaminateConfig):
+        self.items = items
+        self.vocabulary = np.unique(np.concatenate([i.terms for i in items]))
+        self.ids = [np.searchsorted(self.vocabulary, i.terms) for i in items]
+        distinct = [np.unique(x, return_counts=True) for x in self.ids]
+        most = max(len(d) for d, _ in distinct)
+        self.terms = np.full((len(items), most), len(self.vocabulary))
+        self.share = np.zeros((len(items), most), np.float32)
+        for k, (d, n) in enumerate(distinct):
+            self.terms[k, : len(d)], self.share[k, : len(d)] = d, n / n.sum()
+        # blocks on both sides of a pair within which an item lies that the pair holds for the most part
+        self.reach = np.array([max(1, -(-len(i.terms) // config.block) - 1) for i in items])
+        vectors, self.owner = [], []
+        for k, i in enumerate(items):
+            for at in range(0, max(1, len(i.terms) - config.block), config.block):
+                part = np.unique(i.terms[at : at + 2 * config.block] % np.uint64(config.features)).astype(np.int64)
+                vectors.append(axes[part].sum(axis=0))
+                self.owner.append(k)
+        self.owner = np.array(self.owner)
+        self.latent = _unit(np.array(vectors, np.float32))
 
 
 @dataclass
 class Index:
-    """What the last pass needs of a block of items. basis: the latent axes, then a column for each item that makes weighted
-    sums the share of it in a passage; enough: the share that has a passage verified."""
-
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    rare: float
-    basis: np.ndarray
-    latent: np.ndarray
-    enough: np.ndarray
-    items: list[Item]
+    axes: np.ndarray
+    groups: list[Group]
     config: DecontaminateConfig
 
-    def matches(self, ids: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
-        """ids: texts as `encoded` makes them. (text, item, cosine, subsequence share, answer share) of what is confirmed, the best passage of each pair."""
-        c = self.config
-        p = Passages(ids, len(self.vocabulary), c.window)
-        rows, vectors, norms, _, _ = p.vectors(self.idf, self.basis, self.rare)
-        rank = self.latent.shape[1]
+    def matches(self, texts: pa.Array | list[str | None]) -> list[tuple[int, object, float, float, float]]:
+        """(text, item id, cosine, subsequence share, answer share) of what is confirmed, the best passage of each pair."""
+        blocks = Blocks(texts, self.config)
+        text, a, pair = blocks.passages()
+        if not len(text):
+            return []
+        vectors = projected(blocks.features, self.axes)
+        vectors = _unit(np.concatenate([vectors, vectors[a[pair]] + vectors[a[pair] + 1]]))
+        return [m for group in self.groups for m in self._in_group(group, blocks, text, a, vectors)]
+
+    def _in_group(self, group: Group, blocks: Blocks, text: np.ndarray, a: np.ndarray, vectors: np.ndarray) -> list[tuple]:
+        c, size = self.config, len(group.vocabulary)
+        at = np.minimum(np.searchsorted(group.vocabulary, blocks.numbers), size - 1)
+        ids = np.where(group.vocabulary[at] == blocks.numbers, at, size)
+        near = vectors @ group.latent.T
+        passage, vector = np.nonzero(near >= c.cosine)
+        cosine = near[passage, vector]
+        item = group.owner[vector]
+        here = np.zeros((int(blocks.first[-1]), size + 1), bool)
+        here[blocks.block, ids] = True
+        here[:, size] = False
+        here = np.packbits(here, axis=1, bitorder="little")
+        byte, bit = group.terms >> 3, (group.terms & 7).astype(np.uint8)
+        kept = []
+        for reach in np.unique(group.reach):
+            chosen = np.flatnonzero(group.reach[item] == reach)
+            around = here.copy()  # the terms of a passage's blocks and of `reach` more on both sides, whatever texts they are of
+            for d in range(1, reach + 2):
+                around[:-d] |= here[d:]
+            for d in range(1, reach + 1):
+                around[d:] |= here[:-d]
+            for i in range(0, len(chosen), 1 << 14):
+                rows = chosen[i : i + (1 << 14)]
+                k = item[rows]
+                held = around[a[passage[rows]][:, None], byte[k]] >> bit[k] & 1
+                kept.append(rows[np.einsum("ij,ij->i", held.astype(np.float32), group.share[k]) >= c.part - 1e-4])
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for i in range(0, len(rows), 2048):
-            near = vectors[i : i + 2048, :rank] @ self.latent.T / norms[i : i + 2048, None]
-            for r, k in zip(*np.nonzero((near >= c.cosine) | (vectors[i : i + 2048, rank:] >= self.enough))):
-                passage = rows[i + r]
-                doc = int(p.doc[passage])
-                item = self.items[k]
-                if found.get((doc, int(k)), (0, 0, 0))[1] >= 1:
-                    continue
-                start = (passage - p.base[doc]) * (c.window // 2)
-                around = p.words(doc)[max(0, start - item.terms.size * 2) : start + c.window + item.terms.size * 2]
-                around = around[around >= 0]
-                share = subsequence(item.terms.tolist(), around.tolist()) / item.terms.size
-                if share < c.part:
-                    continue
-                answer = len(item.answer.intersection(around.tolist())) / len(item.answer) if item.answer else 0.0
-                if share >= c.copy or answer >= c.answer:
-                    old = found.get((doc, int(k)), (0.0, 0.0, 0.0))
-                    found[doc, int(k)] = max(old, (float(near[r, k]), share, answer), key=lambda x: (x[1], x[0]))
-        return [(d, k, *v) for (d, k), v in sorted(found.items())]
+        for row in np.sort(np.concatenate(kept)).tolist() if kept else ():
+            k, p = int(item[row]), int(passage[row])
+            doc = int(text[p])
+            if found.get((doc, k), (0, 0, 0))[1] >= 1:
+                continue
+            begin, reach = blocks.words.bounds[doc], int(group.reach[k])
+            first = int(a[p] - blocks.first[doc])
+            part = ids[begin + max(0, first - reach) * c.block : min(begin + (first + 2 + reach) * c.block, blocks.words.bounds[doc + 1])]
+            part = part[part < size].tolist()
+            share = subsequence(group.ids[k].tolist(), part) / len(group.ids[k])
+            if share < c.part:
+                continue
+            seen, answer = set(part), group.items[k].answer
+            answered = sum(int(np.searchsorted(group.vocabulary, t)) in seen for t in answer) / len(answer) if answer else 0.0
+            if share >= c.copy or answered >= c.answer:
+                new = (float(cosine[row]), share, answered)
+                found[doc, k] = max(found.get((doc, k), new), new, key=lambda x: (x[1], x[0]))
+        return [(doc, group.items[k].id, *v) for (doc, k), v in sorted(found.items())]
 
 
 def subsequence(a: list[int], b: list[int]) -> int:
@@ -226,118 +273,43 @@ def subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, size: int) -> Iterator[list]:
+def _items(items: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> list[Item]:
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
-    block: list = []
-    for r in items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), answer.alias("answer")).where("text is not null").toLocalIterator():
-        block.append(r)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), answer.alias("answer")).where("text is not null").collect()
+    last = lambda t: ([x for x in re.split(r"[.!?]+", t) if x.strip()] or [""])[-1]
+    texts = words.terms_of([r["text"] for r in rows])
+    answers = words.terms_of([r["answer"] if r["answer"] is not None else last(r["text"]) for r in rows])
+    terms, wanted = texts.numbers(), answers.numbers()
+    out = []
+    for k, r in enumerate(rows):
+        own = terms[texts.bounds[k] : texts.bounds[k + 1]]
+        if len(own):
+            out.append(Item(r["id"], own, frozenset(wanted[answers.bounds[k] : answers.bounds[k + 1]].tolist()) & frozenset(own.tolist())))
+    return out
 
-def _encoded_table(docs: DataFrame, id_col: str | None, text_col: str, vocabulary: dict[str, int]) -> DataFrame:
-    """A written table of doc_id and ids, so that texts are cut into words once."""
-    slim = docs.select((F.col(id_col) if id_col else F.lit(None).cast("bigint")).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, chunk in _chunks(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoded(t, vocabulary).tobytes() for t in chunk], pa.binary())], ["doc_id", "ids"])
-
-    return written(slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary"), "encoded")
-
-
-def build_index(docs: DataFrame, id_col: str | None, text_col: str, block: list, config: DecontaminateConfig) -> tuple[Index, DataFrame] | None:
-    """The index of a block of items, and the table of encoded texts it was made from."""
-    split = [tokens(r["text"]) for r in block]
-    vocabulary = {t: i for i, t in enumerate(sorted({t for s in split for t in s}))}
-    size, kind = len(vocabulary), number_type(vocabulary)
-    if not size:
-        return None
-    table = _encoded_table(docs, id_col, text_col, vocabulary)
-    coded = table.select("ids")
-
-    def frequencies(chunk: list, total: np.ndarray) -> None:
-        p = Passages(chunk, size, config.window)
-        total[:size, 0] += np.bincount(p.term, minlength=size)
-        total[size, 0] += p.count
-
-    counted = _summed(coded, kind, frequencies, size + 1, 1)[:, 0]
-    n, df = counted[size], counted[:size]
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = np.zeros((len(block), size), np.float64)
-    items = []
-    for i, (r, s) in enumerate(zip(block, split)):
-        ids = np.array([vocabulary[t] for t in s], np.int64)
-        rows[i, ids] = idf[ids]
-        answer = r["answer"] if r["answer"] is not None else ([x for x in re.split(r"[.!?]+", r["text"]) if x.strip()] or [""])[-1]
-        terms = [vocabulary[t] for t in tokens(answer) if t in vocabulary]
-        items.append(Item(r["id"], ids, frozenset(terms)))
-    keep = [i for i, x in enumerate(items) if x.terms.size]
-    items, rows = [items[i] for i in keep], rows[keep]
-    if not items:
-        return None
-    rank = min(size, len(items) + config.extra_rank)
-    heavy = max(1.0, np.sqrt(n))  # the items weigh as much as all passages together
-    omega = np.random.RandomState(config.seed).standard_normal((size, rank))
-
-    def product(basis: np.ndarray):
-        """A'(A basis), and (A basis)'(A basis), over a chunk's passages."""
-        narrow = basis.astype(np.float32)
-
-        def ranged(chunk: list, total: np.ndarray) -> None:
-            p = Passages(chunk, size, config.window)
-            _, vectors, _, row, t = p.vectors(idf, narrow)
-            order = np.argsort(t, kind="stable")
-            t, row = t[order], row[order]
-            for i in range(0, len(t), 20_000):
-                tt = t[i : i + 20_000]
-                starts = np.flatnonzero(np.concatenate([[True], tt[1:] != tt[:-1]]))
-                total[tt[starts]] += np.add.reduceat(vectors[row[i : i + 20_000]], starts, axis=0) * idf[tt[starts], None]
-
-        def gram(chunk: list, total: np.ndarray) -> None:
-            p = Passages(chunk, size, config.window)
-            vectors = p.vectors(idf, narrow)[1]
-            total += vectors.T @ vectors
-
-        return ranged, gram
-
-    y = _summed(coded, kind, product(omega)[0], size, rank) + heavy**2 * rows.T @ (rows @ omega)
-    q = np.linalg.qr(y)[0]
-    b = rows @ q
-    g = _summed(coded, kind, product(q)[1], q.shape[1], q.shape[1]) + heavy**2 * b.T @ b
-    values, turn = np.linalg.eigh(g)
-    turn = turn[:, values > values.max() * 1e-10]
-    basis = (q @ turn).astype(np.float32)
-    latent = rows @ basis
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    held = (rows > 0) * (np.log((1 + len(items)) / (1 + (rows > 0).sum(axis=0))) + 1)
-    held /= held.sum(axis=1, keepdims=True)
-    # a passage has but a part of a longer item; the rest is for rounding
-    enough = config.part * np.minimum(1, config.window / np.array([x.terms.size for x in items])) - 1e-4
-    basis = np.hstack([basis, (held / idf).T.astype(np.float32)])
-    return Index(vocabulary, idf, float(idf.mean()), basis, latent.astype(np.float32), enough.astype(np.float32), items, config), table
+def build_index(docs: DataFrame, items: list[Item], text_col: str, config: DecontaminateConfig) -> Index:
+    axes = fit(docs, text_col, config)
+    return Index(axes, [Group(items[i : i + ITEMS], axes, config) for i in range(0, len(items), ITEMS)], config)
 
 
 def find(docs: DataFrame, items: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share, kind (copy or paraphrase): a row for each document and item it holds."""
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType
     schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, cosine double, lcs_share double, answer_share double"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(items, item_id_col, item_text_col, answer_col, config.block_items):
-        if made := build_index(docs, id_col, text_col, block, config):
-            out = out.union(made[1].mapInArrow(_found(made[0]), schema))
-    return out.withColumn("kind", F.when(F.col("lcs_share") >= config.copy, F.lit("copy")).otherwise(F.lit("paraphrase")))
+    wanted = _items(items, item_id_col, item_text_col, answer_col)
+    if wanted:
+        found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_found(build_index(docs, wanted, text_col, config)), schema)
+    else:
+        found = docs.sparkSession.createDataFrame([], schema)
+    return found.withColumn("kind", F.when(F.col("lcs_share") >= config.copy, F.lit("copy")).otherwise(F.lit("paraphrase")))
 
 
 def _found(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, chunk in _chunks(batches, 1):
-            hits = index.matches(_arrays(chunk, number_type(index.vocabulary)))
-            if hits:
-                ids = pa.array([index.items[h[1]].id for h in hits])
+        for batch in words.slices(batches, 1):
+            if hits := index.matches(batch.column(1)):
+                ids = pa.array([h[1] for h in hits])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), ids, *[pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4)]], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
     return run
@@ -345,16 +317,17 @@ def _found(index: Index):
 
 def keep_clean(docs: DataFrame, items: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
-    for block in _blocks(items, item_id_col, item_text_col, answer_col, config.block_items):
-        if made := build_index(docs, None, text_col, block, config):
-            docs = docs.mapInArrow(_without(made[0], docs.columns.index(text_col)), docs.schema)
-    return docs
+    wanted = _items(items, item_id_col, item_text_col, answer_col)
+    if not wanted:
+        return docs
+    return docs.mapInArrow(_without(build_index(docs, wanted, text_col, config), docs.columns.index(text_col)), docs.schema)
 
 
 def _without(index: Index, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, chunk in _chunks(batches, text_at):
-            bad = {h[0] for h in index.matches([encoded(t, index.vocabulary) for t in chunk])}
-            yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+        for batch in words.slices(batches, text_at):
+            clean = np.ones(batch.num_rows, bool)
+            clean[[h[0] for h in index.matches(batch.column(text_at))]] = False
+            yield batch.filter(pa.array(clean))
 
     return run

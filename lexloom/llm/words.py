@@ -116,8 +116,9 @@ class Words:
         return [self.data[a:b].tobytes() for a, b in spans]
 
 
-def words_of(texts: pa.Array | list[str | None]) -> Words:
-    """Maximal runs of bytes other than blank and U+0009 to U+000D, in UTF-8; null texts have none."""
+def words_of(texts: pa.Array | list[str | None], apart: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes, in UTF-8, other than those that `apart` marks: blank and U+0009 to U+000D if not said otherwise.
+    Null texts have none."""
     if isinstance(texts, list):
         texts = pa.array(texts, pa.large_string())
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -125,7 +126,7 @@ def words_of(texts: pa.Array | list[str | None]) -> Words:
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     begin, finish = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     finish[:-1] &= ~inside[1:]
@@ -135,6 +136,21 @@ def words_of(texts: pa.Array | list[str | None]) -> Words:
     return Words(data, offsets, starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, offsets))
 
 
+_NO_TERM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_ODD = r"[^\x00-\x7f\pL\pN]"
+
+
+def terms_of(texts: pa.Array | list[str | None]) -> Words:
+    """Maximal runs of letters and numbers, in lower case (each character by itself)."""
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.string())
+    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    odd = pc.match_substring_regex(low, _ODD)
+    if pc.any(odd).as_py():
+        low = pc.replace_with_mask(low, odd, pc.replace_substring_regex(low.filter(odd), _ODD, " "))
+    return words_of(low, _NO_TERM)
+
+
 def runs(x: np.ndarray, n: int) -> np.ndarray:
     """A number for each n consecutive entries of x: a polynomial modulo 2**64, by doubling, then mixed."""
     if len(x) < n:

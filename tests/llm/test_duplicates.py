@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, jaccard_join
 from lexloom.llm.graph import components
@@ -76,6 +77,10 @@ def test_one_of_each_group_stays(spark, make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in want.values()})
     twice = docs.union(docs)
     assert jaccard_join.keep_first(twice).where("text <> ''").count() == kept.where("text <> ''").count()
+    clash = docs.withColumns({"rid_": F.lit(-1), "__rid": F.lit(-1)})
+    again = jaccard_join.keep_first(clash)
+    assert again.columns == clash.columns and {(r.rid, r.rid_, r["__rid"]) for r in again.collect()} == {(7, -1, -1)}
+    assert again.count() == kept.count()
 
 
 def test_band_shape():
@@ -95,7 +100,7 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == parent and len(got) == len(parent)
 
 
-def test_contamination(spark, make_docs):
+def test_contamination(spark, make_docs, monkeypatch):
     rng = random.Random(6)
     word = lambda: "k" + "".join(rng.choice("abcdefgh") for _ in range(5))
     plain = lambda n: [word() if rng.random() < 0.6 else rng.choice(["the", "of", "and"]) for _ in range(n)]
@@ -111,17 +116,58 @@ def test_contamination(spark, make_docs):
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(98, None), (99, "")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
     assert got == {(3, 0), (9, 1), (20, 2), (30, 3)}
-    small = decontaminate.DecontaminateConfig(block_items=3)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench, small).collect()} == got
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()} == got
     kept = decontaminate.keep_clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(62)) - {3, 9, 20, 30}
 
 
+def test_recall_against_all_pairs(spark, make_docs):
+    # copies and paraphrases between common words, against the subsequence of every item with every document's every stretch
+    rng = random.Random(12)
+    common, weights = [f"c{i}" for i in range(400)], [1 / (i + 2) for i in range(400)]
+    rare = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: [rng.choices(common, weights)[0] if rng.random() < 0.7 else rare() for _ in range(n)]
+    items = [prose(rng.randint(14, 90)) for _ in range(40)]
+    texts = [prose(rng.randint(5, 300)) for _ in range(400)]
+    for d in range(120):
+        item = list(rng.choice(items))
+        if d % 2:  # other words for a sixth, some left out, some put in
+            item = [rare() if rng.random() < 1 / 6 else w for w in item]
+            item = [w for w in item if rng.random() > 0.04]
+            for _ in range(len(item) // 20):
+                item.insert(rng.randrange(len(item)), rare())
+        at = rng.randint(0, len(texts[d]))
+        texts[d][at:at] = item
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            number = {w: i for i, w in enumerate(dict.fromkeys(item + t))}
+            a, b = [number[w] for w in item], [number[w] for w in t]
+            if max((decontaminate.subsequence(a, b[i : i + 2 * len(a)]) for i in range(0, max(1, len(b) - len(a)), 8)), default=0) >= 0.75 * len(a):
+                want.add((d, k))
+    assert len(want) >= 110
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find(make_docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    copies = {x for x, r in got.items() if r.kind == "copy"}
+    assert copies <= want and len(want & set(got)) >= 0.9 * len(want)
+
+
 def test_subsequence():
     assert decontaminate.subsequence([1, 2, 3, 2, 4], [9, 1, 3, 2, 2, 4]) == 4
     assert decontaminate.subsequence([1], []) == 0
 
 
+def test_many_copies_among_few_documents(spark, make_docs):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(n))
+    item = prose(30)
+    docs = make_docs(spark, [f"{prose(80)} {item} {prose(80)}" if i < 80 else prose(190) for i in range(200)])
+    bench = spark.createDataFrame([(0, item), (1, prose(30))], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.find(docs, bench).where("item_id = 0").collect()} >= set(range(80))
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench.where("item_id = 0")).collect()} == set(range(80, 200))
+
+
 def test_frequent_items_stay(spark, make_docs):
     # the copies of an item make its own words frequent: in a third of the rows, then in all; each has words of its own around
     rng = random.Random(8)
