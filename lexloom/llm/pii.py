@@ -11,8 +11,10 @@ columns are left alone. Texts of any length are read whole; ``mask`` keeps every
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import pii_labels
+from lexloom.llm.words import slices
 
 Span = tuple[str, int, int]
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -77,9 +80,12 @@ def base_spans(text: str) -> list[Span]:
 
 CUES = frozenset(
     "call phone tel tel: telefon telefon: téléphone teléfono mobile fax ring number phone: fax: mail email e-mail e-mail: email: contact write to at (at) [at] dot (dot) [dot] "
-    "token token: key key: api_key api_key: password password: secret secret: = : is or and + | -".split()
+    "token token: key key: api_key api_key: apikey password password: passwd pwd pwd: secret secret: bearer access aws passwort: contraseña: clave passe = : is or and + | - "
+    "ssn ssn: social security passport dni nie: steuernummer personalausweis sécurité sociale passeport national id licence insurance no. my cell: tel. tel.: tél. text al "
+    "com org net de fr es edu io .com {at} {dot} <at> <dot> -at- -dot-".split()
 )
 _UP, _LOW, _DIG = re.compile(r"[^\W\d_a-zß-ÿ]+"), re.compile(r"[a-zß-ÿ]+"), re.compile(r"[0-9]+")
+_RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
 ENDS = frozenset(".!?;")
 
 
@@ -93,9 +99,13 @@ def token_features(token: str) -> tuple[str, ...]:
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(head, head[1:]))
     if digits and letters:
         out.append(f"m:{min(switches, 8) // 2}{len(head) >= 14}")
-    low = token.lower()
-    if low in CUES:
+    low = token.lower().rstrip(".,;") or token.lower()
+    if low in CUES or token.lower() in CUES:
         out.append("w:" + low)
+    if head.isalnum():
+        out.append(f"k:{head.islower()}{head.isupper()}{bool(digits)}{min(len(head), 40) // 8}")
+    if digits:  # lengths of the first runs of digits and what is between them
+        out.append("r:" + _RUNS.sub(lambda m: str(min(len(m[0]), 9)) if m[0][0] in "0123456789" else "a", head)[:9])
     return tuple(out)
 
 
@@ -286,19 +296,19 @@ def model_spans(text: str, tags: np.ndarray, names: tuple[str, ...], taken: list
         current = [name[2:], m.start(), m.end()] if name != "O" else None
     if current:
         out.append(tuple(current))
-    kept = []
+    kept, held = [], sorted((x, y) for _, x, y in taken)
+    starts, ends = [x for x, _ in held], list(accumulate((y for _, y in held), max))
     for kind, a, b in out:
         while a < b and text[a] in _TRIM:
             a += 1
         while a < b and text[b - 1] in _TRIM:
             b -= 1
-        if a < b and all(b <= x or y <= a for _, x, y in taken):
+        before = bisect_left(starts, b)  # of those that start before b, does one end behind a?
+        if a < b and not (before and ends[before - 1] > a):
             kept.append((kind, a, b))
     return kept
 
 
-
-
 def find_all(texts: list[str], decoder: Decoder) -> list[list[Span]]:
     """Base spans, then the model's, of each text."""
     out, at = [], 0
@@ -326,12 +336,10 @@ def find_spans(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found = find_all([t or "" for t in batch.column(1).to_pylist()], decoder)
-                spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found], _SPANS)
-                yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["doc_id", "spans"])
+        for batch in slices(batches, 1):
+            found = find_all([t or "" for t in batch.column(1).to_pylist()], decoder)
+            spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found], _SPANS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["doc_id", "spans"])
 
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, spans {SPANS}")
 
@@ -341,7 +349,7 @@ def mask(docs: DataFrame, model: CrfModel, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
             new = [t if t is None else _masked(t, s) for t, s in zip(texts, find_all([t or "" for t in texts], decoder))]
