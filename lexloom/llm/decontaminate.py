@@ -9,8 +9,9 @@ Documents are read as blocks of `block` terms; passages are blocks and pairs of
 2. A second pass brings passages and items to the latent space and searches by cosine. The axes are scaled by their singular
    values, those far above the usual ones less, so that neither a language's common words nor a passage that much of the
    corpus holds drowns the rest. Candidates are verified inside the document: longest common subsequence with all the
-   item's terms and, for partial ones, the share of the answer's terms. Before that, an upper bound of the subsequence (the
-   item's terms that occur near the passage at all) sorts out most; it drops nothing that could be confirmed.
+   item's terms and, for partial ones, the weight of the item's terms that are there and the share of the answer's. Before
+   that, an upper bound of the subsequence (the item's terms that occur near the passage at all) sorts out most; it drops
+   nothing that could be confirmed.
 
 A term weighs less the more blocks hold it, and none is left out. The search is approximate (what is confirmed has a passage
 of at least `cosine`); the verification is exact.
@@ -44,7 +45,7 @@ ITEMS = 256
 @dataclass(frozen=True)
 class DecontaminateConfig:
     """Items near a passage by `cosine` are verified. A subsequence of `copy` of an item's terms is a copy; one of `part` is a
-    paraphrase if `answer` of the answer's terms are there as well."""
+    paraphrase if terms of `weight` of the item's weight and `answer` of the answer's terms are there as well."""
 
     block: int = 32
     features: int = 4096
@@ -53,6 +54,7 @@ class DecontaminateConfig:
     cosine: float = 0.35
     copy: float = 0.75
     part: float = 0.5
+    weight: float = 0.6
     answer: float = 0.6
     seed: int = 5
 
@@ -123,13 +125,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["at", "sums"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", config: DecontaminateConfig = DecontaminateConfig()) -> np.ndarray:
-    """The latent axes: a row for each feature, scaled by its weight, and a last one of zeros."""
+def fit(docs: DataFrame, text_col: str = "text", config: DecontaminateConfig = DecontaminateConfig()) -> tuple[np.ndarray, np.ndarray]:
+    """The latent axes, a row for each feature, scaled by its weight, and a last one of zeros; and the weights."""
     schema = "at int, sums binary"
     sums = docs.select(F.col(text_col).alias("text")).mapInArrow(_sketch(config), schema).repartition("at").mapInArrow(_added, schema)
     parts = {r["at"]: np.frombuffer(r["sums"], np.float64) for r in sums.collect()}
     if not parts:
-        return np.zeros((config.features + 1, 1), np.float32)
+        return np.zeros((config.features + 1, 1), np.float32), np.ones(config.features)
     found = parts.pop(-1)
     sketch = np.hstack([parts[at].reshape(config.sketch, -1)[:, :SLICE] for at in sorted(parts)])[:, : config.features]
     weight = np.log((1 + found[-1]) / (1 + found[:-1])) + 0.5
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, text_col: str = "text", config: DecontaminateConfig = D
     kept = values > 1e-5 * values[0]
     values, axes = values[kept], sketch.T @ (left[:, kept] / values[kept])
     scale = np.minimum(values, 2 * np.median(values)) if len(values) else values
-    return np.ascontiguousarray(np.vstack([axes * weight[:, None] / scale, np.zeros((1, len(scale)))]), np.float32)
+    return np.ascontiguousarray(np.vstack([axes * weight[:, None] / scale, np.zeros((1, len(scale)))]), np.float32), weight
 
 
 def projected(features: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -174,16 +176,17 @@ class Group:
     """Some items with what a search needs: the vocabulary, each item's distinct terms and how often it has them, and the latent
     vectors of its passages."""
 
-    def __init__(self, items: list[Item], axes: np.ndarray, config: DecontaminateConfig):
+    def __init__(self, items: list[Item], axes: np.ndarray, weight: np.ndarray, config: DecontaminateConfig):
         self.items = items
         self.vocabulary = np.unique(np.concatenate([i.terms for i in items]))
         self.ids = [np.searchsorted(self.vocabulary, i.terms) for i in items]
         distinct = [np.unique(x, return_counts=True) for x in self.ids]
         most = max(len(d) for d, _ in distinct)
         self.terms = np.full((len(items), most), len(self.vocabulary))
-        self.share = np.zeros((len(items), most), np.float32)
+        self.share, self.weight = np.zeros((2, len(items), most), np.float32)
         for k, (d, n) in enumerate(distinct):
-            self.terms[k, : len(d)], self.share[k, : len(d)] = d, n / n.sum()
+            heavy = n * weight[(self.vocabulary[d] % np.uint64(config.features)).astype(np.int64)]
+            self.terms[k, : len(d)], self.share[k, : len(d)], self.weight[k, : len(d)] = d, n / n.sum(), heavy / heavy.sum()
         # blocks on both sides of a pair within which an item lies that the pair holds for the most part
         self.reach = np.array([max(1, -(-len(i.terms) // config.block) - 1) for i in items])
         vectors, self.owner = [], []
@@ -225,7 +228,7 @@ class Index:
         here[:, size] = False
         here = np.packbits(here, axis=1, bitorder="little")
         byte, bit = group.terms >> 3, (group.terms & 7).astype(np.uint8)
-        kept = []
+        kept, weight = [], np.zeros(len(item), np.float32)
         for reach in np.unique(group.reach):
             chosen = np.flatnonzero(group.reach[item] == reach)
             around = here.copy()  # the terms of a passage's blocks and of `reach` more on both sides, whatever texts they are of
@@ -236,8 +239,10 @@ class Index:
             for i in range(0, len(chosen), 1 << 14):
                 rows = chosen[i : i + (1 << 14)]
                 k = item[rows]
-                held = around[a[passage[rows]][:, None], byte[k]] >> bit[k] & 1
-                kept.append(rows[np.einsum("ij,ij->i", held.astype(np.float32), group.share[k]) >= c.part - 1e-4])
+                held = (around[a[passage[rows]][:, None], byte[k]] >> bit[k] & 1).astype(np.float32)
+                share, heavy = (np.einsum("ij,ij->i", held, of[k]) for of in (group.share, group.weight))
+                weight[rows] = heavy
+                kept.append(rows[(share >= c.copy - 1e-4) | (share >= c.part - 1e-4) & (heavy >= c.weight)])
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         for row in np.sort(np.concatenate(kept)).tolist() if kept else ():
             k, p = int(item[row]), int(passage[row])
@@ -249,7 +254,7 @@ class Index:
             part = ids[begin + max(0, first - reach) * c.block : min(begin + (first + 2 + reach) * c.block, blocks.words.bounds[doc + 1])]
             part = part[part < size].tolist()
             share = subsequence(group.ids[k].tolist(), part) / len(group.ids[k])
-            if share < c.part:
+            if share < c.part or share < c.copy and weight[row] < c.weight:
                 continue
             seen, answer = set(part), group.items[k].answer
             answered = sum(int(np.searchsorted(group.vocabulary, t)) in seen for t in answer) / len(answer) if answer else 0.0
@@ -289,8 +294,8 @@ def _items(items: DataFrame, id_col: str, text_col: str, answer_col: str | None)
 
 
 def build_index(docs: DataFrame, items: list[Item], text_col: str, config: DecontaminateConfig) -> Index:
-    axes = fit(docs, text_col, config)
-    return Index(axes, [Group(items[i : i + ITEMS], axes, config) for i in range(0, len(items), ITEMS)], config)
+    axes, weight = fit(docs, text_col, config)
+    return Index(axes, [Group(items[i : i + ITEMS], axes, weight, config) for i in range(0, len(items), ITEMS)], config)
 
 
 def find(docs: DataFrame, items: DataFrame, config: DecontaminateConfig = DecontaminateConfig(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
