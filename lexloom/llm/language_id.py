@@ -5,30 +5,34 @@ words, cut into blocks, and each block is compressed with every dictionary; the
 blocks wins. Where the two best totals lie within ``reject_margin`` of each other, the text is encoded again at ``fine_level``,
 which also finds the shortest matches; if the margin stays narrow, the text is marked as rejected.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0 and counts as rejected; equal totals go to
-the language with more training rows, then the smaller name; no training rows at all make every text ``und``. Repeated
-rows each give a row, an empty table gives none, and other columns of the input are neither read nor returned.
+Defined results: a text that is null or has no letter (number signs are none) is ``und`` with score 0 and counts as
+rejected; equal totals go to the language with more different training texts, then the smaller name; no training rows at
+all make every text ``und``. Repeated rows each give a row, an empty table gives none, and other columns of the input are
+neither read nor returned.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.words import slices
+
 UND = "und"
-WORDS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class LanguageIdConfig:
-    """sample_rows and snippet_chars bound what training collects for each language (rows in expectation)."""
+    """Bounds of training: the languages with the most different texts, and for each of them sample_rows texts in expectation,
+    their first snippet_chars characters, of which dictionary_bytes go into the dictionary."""
 
+    languages: int = 200
     sample_rows: int = 600
     snippet_chars: int = 1200
     dictionary_bytes: int = 60_000
@@ -38,8 +42,11 @@ class LanguageIdConfig:
     reject_margin: float = 0.004
 
 
-def normalise(text: str | None) -> str:
-    return " ".join(WORDS.findall(text.lower())) if text else ""
+def normalised(texts: pa.Array | list[str | None]) -> list[str]:
+    """Runs of letters in lower case (each character by itself), joined by blanks."""
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.string())
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+", " "), " ").to_pylist()
 
 
 @dataclass
@@ -61,9 +68,8 @@ class LanguageModel:
                 out[-1].append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         return out
 
-    def predict(self, text: str | None, made: list[list[zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
-        """Language, score from 0 to 1, and margin: how much more the runner-up needs, as a part of the best total."""
-        clean = normalise(text)
+    def predict(self, clean: str, made: list[list[zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
+        """Of a normalised text: language, score from 0 to 1, and margin: how much more the runner-up needs, as a part of the best total."""
         if not clean or not self.languages:
             return UND, 0.0, 0.0
         step, best, margin = self.config.block_chars, 0, 1.0
@@ -80,9 +86,11 @@ class LanguageModel:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", config: LanguageIdConfig = LanguageIdConfig()) -> LanguageModel:
-    """Learns from rows whose text and language are not null. Which texts are sampled depends on their hash alone, so copies of a text count once."""
+    """Learns from rows whose text and language are not null. Which texts are sampled depends on their hash alone and shares go
+    by different texts, so copies of a text count once."""
     rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    different = rows.select("l", F.xxhash64("t").alias("h")).distinct().groupBy("l").agg(F.count("*").alias("n"))
+    counts = {r["l"]: r["n"] for r in different.orderBy(F.col("n").desc(), "l").limit(config.languages).collect()}
     if not counts:
         return LanguageModel([], [], config)
     scale = 1_000_000
@@ -93,9 +101,10 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", config:
         .groupBy("l", "t").agg(F.min(F.xxhash64("t")).alias("h"))
         .collect()
     )
+    taken = sorted(taken, key=lambda r: (r["h"], r["t"]))
     texts: dict[str, list[str]] = {}
-    for r in sorted(taken, key=lambda r: (r["h"], r["t"])):
-        texts.setdefault(r["l"], []).append(normalise(r["t"]))
+    for r, clean in zip(taken, normalised([r["t"] for r in taken])):
+        texts.setdefault(r["l"], []).append(clean)
     names = sorted((k for k, v in texts.items() if any(v)), key=lambda k: (-counts[k], k))
     cut = lambda v: " ".join(filter(None, v)).encode()[: config.dictionary_bytes]
     return LanguageModel(names, [b" " + cut(texts[k]) + b" " for k in names], config)
@@ -104,8 +113,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", config:
 def _scores(model: LanguageModel, text_col: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.compressors()
-        for batch in batches:
-            found = [model.predict(t, made) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        for batch in slices(batches, text_col):
+            found = [model.predict(t, made) for t in normalised(batch.column(batch.schema.get_field_index(text_col)))]
             rejected = [lang == UND or margin < model.config.reject_margin for lang, _, margin in found]
             if keep:
                 yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.words import slices
+
 WORD_MARK = b" "
 CACHE_WORDS = 400_000
 
@@ -106,9 +108,8 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     kind = dict(slim.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
-        for batch in batches:
-            counts = counts or _automaton_counts(vocabulary_path)
+        counts = _Counts(_automaton(vocabulary_path))
+        for batch in slices(batches, 1):
             words, tokens = [], []
             for text in batch.column(1).to_pylist():
                 split = text.encode("utf-8", "surrogatepass").split() if text else []
@@ -119,11 +120,11 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     return slim.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_tokens bigint")
 
 
-_BUILT: dict[str, _Counts] = {}
+_BUILT: dict[str, LongestMatchAutomaton] = {}
 
 
-def _automaton_counts(path: str) -> _Counts:
-    """Kept in the Python worker, which serves many tasks."""
+def _automaton(path: str) -> LongestMatchAutomaton:
+    """Kept in the Python worker, which serves many tasks; its size is the vocabulary's."""
     if path not in _BUILT:
-        _BUILT[path] = _Counts(LongestMatchAutomaton(load_ranks(path)))
+        _BUILT[path] = LongestMatchAutomaton(load_ranks(path))
     return _BUILT[path]
