@@ -1,28 +1,52 @@
-"""A small labelled table of invented URLs (1: to block), the training data of the URL filter."""
+"""A small labelled table of invented URLs (1: to block), the training data of the URL filter, and a held-out part.
 
-BLOCK_HOSTS = (
-    "casino-win", "mega-casino", "casino-spins", "royal-casino", "cheap-pills", "pills-online", "buy-pills", "pills-direct",
-    "adult-x", "adult-cams", "x-adult", "adult-live", "poker-bonus", "free-poker", "win-jackpot", "lucky-jackpot",
-    "payday-loans", "fast-loans", "replica-watch", "torrent-warez", "warez-crack", "viagra-shop", "slots-bonus", "bet-win",
+Hosts are words of a few themes, alone, in pairs or with a number, and for the allowed ones also made-up names. Prefixes,
+domains and paths turn alike for both labels, so that only the words tell them apart.
+"""
+
+from __future__ import annotations
+
+BLOCK_WORDS = (
+    "casino", "poker", "bet", "bets", "betting", "jackpot", "slots", "gambling", "roulette", "lottery", "bonus", "pills", "viagra", "cialis", "drugstore",
+    "xxx", "porn", "adult", "escort", "sex", "cams", "nude", "warez", "torrent", "crack", "keygen", "serials", "spam", "spammer", "scam", "phishing",
+    "malware", "clickbait", "click", "bait", "popup", "banner", "ads", "adserver", "tracker", "payday", "loans", "replica", "followers", "cheap", "free", "win",
 )
-ALLOW_HOSTS = (
-    "thener", "thtion", "therre", "thandis", "ththen", "tionand", "tioner", "therth", "ththan", "thering", "therin", "thhand",
-    "weather", "library", "history", "museum", "garden", "recipes", "science", "teacher", "village", "weekly", "journal", "academy",
+ALLOW_WORDS = (
+    "weather", "library", "history", "museum", "garden", "recipes", "science", "teacher", "village", "weekly", "journal", "academy", "university", "hospital", "city",
+    "council", "parliament", "news", "daily", "times", "herald", "gazette", "school", "college", "music", "orchestra", "theatre", "cinema", "sport", "football", "cycling",
+    "travel", "railway", "airport", "harbour", "forest", "river", "mountain", "bakery", "kitchen", "cooking", "coffee", "books", "reading", "poetry", "language",
+    "dictionary", "maths", "physics", "chemistry", "medicine", "health", "law", "energy", "climate", "ocean", "planet", "photo", "design", "craft", "software", "code",
+    "data", "network", "maps", "post", "radio", "review", "stadt", "verein", "mairie", "musique", "escuela", "noticias", "bergen", "haus",
 )
-PREFIXES = ("", "www.", "m.", "blog.")
-DOMAINS = ("com", "net", "org")
-LANGUAGES = ("en", "fr", "de", "es")
-ENDINGS = ("", "/", ".html", "?page=2", "#top", "?utm_source=feed")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """Every host twice with turning prefixes, domains, languages and endings; blocked and allowed ones alternate."""
-    out = []
-    for k in range(2):
-        for i, pair in enumerate(zip(BLOCK_HOSTS, ALLOW_HOSTS)):
-            for y, host in zip((1, 0), pair):
-                j = 7 * i + 3 * k + y
-                number = 13 * (i + 1) + 211 * k + 5 * y
-                scheme = "https" if j % 2 else "http"
-                out.append((f"{scheme}://{PREFIXES[(j + k) % 4]}{host}.example.{DOMAINS[(i + k) % 3]}/{LANGUAGES[(i + 2 * k) % 4]}/{number}{ENDINGS[(i + k) % 6]}", y))
+PREFIXES = ("", "www.", "m.", "blog.", "shop.", "")
+DOMAINS = ("com", "net", "org", "de", "fr", "es", "io", "co.uk", "example.com", "example.net", "example.org")
+PATHS = ("/", "", "/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}?page=2", "/index.html", "/{}/05/a-long-title-of-words", "/wiki/Page_{}", "/articles/{}", "/item?id={}", "/en/{}#top", "/search?q=all")
+ONSETS, VOWELS = "b c d f g h j k l m n p r s t th tr v w z st".split(), "a e i o u ea io ou".split()
+
+
+class _Turns:
+    def __init__(self, seed: int):
+        self.state = seed
+
+    def one(self, of):
+        self.state = (self.state * 1103515245 + 12345) % 2147483648
+        return of[(self.state >> 8) % len(of)]
+
+
+def _host(turn: _Turns, words: tuple[str, ...], made_up: bool) -> str:
+    name = lambda: "".join(turn.one(ONSETS) + turn.one(VOWELS) for _ in range(turn.one((2, 3, 4)))) + turn.one(("", "n", "s", "r", "ng", "t"))
+    if made_up and turn.one((0, 1, 1)):
+        return name() if turn.one((0, 0, 1)) else name() + turn.one(("-", "")) + turn.one(words)
+    kind, a, b = turn.one((0, 1, 1, 2, 2, 3, 4)), turn.one(words), turn.one(words)
+    return (a, a + "-" + b, a + b, a + turn.one(("24", "365", "1", "now", "online", "hub")), "the-" + a)[kind]
+
+
+def labelled_urls(seed: int = 20, block: int = 420, allow: int = 560) -> list[tuple[str, int]]:
+    """URLs of both labels in turn. The seed fixes them; another one gives a held-out table of other hosts."""
+    turn, out = _Turns(seed), []
+    labels = [int(k * block // (block + allow) != (k + 1) * block // (block + allow)) for k in range(block + allow)]
+    for y in labels:
+        host = _host(turn, BLOCK_WORDS if y else ALLOW_WORDS, not y)
+        url = turn.one(("http", "https")) + "://" + turn.one(PREFIXES) + host + "." + turn.one(DOMAINS)
+        out.append((url + turn.one(PATHS).format(turn.one(range(2, 3000))), y))
     return out

@@ -39,10 +39,20 @@ def test_model_tells_its_table():
     rows = url_labels.labelled_urls()
     right = sum((plain(u, [], model)[3] == "block") == bool(y) for u, y in rows)
     assert right >= 0.98 * len(rows)
-    for host in ("casino-win", "cheap-pills", "adult-x"):
-        assert plain(f"https://m.{host}.example.net/de/5", [], model)[3] == "block"
-    for host in ("ththor", "therer", "tionsh"):
-        assert plain(f"https://m.{host}.example.org/de/5", [], model)[3] == "allow"
+
+
+def test_held_out_urls():
+    model = queries.url_model()
+    known = {url_filter.host_and_path(u)[0] for u, _ in url_labels.labelled_urls()}
+    rows = [(u, y) for u, y in url_labels.labelled_urls(seed=777, block=300, allow=300) if url_filter.host_and_path(u)[0] not in known]
+    assert len(rows) >= 500
+    wrong = {y: sum((plain(u, [], model)[3] == "block") != bool(y) for u, z in rows if z == y) for y in (0, 1)}
+    of = {y: sum(z == y for _, z in rows) for y in (0, 1)}
+    assert wrong[0] <= 0.08 * of[0] and wrong[1] <= 0.08 * of[1], (wrong, of)
+    for host in ("wikipedia.org", "nytimes.com", "nytimes.org", "bbc.co.uk", "lemonde.fr", "spiegel.de", "elpais.es", "github.com", "mit.edu"):
+        assert plain(f"https://www.{host}/en/5", [], model)[3] == "allow", host
+    for host in ("best-casino-bonus.com", "cheap-viagra-pills.net", "banner-ads.org", "free-poker.de", "porn-tube.io", "online-betting.es"):
+        assert plain(f"https://www.{host}/en/5", [], model)[3] == "block", host
 
 
 def test_native_only(spark):
