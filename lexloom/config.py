@@ -11,7 +11,7 @@ from typing import Any
 
 @dataclass(frozen=True)
 class SplitConfig:
-    """How texts become word slots. slots: K hash slots for a trigram among `vocab_size`; shared_slots: P of them taken from the lower-case form."""
+    """How texts become word slots. slots: K hash slots for a triple among `vocab_size`; shared_slots: P of them taken from the lower-case form."""
 
     vocab_size: int = 32_000
     slots: int = 4

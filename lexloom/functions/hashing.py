@@ -1,4 +1,4 @@
-"""Deterministic slots of words and trigrams in a vocabulary, as column expressions."""
+"""Deterministic slots of words and triples in a vocabulary, as column expressions."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
 from lexloom.functions.base import let
-from lexloom.functions.trigrams import id_to_trigram, trigram_to_id
+from lexloom.functions.triples import id_to_triple, triple_to_id
 
-#: attempts at the next slot of a trigram before its row counts as full
+#: attempts at the next slot of a triple before its row counts as full
 ATTEMPTS = 64
 
 
@@ -33,9 +33,9 @@ def word_slots(word: Column, config: SplitConfig) -> Column:
     return F.array(*parts)
 
 
-def trigram_row(trigram_id: Column, config: SplitConfig, attempts: int = ATTEMPTS) -> Column:
+def triple_row(triple_id: Column, config: SplitConfig, attempts: int = ATTEMPTS) -> Column:
     """`slots` distinct slots in ascending order: for each, the first of a series of hashes that is not taken yet."""
-    name = F.concat(trigram_id.cast("string"), F.lit("_"))
+    name = F.concat(triple_id.cast("string"), F.lit("_"))
 
     def hashed(k: Column, j: Column) -> Column:
         return md5_mod(F.concat(name, k.cast("string"), F.lit("_"), j.cast("string")), config.vocab_size)
@@ -50,21 +50,21 @@ def trigram_row(trigram_id: Column, config: SplitConfig, attempts: int = ATTEMPT
     return F.array_sort(F.aggregate(F.sequence(F.lit(0), F.lit(config.slots - 1)), F.array().cast("array<int>"), add))
 
 
-def trigram_slots(trigram_id: Column, config: SplitConfig) -> Column:
-    """The row, its last `shared_slots` replaced by those of the lower-case trigram where letters and blanks have an upper-case one."""
-    row = trigram_row(trigram_id, config)
+def triple_slots(triple_id: Column, config: SplitConfig) -> Column:
+    """The row, its last `shared_slots` replaced by those of the lower-case triple where letters and blanks have an upper-case one."""
+    row = triple_row(triple_id, config)
     if not config.shared_slots:
         return row
     keep = config.slots - config.shared_slots
 
     def overlaid(h: Column) -> Column:
-        low = trigram_to_id(F.encode(F.lower(F.decode(id_to_trigram(trigram_id), "ISO-8859-1")), "ISO-8859-1"))
-        return F.concat(F.slice(h, 1, keep), F.slice(trigram_row(low, config), keep + 1, config.shared_slots))
+        low = triple_to_id(F.encode(F.lower(F.decode(id_to_triple(triple_id), "ISO-8859-1")), "ISO-8859-1"))
+        return F.concat(F.slice(h, 1, keep), F.slice(triple_row(low, config), keep + 1, config.shared_slots))
 
-    text = F.decode(id_to_trigram(trigram_id), "ISO-8859-1")
+    text = F.decode(id_to_triple(triple_id), "ISO-8859-1")
     return let(row, lambda h: F.when(text.rlike("^[A-Za-z ]{3}$") & text.rlike("[A-Z]"), overlaid(h)).otherwise(h))
 
 
 def is_hashed_whole(word: Column, config: SplitConfig) -> Column:
-    """Special words, or all words where the configuration says so, have slots of their own and a single pseudo-trigram."""
+    """Special words, or all words where the configuration says so, have slots of their own and a single pseudo-triple."""
     return F.lit(True) if config.entire_words else F.contains(word, F.lit("<|"))

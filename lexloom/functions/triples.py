@@ -1,4 +1,4 @@
-"""Byte trigrams of words, as column expressions."""
+"""Byte triples of words, as column expressions."""
 
 from __future__ import annotations
 
@@ -20,24 +20,24 @@ def prepared(text: Column, lowercase: bool, stripped: bool) -> Column:
     return strip(text) if stripped else text
 
 
-def trigrams(word: Column) -> Column:
+def triples(word: Column) -> Column:
     """Distinct windows of 3 bytes of the word with a blank on each side."""
     b = F.encode(F.concat(F.lit(" "), word, F.lit(" ")), "UTF-8")
     return let(b, lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(x) - 2, F.lit(1))), lambda i: F.substr(x, i, F.lit(3)))))
 
 
-def trigram_to_id(trigram: Column) -> Column:
+def triple_to_id(triple: Column) -> Column:
     """Little-endian number of 3 bytes."""
-    h = F.hex(trigram)
+    h = F.hex(triple)
     part = lambda i: F.substring(h, 2 * i + 1, 2)
     return F.conv(F.concat(part(2), part(1), part(0)), 16, 10).cast("int")
 
 
-def id_to_trigram(number: Column) -> Column:
+def id_to_triple(number: Column) -> Column:
     byte = lambda shift: F.lpad(F.hex(F.shiftright(number, shift).bitwiseAND(F.lit(255))), 2, "0")
     return F.unhex(F.concat(byte(0), byte(8), byte(16)))
 
 
-def touches_edge(trigram: Column) -> Column:
-    h = F.hex(trigram)
+def touches_edge(triple: Column) -> Column:
+    h = F.hex(triple)
     return h.startswith("20") | h.endswith("20")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
-
-
-def sigmoid(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-x))
+from lexloom.functions.words import words_to_text
+from lexloom.operators.encode import slots_of_words
 
 
 def logits_of(df: DataFrame, seq_col: str, array_col: str) -> DataFrame:
@@ -17,44 +22,138 @@ def logits_of(df: DataFrame, seq_col: str, array_col: str) -> DataFrame:
     return df.select(F.col(seq_col).alias("seq"), F.posexplode(array_col).alias("vocab_id", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-def word_scores(logits: DataFrame, words: DataFrame, slots: DataFrame, config: SplitConfig) -> DataFrame:
-    """seq, word, score: with S the word's activations (edge slots weighted), A all activations of the row, T its trigrams:
-    S / (K T) + (S - A) / (V - T K); null where V = T K. words(word, n_trigrams), slots(word, is_edge, vocab_id)."""
-    # the join makes many rows of each logit; dealt by seq before it, they need no shuffle after it where slots are small enough
-    # to be sent along
-    active = logits.repartition("seq").select("seq", "vocab_id", sigmoid(F.col("value")).alias("a"))
-    total = active.groupBy("seq").agg(F.sum("a").alias("all_a"))
-    weight = F.when(F.col("is_edge"), F.lit(config.word_edge_weight)).otherwise(F.lit(1.0))
-    hit = slots.join(active, "vocab_id").groupBy("seq", "word").agg(F.sum(weight * F.col("a")).alias("s"))
-    t = F.col("n_trigrams").cast("double")
-    k, v = float(config.slots), float(config.vocab_size)
-    score = F.col("s") / (k * t) + (F.col("s") - F.col("all_a")) / F.nullif(v - t * k, F.lit(0.0))
-    return hit.join(words, "word").join(total, "seq").select("seq", "word", score.alias("score"))
-
-
-def softmax(scores: DataFrame) -> DataFrame:
-    """log_prob over each row's words. Two windows over the same rows: one shuffle by seq, which ranking shares, and the scores
-    are made once."""
-    row = Window.partitionBy("seq")
-    shifted = scores.withColumn("e", F.col("score") - F.max("score").over(row))
-    return shifted.select("seq", "word", "score", (F.col("e") - F.log(F.sum(F.exp("e")).over(row))).alias("log_prob"))
-
-
-def top_words(scores: DataFrame, k: int, blacklist: DataFrame | None = None, by: str = "score") -> DataFrame:
-    """seq, rank from 1, word: the k best of each row, ties by word; words of blacklist(word) are passed over."""
-    rows = scores.join(blacklist, "word", "left_anti") if blacklist is not None else scores
-    order = Window.partitionBy("seq").orderBy(F.col(by).desc(), "word")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def log_prob_map(top: DataFrame) -> DataFrame:
-    """seq, log_probs: word to log probability."""
-    return top.groupBy("seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "log_prob")))).alias("log_probs"))
-
-
-def target_log_probs(scores: DataFrame, targets: DataFrame) -> DataFrame:
-    """log_prob of the given word of each row; targets(seq, word)."""
-    return scores.join(targets, ["seq", "word"]).select("seq", "word", "log_prob")
+#: words whose slots are sent to tasks at once
+RANGE = 200_000
+
+
+@dataclass(frozen=True)
+class _Range:
+    """Part of a dictionary: its words in order of word_idx, the triples of each, and its slots, those of triples at an edge
+    apart, one word after another from starts on."""
+
+    idx: np.ndarray
+    words: list[str]
+    triples: np.ndarray
+    shown: np.ndarray
+    slots: np.ndarray
+    weights: np.ndarray
+    starts: np.ndarray
+
+    def scores(self, active: np.ndarray, config: SplitConfig, digits: int | None) -> np.ndarray:
+        """rows x words, NaN where there is no score: with S the word's activations (edge slots weighted), A all activations of
+        the row, T its triples: S / (K T) + (S - A) / (V - T K)."""
+        across, out = np.ascontiguousarray(active.T), np.empty((len(active), len(self.idx)))
+        ends = np.append(self.starts[1:], len(self.slots))
+        step = max(1, 4_000_000 // max(1, len(active)))  # slots at once
+        lo = 0
+        while lo < len(self.idx):
+            hi = max(lo + 1, int(np.searchsorted(ends, self.starts[lo] + step, side="right")))
+            part = slice(self.starts[lo], ends[hi - 1])
+            hit = across[self.slots[part]] * self.weights[part, None]
+            out[:, lo:hi] = np.add.reduceat(hit, self.starts[lo:hi] - self.starts[lo], axis=0).T
+            lo = hi
+        k = self.triples * config.slots
+        rest = (out - active.sum(axis=1)[:, None]) / np.where(config.vocab_size == k, np.nan, config.vocab_size - k)
+        out = out / k + rest
+        return out if digits is None else np.round(out, digits)
+
+
+def _ranges(dictionary: DataFrame, config: SplitConfig, blacklist: DataFrame | None) -> Iterator[_Range]:
+    """The dictionary (word_idx, word) with its slots, RANGE words at a time."""
+    words = dictionary.select("word_idx", "word")
+    hidden = blacklist.select("word").distinct().withColumn("hidden", F.lit(True)) if blacklist is not None else None
+    marked = words.join(hidden, "word", "left") if hidden is not None else words.withColumn("hidden", F.lit(None).cast("boolean"))
+    triples = slots_of_words(words, config)
+    each = triples.select("word", F.explode("slots").alias("vocab_id"), "is_edge").groupBy("word").agg(F.sort_array(F.collect_set(F.struct("is_edge", "vocab_id"))).alias("s"))
+    sized = triples.groupBy("word").agg(F.count("*").alias("t")).join(each, "word")
+    whole = marked.join(sized, "word").select("word_idx", "word", "t", F.col("hidden").isNull().alias("shown"), F.col("s.vocab_id").alias("slots"), F.col("s.is_edge").alias("edges"))
+    last = words.agg(F.max("word_idx")).first()[0]
+    several = last is not None and last >= RANGE
+    whole = whole.persist(StorageLevel.DISK_ONLY) if several else whole
+    for lo in range(0, (last if last is not None else -1) + 1, RANGE):
+        part = (whole.where((F.col("word_idx") >= lo) & (F.col("word_idx") < lo + RANGE)) if several else whole).toArrow().combine_chunks().sort_by("word_idx")
+        if not part.num_rows:
+            continue
+        lists = part.column("slots").combine_chunks()
+        edges = part.column("edges").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        yield _Range(
+            part.column("word_idx").to_numpy(), part.column("word").to_pylist(), part.column("t").to_numpy().astype(float), part.column("shown").to_numpy().astype(bool),
+            lists.flatten().to_numpy(), np.where(edges, config.word_edge_weight, 1.0), lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py(),
+        )
+    if several:
+        whole.unpersist()
+
+
+PARTS = "top array<struct<score:double,word_idx:int,word:string>>, best double, total double, target double"
+
+
+def _part(part: _Range, config: SplitConfig, k: int, digits: int | None):
+    """Of each row (seq, logits, target_idx): its k best words of the range, the greatest score with the sum of exp(score -
+    greatest), and the target's score if it is of the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                logits = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+                score = part.scores(1 / (1 + np.exp(-logits)), config, digits)
+                there = ~np.isnan(score)
+                best = np.where(there, score, -np.inf).max(axis=1)
+                total = np.where(there, np.exp(np.where(there, score, 0) - np.where(np.isfinite(best), best, 0)[:, None]), 0).sum(axis=1)
+                tops = []
+                for row in np.where(there, score, -np.inf)[:, part.shown]:
+                    if len(row) > k:  # all that tie with the k-th
+                        chosen = np.flatnonzero(row >= np.partition(row, -k)[-k])
+                    else:
+                        chosen = np.arange(len(row))
+                    chosen = chosen[np.lexsort((chosen, -row[chosen]))][:k]
+                    at_ = np.flatnonzero(part.shown)[chosen]
+                    tops.append([{"score": float(row[c]) if np.isfinite(row[c]) else None, "word_idx": int(part.idx[i]), "word": part.words[i]} for c, i in zip(chosen, at_)])
+                wanted = batch.column(2).fill_null(-1).to_numpy()
+                place = np.minimum(np.searchsorted(part.idx, wanted), len(part.idx) - 1)
+                found = part.idx[place] == wanted
+                target = np.where(found, score[np.arange(len(score)), place], np.nan)
+                kind = pa.list_(pa.struct([("score", pa.float64()), ("word_idx", pa.int32()), ("word", pa.string())]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(tops, kind), pa.array(best), pa.array(total), pa.array(target, mask=np.isnan(target))], ["seq", "top", "best", "total", "target"]
+                )
+
+    return run
+
+
+def decoded(rows: DataFrame, dictionary: DataFrame, config: SplitConfig, k: int, blacklist: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """rows(seq, logits[, target_idx]): seq, top (the k best words with score and word_idx, ties by word_idx), log_total (the
+    logarithm of the sum of exp(score) over all words) and target (the score of target_idx). Words of blacklist(word) are
+    passed over in the top. Each task holds the logits of some rows and a range of the dictionary; what a range finds is a
+    few numbers for each row, which are merged by row. Scores are rounded to `digits` before anything else, if given."""
+    target = F.col("target_idx").cast("int") if "target_idx" in rows.columns else F.lit(None).cast("int")
+    slim = rows.select("seq", F.col("logits").cast("array<double>").alias("logits"), target.alias("target_idx"))
+    schema = f"seq {slim.schema['seq'].dataType.simpleString()}, {PARTS}"
+    parts = [slim.mapInArrow(_part(part, config, k, digits), schema) for part in _ranges(dictionary, config, blacklist)]
+    if not parts:
+        return slim.sparkSession.createDataFrame([], f"seq {slim.schema['seq'].dataType.simpleString()}, top array<struct<score:double,word_idx:int,word:string>>, log_total double, target double")
+    if len(parts) == 1:
+        return parts[0].select("seq", "top", (F.col("best") + F.log("total")).alias("log_total"), "target")
+    together = reduce(DataFrame.unionByName, parts).groupBy("seq").agg(F.flatten(F.collect_list("top")).alias("all"), F.max("best").alias("m"), F.collect_list(F.struct("best", "total")).alias("e"), F.max("target").alias("target"))
+    ordered = F.array_sort("all", lambda a, b: F.when(a["score"].eqNullSafe(b["score"]), a["word_idx"] - b["word_idx"]).when(a["score"].isNull() | (a["score"] < b["score"]), 1).otherwise(-1))
+    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["best"] - F.col("m")))
+    return together.select("seq", F.slice(ordered, 1, k).alias("top"), (F.col("m") + F.log(total)).alias("log_total"), "target")
+
+
+def top_words(found: DataFrame) -> DataFrame:
+    """seq, rank from 1, word_idx, word, score, log_prob of what `decoded` found."""
+    each = found.select("seq", "log_total", F.posexplode("top").alias("i", "t"))
+    return each.select("seq", (F.col("i") + 1).alias("rank"), "t.word_idx", "t.word", "t.score", (F.col("t.score") - F.col("log_total")).alias("log_prob"))
+
+
+def log_prob_map(found: DataFrame) -> DataFrame:
+    """seq, log_probs: word to log probability, of the words that `decoded` found."""
+    return found.select("seq", F.map_from_entries(F.transform("top", lambda t: F.struct(t["word"], t["score"] - F.col("log_total")))).alias("log_probs"))
+
+
+def target_log_probs(found: DataFrame) -> DataFrame:
+    """seq, log_prob of each row's target."""
+    return found.select("seq", (F.col("target") - F.col("log_total")).alias("log_prob"))
 
 
 def with_training_counts(picked: DataFrame, counts: DataFrame) -> DataFrame:
@@ -68,7 +167,25 @@ def finished(picked: DataFrame, keys: list[str], step_col: str, end_of_text: str
     return picked.join(first, keys, "left").where(F.col("__end").isNull() | (F.col(step_col) < F.col("__end"))).drop("__end")
 
 
-def classic_decode(logits: DataFrame, k: int) -> DataFrame:
-    """Arg-max and top-k of a plain vocabulary: seq, rank, vocab_id, log_prob."""
-    scored = softmax(logits.select("seq", F.col("vocab_id").alias("word"), F.col("value").alias("score")))
-    return top_words(scored, k).select("seq", "rank", F.col("word").alias("vocab_id"), "log_prob")
+def generated_texts(picked: DataFrame, keys: list[str], step_col: str, end_of_text: str, stop_word: str | None = None) -> DataFrame:
+    """keys, text, n_words: what `finished` leaves of each sample, joined to a text."""
+    kept = finished(picked, keys, step_col, end_of_text, stop_word)
+    words = F.transform(F.array_sort(F.collect_list(F.struct(F.col(step_col).alias("s"), F.col("word").alias("w")))), lambda x: x["w"])
+    return kept.groupBy(*keys).agg(words.alias("w")).select(*keys, words_to_text(F.col("w")).alias("text"), F.size("w").cast("bigint").alias("n_words"))
+
+
+def echoed(prompt: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """The prompt's words with the log probability that the row before each gave it, null for the first: keys, pos, word, log_prob.
+    prompt(keys, pos, word), scored(keys, pos, log_prob of the next word)."""
+    before = scored.select(*keys, (F.col("pos") + 1).alias("pos"), "log_prob")
+    return prompt.select(*keys, "pos", "word").join(before, [*keys, "pos"], "left")
+
+
+def classic_decode(rows: DataFrame, k: int) -> DataFrame:
+    """Arg-max and top-k of a plain vocabulary, from rows(seq, logits): seq, rank, vocab_id, log_prob. Inside each row's array."""
+    numbered = F.transform(F.col("logits"), lambda v, i: F.struct((-v.cast("double")).alias("v"), i.alias("i")))
+    most = F.array_max("logits").cast("double")
+    total = F.aggregate("logits", F.lit(0.0), lambda s, v: s + F.exp(v.cast("double") - F.col("m")))
+    best = rows.select("seq", "logits", most.alias("m"), F.slice(F.array_sort(numbered), 1, k).alias("t"))
+    each = best.select("seq", (F.col("m") + F.log(total)).alias("z"), F.posexplode("t").alias("r", "x"))
+    return each.select("seq", (F.col("r") + 1).alias("rank"), F.col("x.i").alias("vocab_id"), (-F.col("x.v") - F.col("z")).alias("log_prob"))

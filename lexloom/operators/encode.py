@@ -10,20 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
-from lexloom.functions import hashing, trigrams
+from lexloom.functions import hashing, triples
 from lexloom.functions.words import text_to_words
 
 
 def word_rows(df: DataFrame, keys: list[str], text_col: str, config: SplitConfig, stripped: bool, carry: list[str] = ()) -> DataFrame:
     """keys, carry, pos, word for every word of the prepared text."""
-    words = text_to_words(trigrams.prepared(F.col(text_col), config.lowercase, stripped))
+    words = text_to_words(triples.prepared(F.col(text_col), config.lowercase, stripped))
     return df.select(*keys, *carry, F.posexplode(words).alias("pos", "word"))
 
 
 def training_rows(df: DataFrame, keys: list[str], text_col: str, config: SplitConfig) -> DataFrame:
     """keys, pos, word, target, is_eot, loss_weight: each word with the next as its target. The shift is made inside each
     row's word array, so that nothing is shuffled."""
-    words = text_to_words(trigrams.prepared(F.col(text_col), config.lowercase, True))
+    words = text_to_words(triples.prepared(F.col(text_col), config.lowercase, True))
     pairs = df.select(*keys, words.alias("__w")).select(*keys, "__w", F.posexplode(F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 1, F.lit(0)))).alias("pos", "word"))
     target = F.get(F.col("__w"), F.col("pos") + 1)
     return pairs.where(F.col("pos") < config.sequence_length).select(*keys, "pos", "word", target.alias("target"), (target == config.end_of_text).alias("is_eot"), F.lit(1.0).alias("loss_weight"))
@@ -31,7 +31,7 @@ def training_rows(df: DataFrame, keys: list[str], text_col: str, config: SplitCo
 
 def weighted_training_rows(parts: DataFrame, keys: list[str], part_col: str, text_col: str, weight_col: str, config: SplitConfig) -> DataFrame:
     """training_rows over parts that follow each other: a target has its own part's weight. All parts of a sample meet in one array."""
-    words = text_to_words(trigrams.prepared(F.col(text_col), config.lowercase, True))
+    words = text_to_words(triples.prepared(F.col(text_col), config.lowercase, True))
     weighted = F.transform(words, lambda w: F.struct(w.alias("word"), F.col(weight_col).cast("double").alias("weight")))
     each = parts.select(*keys, F.struct(F.col(part_col).alias("p"), weighted.alias("w")).alias("__s"))
     whole = each.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("__s")), lambda s: s["w"])).alias("__w"))
@@ -51,18 +51,18 @@ def padded(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
 
 
 def slots_of_words(words: DataFrame, config: SplitConfig, word_col: str = "word") -> DataFrame:
-    """word, trigram_id, slots, is_edge for distinct words. Rows of slots are made once for each distinct trigram."""
+    """word, triple_id, slots, is_edge for distinct words. Rows of slots are made once for each distinct triple."""
     distinct = words.select(F.col(word_col).alias("word")).where("word is not null").distinct()
     whole = hashing.is_hashed_whole(F.col("word"), config)
-    special = distinct.where(whole).select("word", F.lit(-1).alias("trigram_id"), hashing.word_slots(F.col("word"), config).alias("slots"), F.lit(False).alias("is_edge"))
-    grams = distinct.where(~whole).select("word", F.explode(trigrams.trigrams(F.col("word"))).alias("trigram"))
-    grams = grams.select("word", trigrams.trigram_to_id(F.col("trigram")).alias("trigram_id"), trigrams.touches_edge(F.col("trigram")).alias("is_edge"))
-    table = grams.select("trigram_id").distinct().select("trigram_id", hashing.trigram_slots(F.col("trigram_id"), config).alias("slots"))
-    return special.unionByName(grams.join(table, "trigram_id").select("word", "trigram_id", "slots", "is_edge"))
+    special = distinct.where(whole).select("word", F.lit(-1).alias("triple_id"), hashing.word_slots(F.col("word"), config).alias("slots"), F.lit(False).alias("is_edge"))
+    grams = distinct.where(~whole).select("word", F.explode(triples.triples(F.col("word"))).alias("triple"))
+    grams = grams.select("word", triples.triple_to_id(F.col("triple")).alias("triple_id"), triples.touches_edge(F.col("triple")).alias("is_edge"))
+    table = grams.select("triple_id").distinct().select("triple_id", hashing.triple_slots(F.col("triple_id"), config).alias("slots"))
+    return special.unionByName(grams.join(table, "triple_id").select("word", "triple_id", "slots", "is_edge"))
 
 
 def sparse_hits(rows: DataFrame, keys: list[str], config: SplitConfig, word_col: str = "target") -> DataFrame:
-    """keys, pos, vocab_id, hits: for each slot, how many trigrams of the position's word map to it. Hits are counted once for
+    """keys, pos, vocab_id, hits: for each slot, how many triples of the position's word map to it. Hits are counted once for
     each distinct word, then joined."""
     of_word = slots_of_words(rows, config, word_col)
     hits = of_word.select("word", F.explode(F.array_distinct("slots")).alias("vocab_id")).groupBy("word", "vocab_id").agg(F.count("*").alias("hits"))
@@ -111,5 +111,43 @@ def coo_ranges(counts: DataFrame, batch_key: str, sample_key: str, count_col: st
     return counts.select(batch_key, sample_key, (end - F.col(count_col)).alias("coo_start"), end.alias("coo_end"))
 
 
+def collated(rows: DataFrame, sample_col: str, batch_size: int, length: int, reset_attention_mask: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples numbered from 0 in sample_col, batch_size of them to a batch: the batch's rows (batch, place, pos and the rest),
+    the ranges of their rows (batch, place, coo_start, coo_end), and the starts of attention segments in the flat batch (batch,
+    start) with the batch's end; one segment to a sample where the mask is not reset at ends of text."""
+    batch, place = F.expr(f"{sample_col} div {batch_size}").cast("bigint"), (F.col(sample_col) % batch_size).cast("int")
+    placed = rows.withColumn("batch", batch).withColumn("place", place)
+    counts = placed.groupBy("batch", "place").agg(F.count("*").alias("n"))
+    ranges = coo_ranges(counts, "batch", "place", "n")
+    if reset_attention_mask:
+        spans = segment_spans(placed, ["batch", "place"])
+    else:
+        spans = placed.select("batch", "place").distinct().withColumn("seg_start", F.lit(0))
+    starts = spans.select("batch", (F.col("place").cast("bigint") * length + F.col("seg_start")).alias("start"))
+    ends = counts.groupBy("batch").agg(F.max("place").alias("p")).select("batch", ((F.col("p") + 1).cast("bigint") * length).alias("start"))
+    return placed, ranges, starts.unionByName(ends)
+
+
+def inference_rows(rows: DataFrame, keys: list[str], part_col: str, length: int | None) -> DataFrame:
+    """Parts of each sample one after another; position ids go on over parts. With a length, cut or filled up with empty words."""
+    out = concatenated(rows, keys, part_col, length, False)
+    if length is None:
+        return out
+    sizes = out.groupBy(*keys).agg((F.max("pos") + 1).alias("n"))
+    more = sizes.where(F.col("n") < length).select(*keys, F.explode(F.sequence(F.col("n"), F.lit(length - 1))).alias("pos"))
+    return out.select(*keys, "pos", "word", "position_id").unionByName(more.select(*keys, "pos", F.lit("").alias("word"), F.col("pos").alias("position_id")))
+
+
+def causal_spans(rows: DataFrame, keys: list[str], pad_to: int | None = None) -> DataFrame:
+    """The plain causal mask of each sample as spans: keys, pos, key_start, key_end: a position sees keys from key_start up to
+    itself. With pad_to, the positions up to it see nothing."""
+    seen = rows.select(*keys, "pos", F.lit(0).alias("key_start"), (F.col("pos") + 1).alias("key_end"))
+    if pad_to is None:
+        return seen
+    sizes = rows.groupBy(*keys).agg((F.max("pos") + 1).alias("n"))
+    more = sizes.where(F.col("n") < pad_to).select(*keys, F.explode(F.sequence(F.col("n"), F.lit(pad_to - 1))).alias("pos"))
+    return seen.unionByName(more.select(*keys, "pos", F.lit(0).alias("key_start"), F.lit(0).alias("key_end")))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

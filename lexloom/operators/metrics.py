@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import ScheduleConfig
 
 
-def word_embeddings(slots: DataFrame, vectors: DataFrame, aggregation: str = "sum", by_trigrams: bool = False) -> DataFrame:
-    """slots(word, trigram_id, slots), vectors(vocab_id, embedding): word, dim, value. Sum over a word's trigrams of the sum or
-    mean over their slots; optionally over the number of trigrams."""
-    each = slots.select("word", "trigram_id", F.size("slots").alias("k"), F.explode("slots").alias("vocab_id"))
+def word_embeddings(slots: DataFrame, vectors: DataFrame, aggregation: str = "sum", by_triples: bool = False) -> DataFrame:
+    """slots(word, triple_id, slots), vectors(vocab_id, embedding): word, dim, value. Sum over a word's triples of the sum or
+    mean over their slots; optionally over the number of triples."""
+    each = slots.select("word", "triple_id", F.size("slots").alias("k"), F.explode("slots").alias("vocab_id"))
     flat = vectors.select("vocab_id", F.posexplode("embedding").alias("dim", "x"))
     scale = F.lit(1.0) if aggregation == "sum" else 1.0 / F.col("k")
     out = each.join(flat, "vocab_id").groupBy("word", "dim").agg(F.sum(F.col("x").cast("double") * scale).alias("value"))
-    if by_trigrams:
+    if by_triples:
         n = slots.groupBy("word").agg(F.count("*").alias("n"))
         out = out.join(n, "word").select("word", "dim", (F.col("value") / F.col("n")).alias("value"))
     return out
@@ -73,22 +75,35 @@ def learning_rate(step: Column, config: ScheduleConfig) -> Column:
 
 
 def loss_scales(steps: DataFrame, initial: float = 2.0**16, factor: float = 2.0, window: int = 1000, hysteresis: int = 2, minimum: float = 1.0, consecutive: bool = False) -> DataFrame:
-    """steps(run, step, overflow): run and scales, the loss scale after each step. An overflow uses up patience, at the last
-    it divides; a step without one multiplies when a positive multiple of `window` such steps came before it. A fold over
-    each run's ordered flags."""
-    start = F.struct(F.lit(float(initial)).alias("scale"), F.lit(hysteresis).alias("patience"), F.lit(0).alias("good"), F.array().cast("array<double>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        grows = (s["good"] > 0) & (s["good"] % window == 0)
-        divides = s["patience"] == 1
-        scale = F.when(x["overflow"], F.when(divides, F.greatest(s["scale"] / factor, F.lit(float(minimum)))).otherwise(s["scale"])).otherwise(F.when(grows, s["scale"] * factor).otherwise(s["scale"]))
-        renewed = F.lit(consecutive) | grows
-        patience = F.when(x["overflow"], F.when(divides, s["patience"]).otherwise(s["patience"] - 1)).otherwise(F.when(renewed, F.lit(hysteresis)).otherwise(s["patience"]))
-        good = F.when(x["overflow"], F.lit(0)).otherwise(s["good"] + 1)
-        return F.struct(scale.alias("scale"), patience.alias("patience"), good.alias("good"), F.array_append(s["out"], scale).alias("out"))
-
-    flags = F.array_sort(F.collect_list(F.struct("step", "overflow")))
-    return steps.groupBy("run").agg(flags.alias("f")).select("run", F.aggregate("f", start, step)["out"].alias("scales"))
+    """steps(run, step, overflow): run, step and scale, the loss scale after the step. An overflow (null is none) uses up patience,
+    at the last it divides; a step without one multiplies when a positive multiple of `window` such steps came before it.
+    Runs are dealt to tasks and read in order of steps; a task carries the state of one run at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, scale, patience, good = object(), initial, hysteresis, 0
+        for batch in batches:
+            out = []
+            for name, overflow in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if name != current:
+                    current, scale, patience, good = name, initial, hysteresis, 0
+                if overflow:
+                    if patience == 1:
+                        scale = max(scale / factor, minimum)
+                    else:
+                        patience -= 1
+                    good = 0
+                else:
+                    if grows := good > 0 and good % window == 0:
+                        scale *= factor
+                    if grows or consecutive:
+                        patience = hysteresis
+                    good += 1
+                out.append(scale)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["run", "step", "scale"])
+
+    kinds = dict(steps.dtypes)
+    dealt = steps.select("run", "step", "overflow").repartition("run").sortWithinPartitions("run", "step")
+    return dealt.mapInArrow(run, f"run {kinds['run']}, step {kinds['step']}, scale double")
 
 
 def rotary_table(positions: DataFrame, dims: int, base: float = 10_000.0) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lexloom.config import PackConfig, SplitConfig
 from lexloom.functions.words import text_to_words
-from lexloom.functions.trigrams import prepared
+from lexloom.functions.triples import prepared
+from lexloom.sources.scratch import written
 
 CHUNKS = "shard string, record_id int, chunk_no int, doc_id bigint, offset bigint, length int"
 
@@ -63,6 +64,22 @@ def packed_records(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFr
     return docs.select("shard", "doc_id", "start", "payload").groupBy("shard").applyInArrow(run, CHUNKS)
 
 
+def cut_shards(docs: DataFrame, shard_bytes: int = 1 << 28) -> DataFrame:
+    """docs(start, ...) with shard, named by the part of `shard_bytes` of the corpus in which a document starts: a bound on what
+    one task of `packed_records` holds, beyond one document."""
+    return docs.withColumn("shard", F.format_string("%012d", F.expr(f"start div {shard_bytes}")))
+
+
+def records(chunks: DataFrame, shard: str, record_id: int) -> DataFrame:
+    """The chunks of one record; the filter reaches a table's scan."""
+    return chunks.where((F.col("shard") == shard) & (F.col("record_id") == record_id))
+
+
+def record_counts(chunks: DataFrame) -> DataFrame:
+    """shard, records: as a reader counts that goes by the largest index, one less than there are."""
+    return chunks.groupBy("shard").agg(F.max("record_id").cast("bigint").alias("records"))
+
+
 def record_texts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """The text of each chunk, cut from its document's payload."""
     joined = chunks.join(docs.select("shard", "doc_id", "start", "payload"), ["shard", "doc_id"])
@@ -88,12 +105,12 @@ def sample_chunks(texts: DataFrame, order: DataFrame, config: SplitConfig, sampl
     n = order.count()
     sized = texts.select("record", "chunk_no", F.concat("text", F.lit("<|endoftext|>")).alias("text"))
     sized = sized.withColumn("n", F.size(text_to_words(prepared(F.col("text"), config.lowercase, True))) - 1)
-    records = sized.groupBy("record").agg(F.count("*").alias("chunks"), F.sum("n").alias("positions")).join(order, "record")
+    records = written(sized.groupBy("record").agg(F.count("*").alias("chunks"), F.sum("n").alias("positions")).join(order, "record"), "records")
     open_ = (samples if samples is not None else order.select(F.col("slot").alias("sample"))).select("sample", F.lit(0).cast("bigint").alias("done"), F.lit(0).cast("bigint").alias("part"))
     taken = None
     while True:
         step = open_.withColumn("slot", (F.col("sample") + F.col("part")) % n).join(records, "slot")
-        step = step.select("sample", "record", "part", (F.col("part") + F.col("chunks")).alias("next"), (F.col("done") + F.col("positions")).alias("total")).persist()
+        step = written(step.select("sample", "record", "part", (F.col("part") + F.col("chunks")).alias("next"), (F.col("done") + F.col("positions")).alias("total")), "round")
         taken = step if taken is None else taken.unionByName(step)
         open_ = step.where(F.col("total") < config.sequence_length).select("sample", F.col("total").alias("done"), F.col("next").alias("part"))
         if open_.isEmpty():

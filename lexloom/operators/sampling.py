@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def hashed_permutation(rows: DataFrame, idx_col: str, seed: int) -> DataFrame:
     """slot, idx in the order of a seeded hash, for any size: rows are dealt to ranges by the hash's first digits, numbered
     inside their range, and moved up by the sizes of the ranges before."""
     keyed = rows.select(F.col(idx_col).alias("idx"), hash_key(F.col(idx_col), seed).alias("key"))
-    keyed = keyed.withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))  # 4096 ranges
+    keyed = keyed.withColumn("range", F.conv(F.substring("key", 1, 5), 16, 10).cast("int"))  # a million ranges
     sizes = keyed.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("range").orderBy("key", "idx"))
@@ -42,6 +44,11 @@ def shard_ranges(sizes: DataFrame) -> DataFrame:
     return sizes.select("shard", (upto - F.col("n")).alias("lo"), upto.alias("hi"))
 
 
+def union_of_shards(shards: list[DataFrame]) -> DataFrame:
+    """All shards as one table with `shard`, their number in the order given; their rows are found by `shard_ranges` and `locate`."""
+    return reduce(DataFrame.unionByName, [s.withColumn("shard", F.lit(i)) for i, s in enumerate(shards)])
+
+
 def locate(indices: DataFrame, ranges: DataFrame, idx_col: str = "idx") -> DataFrame:
     """The shard and local index of a global index."""
     i = F.col(idx_col)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
-from lexloom.functions.words import LINE, NO_WS, RUN_OF, WS
 from lexloom.operators.encode import slots_of_words
+from lexloom.sources.scratch import in_order
 
 DICTIONARY_LIMIT = 1_000_000
 
@@ -25,11 +25,18 @@ def merged_counts(*counters: DataFrame) -> DataFrame:
     return every.groupBy("word").agg(F.sum("count").alias("count"), *seen).where("count > 0")
 
 
+# Fixed values of the dictionary: the words that every one holds, and those of the chat format.
+RESERVED = [
+    "<|\n|>", "<|endoftext|>", "<|no_ws|>", "<|ws|>",
+    "<|2<-ws->|>", "<|4<-ws->|>", "<|6<-ws->|>", "<|8<-ws->|>",
+    "<|2<-\n->|>", "<|4<-\n->|>", "<|6<-\n->|>", "<|8<-\n->|>",
+]
+CHAT_RESERVED = ["<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"]
+
+
 def reserved_words(chat: bool = False) -> list[str]:
-    """Words that every dictionary holds: marks, end of text, run tokens of 2 to 8; with chat its markers as well."""
-    runs = [f"<|{n}{kind}|>" for kind in RUN_OF.values() for n in (2, 4, 6, 8)]
-    markers = ["<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"] if chat else []
-    return [LINE, "<|endoftext|>", NO_WS, WS, *runs, *markers]
+    """Words that every dictionary holds: marks, end of text, run tokens; with chat its markers as well."""
+    return RESERVED + (CHAT_RESERVED if chat else [])
 
 
 def with_reserved(counts: DataFrame, words: list[str]) -> DataFrame:
@@ -37,13 +44,25 @@ def with_reserved(counts: DataFrame, words: list[str]) -> DataFrame:
     return counts.select("word", "count").unionByName(extra).groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def _numbered(rows: DataFrame, order: list, limited: bool) -> DataFrame:
+    """rows with word_idx; over ranges where no limit bounds them."""
+    if limited:
+        return rows.withColumn("word_idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    return in_order(rows, order, "word_idx").withColumn("word_idx", F.col("word_idx").cast("int"))
+
+
+def first_seen(words: DataFrame, order: list[str], word_col: str = "word") -> DataFrame:
+    """word, count, first_seen: the least value of the order columns among the word's places, a tie-break of `ranked`."""
+    return words.where(F.col(word_col).isNotNull()).groupBy(F.col(word_col).alias("word")).agg(F.count("*").alias("count"), F.min(F.struct(*order)).alias("first_seen"))
+
+
 def ranked(counts: DataFrame, limit: int | None = DICTIONARY_LIMIT, tie: str = "word", drop: list[str] = ()) -> DataFrame:
-    """word_idx, word, count by descending count, then `tie`. The limit comes first (a distributed top-k), so that the
-    numbering window holds no more than `limit` rows."""
+    """word_idx, word, count by descending count, then `tie` (first_seen keeps the order of first places). The limit comes first
+    (a distributed top-k), so that the numbering window holds no more than `limit` rows; without one, ranges are numbered."""
     rows = counts.where(~F.col("word").isin(*drop)) if drop else counts
     order = [F.col("count").desc(), F.col(tie).asc()]
     rows = rows.orderBy(*order).limit(limit) if limit is not None else rows
-    return rows.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("word_idx"), "word", "count")
+    return _numbered(rows, order, limit is not None).select("word_idx", "word", "count")
 
 
 def reserved_first(rank: DataFrame, words: list[str]) -> DataFrame:
@@ -65,7 +84,7 @@ def interleaved(a: DataFrame, b: DataFrame, limit: int | None = DICTIONARY_LIMIT
     head = keyed.where("paired").groupBy("word").agg(F.min("key").alias("key"))
     every = head.select("word", "key").unionByName(keyed.where("not paired").select("word", "key"))
     every = every.orderBy("key").limit(limit) if limit is not None else every
-    return every.select((F.row_number().over(Window.orderBy("key")) - 1).alias("word_idx"), "word")
+    return _numbered(every, [F.col("key")], limit is not None).select("word_idx", "word")
 
 
 def truncated(dictionary: DataFrame, size: int) -> DataFrame:
@@ -73,12 +92,12 @@ def truncated(dictionary: DataFrame, size: int) -> DataFrame:
 
 
 def dictionary_words(words: DataFrame, config: SplitConfig) -> DataFrame:
-    """word, n_trigrams: distinct trigrams, 1 for words hashed whole."""
-    return slots_of_words(words, config).groupBy("word").agg(F.count("*").alias("n_trigrams"))
+    """word, n_triples: distinct triples, 1 for words hashed whole."""
+    return slots_of_words(words, config).groupBy("word").agg(F.count("*").alias("n_triples"))
 
 
 def dictionary_slots(words: DataFrame, config: SplitConfig) -> DataFrame:
-    """word, is_edge, vocab_id: the distinct slots of each word, apart for trigrams that touch its edge and others."""
+    """word, is_edge, vocab_id: the distinct slots of each word, apart for triples that touch its edge and others."""
     return slots_of_words(words, config).select("word", "is_edge", F.explode("slots").alias("vocab_id")).distinct()
 
 
@@ -86,5 +105,19 @@ def extended(dictionary: DataFrame, more: DataFrame) -> DataFrame:
     """dictionary (word_idx, word) and, behind it, those of more(position, word) that it lacks; repeats among these stay."""
     new = more.join(dictionary.select("word"), "word", "left_anti")
     size = dictionary.agg(F.coalesce(F.max("word_idx") + 1, F.lit(0)).alias("n"))
-    moved = new.crossJoin(F.broadcast(size)).select((F.row_number().over(Window.orderBy("position")) - 1 + F.col("n")).cast("int").alias("word_idx"), "word")
-    return dictionary.select("word_idx", "word").unionByName(moved)
+    moved = in_order(new, [F.col("position"), F.col("word")], "i").crossJoin(F.broadcast(size))  # one row
+    return dictionary.select("word_idx", "word").unionByName(moved.select((F.col("i") + F.col("n")).cast("int").alias("word_idx"), "word"))
+
+
+def word_to_index(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """words(word, ...) with word_idx, null for words that the dictionary (word_idx, word) lacks; its first place of a word."""
+    first = dictionary.groupBy("word").agg(F.min("word_idx").alias("word_idx"))
+    return words.join(first, "word", "left")
+
+
+def generated_dictionary(counters: list[DataFrame], size: int = DICTIONARY_LIMIT, chat: bool = True) -> DataFrame:
+    """The dictionary job: each counter (word, count) ranked without reserved words, the rankings taken in turn from the last to
+    the first, reserved words in front, cut to size. word_idx, word."""
+    reserved = reserved_words(chat)
+    ranks = [ranked(merged_counts(c), size, drop=reserved).select("word_idx", "word") for c in counters]
+    return truncated(reserved_first(reduce(lambda a, b: interleaved(a, b, size), ranks), reserved), size)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.config import SampleConfig, ScheduleConfig, SplitConfig
-from lexloom.functions import hashing, trigrams
-from lexloom.functions.words import text_to_words, words_to_text
-from lexloom.operators import chat, classic, decode, encode, metrics, pack, sampling, vocabulary
+from lexloom.functions import hashing, triples
+from lexloom.functions.words import expand_runs, text_to_words, words_to_text
+from lexloom.operators import chat, decode, encode, metrics, pack, sampling, tokenizer, vocabulary
 from lexloom.plans import sql
 from lexloom.sources import corpus
 
@@ -24,6 +24,7 @@ SMALL = SplitConfig(vocab_size=64, slots=4)
 VECTORS = SplitConfig(vocab_size=500, slots=4)
 SAMPLE = SampleConfig(seed=42, micro_batch=4, world=3, consumed=48)
 LENGTH = 256
+SHARD_BYTES = 1 << 20
 EOT = "<|endoftext|>"
 
 
@@ -46,6 +47,7 @@ def _words(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _DOC_WORDS = sql.words("documents", "doc_id", "text")
+_ALL_WORDS = f"SELECT DISTINCT unnest(w) AS word FROM ({_DOC_WORDS})"
 _ITEM_WORDS = f"SELECT DISTINCT unnest(w) AS word FROM ({sql.words('benchmark', 'item_id', 'text')})"
 _TURN_WORDS = sql.words("conversations", "conv_id, turn, role", sql.strip("text"))
 
@@ -72,38 +74,50 @@ def words_round_trip(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, {sql.strip('lower(text)')} AS prepared FROM conversations")
 def prepared_texts(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", trigrams.prepared(F.col("text"), True, True).alias("prepared"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", triples.prepared(F.col("text"), True, True).alias("prepared"))
 
 
-@query(f"SELECT word, len(t)::BIGINT AS n_trigrams, array_to_string(list_sort(t), ',') AS ids FROM (SELECT word, {sql.trigram_ids('word')} AS t FROM ({_ITEM_WORDS}))")
-def word_trigrams(spark, sf_dir):
-    words = _words(spark, sf_dir, "benchmark").distinct().select("word", F.transform(trigrams.trigrams(F.col("word")), trigrams.trigram_to_id).alias("t"))
-    return words.select("word", F.size("t").cast("bigint").alias("n_trigrams"), F.array_join(F.array_sort("t").cast("array<string>"), ",").alias("ids"))
+@query(f"SELECT word, len(t)::BIGINT AS n_triples, array_to_string(list_sort(t), ',') AS ids FROM (SELECT word, {sql.triple_ids('word')} AS t FROM ({_ALL_WORDS}))")
+def word_triples(spark, sf_dir):
+    words = _words(spark, sf_dir, "documents").distinct().select("word", F.transform(triples.triples(F.col("word")), triples.triple_to_id).alias("t"))
+    return words.select("word", F.size("t").cast("bigint").alias("n_triples"), F.array_join(F.array_sort("t").cast("array<string>"), ",").alias("ids"))
 
 
-@query(f"SELECT word, array_to_string({sql.word_slots('word', TEXT)}, ',') AS slots FROM ({_ITEM_WORDS})")
+@query(f"SELECT word, array_to_string({sql.word_slots('word', TEXT)}, ',') AS slots FROM ({_ALL_WORDS})")
 def whole_word_slots(spark, sf_dir):
-    words = _words(spark, sf_dir, "benchmark").distinct()
+    words = _words(spark, sf_dir, "documents").distinct()
     return words.select("word", F.array_join(hashing.word_slots(F.col("word"), TEXT).cast("array<string>"), ",").alias("slots"))
 
 
-_ITEM_TRIGRAMS = f"SELECT DISTINCT unnest({sql.trigram_ids('word')}) AS trigram_id FROM ({_ITEM_WORDS})"
-_TRIGRAM_TEXT = "chr((trigram_id % 256)::INTEGER) || chr((trigram_id // 256 % 256)::INTEGER) || chr((trigram_id // 65536)::INTEGER)"
+_ITEM_TRIPLES = f"SELECT DISTINCT unnest({sql.triple_ids('word')}) AS triple_id FROM ({_ALL_WORDS})"
+_TRIPLE_TEXT = "chr((triple_id % 256)::INTEGER) || chr((triple_id // 256 % 256)::INTEGER) || chr((triple_id // 65536)::INTEGER)"
 
 
 @query(
-    f"""WITH ids AS ({_ITEM_TRIGRAMS}),
-named AS (SELECT trigram_id, CASE WHEN trigram_id % 256 < 128 AND trigram_id // 256 % 256 < 128 AND trigram_id // 65536 < 128 THEN {_TRIGRAM_TEXT} ELSE '' END AS t FROM ids),
-low AS (SELECT trigram_id, CASE WHEN regexp_full_match(t, '[A-Za-z ]{{3}}') AND regexp_matches(t, '[A-Z]') THEN ascii(lower(t)[1]) + 256 * ascii(lower(t)[2]) + 65536 * ascii(lower(t)[3]) END AS low_id FROM named),
-every AS (SELECT trigram_id FROM ids UNION SELECT low_id FROM low WHERE low_id IS NOT NULL),
-made AS ({sql.trigram_rows('every', 'trigram_id', TEXT)})
-SELECT low.trigram_id, array_to_string(CASE WHEN low_id IS NULL THEN a.slots ELSE list_concat(a.slots[1:3], b.slots[4:4]) END, ',') AS slots
-FROM low JOIN made a ON a.trigram_id = low.trigram_id LEFT JOIN made b ON b.trigram_id = low.low_id"""
+    f"""WITH ids AS ({_ITEM_TRIPLES}),
+named AS (SELECT triple_id, CASE WHEN triple_id % 256 < 128 AND triple_id // 256 % 256 < 128 AND triple_id // 65536 < 128 THEN {_TRIPLE_TEXT} ELSE '' END AS t FROM ids),
+low AS (SELECT triple_id, CASE WHEN regexp_full_match(t, '[A-Za-z ]{{3}}') AND regexp_matches(t, '[A-Z]') THEN ascii(lower(t)[1]) + 256 * ascii(lower(t)[2]) + 65536 * ascii(lower(t)[3]) END AS low_id FROM named),
+every AS (SELECT triple_id FROM ids UNION SELECT low_id FROM low WHERE low_id IS NOT NULL),
+made AS ({sql.triple_rows('every', 'triple_id', TEXT)})
+SELECT low.triple_id, array_to_string(CASE WHEN low_id IS NULL THEN a.slots ELSE list_concat(a.slots[1:3], b.slots[4:4]) END, ',') AS slots
+FROM low JOIN made a ON a.triple_id = low.triple_id LEFT JOIN made b ON b.triple_id = low.low_id"""
 )
-def trigram_slots(spark, sf_dir):
-    words = _words(spark, sf_dir, "benchmark").distinct()
-    ids = words.select(F.explode(F.transform(trigrams.trigrams(F.col("word")), trigrams.trigram_to_id)).alias("trigram_id")).distinct()
-    return ids.select("trigram_id", F.array_join(hashing.trigram_slots(F.col("trigram_id"), TEXT).cast("array<string>"), ",").alias("slots"))
+def triple_slots(spark, sf_dir):
+    words = _words(spark, sf_dir, "documents").distinct()
+    ids = words.select(F.explode(F.transform(triples.triples(F.col("word")), triples.triple_to_id)).alias("triple_id")).distinct()
+    return ids.select("triple_id", F.array_join(hashing.triple_slots(F.col("triple_id"), TEXT).cast("array<string>"), ",").alias("slots"))
+
+
+_RUN_TEXT = "'a' || repeat(' ', (doc_id % 23)::INTEGER) || 'b' || repeat(chr(10), (doc_id % 19)::INTEGER) || 'c' || repeat(' ', (doc_id % 3)::INTEGER)"
+_EXPANDED = "list_sum(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '(?s)<\\|[0-9]+<-(ws|\n)->\\|>') THEN regexp_extract(x, '[0-9]+')::INTEGER ELSE 1 END))::BIGINT"
+
+
+@query(f"SELECT doc_id, array_to_string(w, ' ') AS words, {_EXPANDED} AS n_expanded FROM ({sql.words('documents', 'doc_id', _RUN_TEXT)})")
+def run_tokens(spark, sf_dir):
+    n = lambda k: (F.col("doc_id") % k).cast("int")
+    text = F.concat(F.lit("a"), F.repeat(F.lit(" "), n(23)), F.lit("b"), F.repeat(F.lit("\n"), n(19)), F.lit("c"), F.repeat(F.lit(" "), n(3)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_to_words(text).alias("w"))
+    return docs.select("doc_id", F.array_join("w", " ").alias("words"), F.size(expand_runs(F.col("w"))).cast("bigint").alias("n_expanded"))
 
 
 # ---- corpus
@@ -115,6 +129,16 @@ def corpus_offsets(spark, sf_dir):
     return corpus.with_offsets(docs, "doc_id", F.octet_length("text")).select("doc_id", "size", "start")
 
 
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size FROM documents")
+def corpus_sizes(spark, sf_dir):
+    return corpus.sizes(corpus.with_offsets(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", F.octet_length("text")))
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id = 7")
+def corpus_lookup(spark, sf_dir):
+    return corpus.lookup(table(spark, sf_dir, "documents").select("doc_id", "text"), 7)
+
+
 @query("SELECT doc_id, substr(hex(encode(text)), 21, 32) AS part FROM documents")
 def corpus_range_reads(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.hex(corpus.read_range(F.encode("text", "UTF-8"), 10, 16)).alias("part"))
@@ -178,8 +202,8 @@ def finetuning_samples(spark, sf_dir):
     return encode.padded(_finetuning(spark, sf_dir), ["conv_id"], LENGTH)
 
 
-_WORD_ROWS = f"""ids AS (SELECT word, {sql.trigram_ids('word')} AS t FROM vocab), grams AS (SELECT word, unnest(t) AS trigram_id FROM ids),
-made AS ({sql.trigram_rows('(SELECT DISTINCT trigram_id FROM grams)', 'trigram_id', PLAIN)}), slots AS (SELECT word, trigram_id, slots FROM grams JOIN made USING (trigram_id))"""
+_WORD_ROWS = f"""ids AS (SELECT word, {sql.triple_ids('word')} AS t FROM vocab), grams AS (SELECT word, unnest(t) AS triple_id FROM ids),
+made AS ({sql.triple_rows('(SELECT DISTINCT triple_id FROM grams)', 'triple_id', PLAIN)}), slots AS (SELECT word, triple_id, slots FROM grams JOIN made USING (triple_id))"""
 
 
 @query(
@@ -200,10 +224,13 @@ _SEGMENTS = f"SELECT conv_id, pos, coalesce(sum(is_eot::INT) OVER (PARTITION BY
 _SPANS = f"SELECT conv_id, segment, min(pos) AS seg_start, max(pos) + 1 AS seg_end FROM ({_SEGMENTS}) GROUP BY conv_id, segment"
 
 
+def _eot_rows(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat(triples.strip(F.col("text")), F.lit(EOT))).withColumn("weight", F.lit(1.0))
+    return encode.weighted_training_rows(turns, ["conv_id"], "turn", "text", "weight", SplitConfig(sequence_length=LENGTH))
+
+
 def _spans(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat(trigrams.strip(F.col("text")), F.lit(EOT))).withColumn("weight", F.lit(1.0))
-    rows = encode.weighted_training_rows(turns, ["conv_id"], "turn", "text", "weight", SplitConfig(sequence_length=LENGTH))
-    return encode.segment_spans(rows, ["conv_id"])
+    return encode.segment_spans(_eot_rows(spark, sf_dir), ["conv_id"])
 
 
 @query(_SPANS)
@@ -239,9 +266,43 @@ def sliced_rows(spark, sf_dir):
     return encode.sliced(training_rows(spark, sf_dir), 5, 25).select("conv_id", "turn", "pos", "target")
 
 
+_RAW_WORDS = sql.words("conversations", "conv_id, turn, role", "text")
+
+
+@query(
+    f"""WITH rows AS (SELECT conv_id, turn, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM ({_RAW_WORDS})), vocab AS (SELECT DISTINCT word FROM rows), {_WORD_ROWS},
+of AS (SELECT word, string_agg(array_to_string(slots, ','), ';' ORDER BY triple_id) AS slots FROM slots WHERE NOT contains(word, '<|') GROUP BY word
+UNION ALL SELECT word, array_to_string({sql.word_slots('word', PLAIN)}, ',') FROM vocab WHERE contains(word, '<|'))
+SELECT conv_id, turn, pos, word, slots FROM rows JOIN of USING (word)"""
+)
+def inference_encodings(spark, sf_dir):
+    rows = tokenizer.encode_inference(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", PLAIN)
+    return rows.withColumn("slots", F.array_join(F.transform("slots", lambda x: F.array_join(x.cast("array<string>"), ",")), ";"))
+
+
+@query(
+    f"""WITH s AS ({_SPANS}), b AS (SELECT conv_id // 4 AS batch, conv_id % 4 AS place, seg_start FROM s)
+SELECT batch, place * {LENGTH} + seg_start AS start FROM b UNION ALL SELECT batch, (max(place) + 1) * {LENGTH} FROM b GROUP BY batch"""
+)
+def collated_starts(spark, sf_dir):
+    return encode.collated(_eot_rows(spark, sf_dir), "conv_id", 4, LENGTH, True)[2]
+
+
+@query(
+    f"""WITH r AS (SELECT conv_id, turn, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM ({_RAW_WORDS})), n AS (SELECT conv_id, turn, max(pos) + 1 AS n FROM r GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM n),
+c AS (SELECT conv_id, (pos + o)::BIGINT AS pos, word FROM r JOIN o USING (conv_id, turn) WHERE pos + o < {LENGTH}), m AS (SELECT conv_id, max(pos) + 1 AS n FROM c GROUP BY conv_id)
+SELECT conv_id, pos, word, pos AS position_id FROM c UNION ALL SELECT conv_id, p, '', p FROM (SELECT conv_id, unnest(range(n, {LENGTH})) AS p FROM m)"""
+)
+def inference_padded(spark, sf_dir):
+    rows = encode.word_rows(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", PLAIN, False)
+    return encode.inference_rows(rows, ["conv_id"], "turn", LENGTH)
+
+
 @query()
 def classic_training_rows(spark, sf_dir):
-    return classic.token_training_rows(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", public_tokenizers.path("byte_bpe_50k.json"))
+    plain = SplitConfig(classic=True)
+    return tokenizer.encode_training(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", plain, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 # ---- vocabulary
@@ -249,7 +310,7 @@ def classic_training_rows(spark, sf_dir):
 
 _COUNTS = f"SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM ({_DOC_WORDS})) GROUP BY word"
 _ITEM_COUNTS = f"SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM ({sql.words('benchmark', 'item_id', 'text')})) GROUP BY word"
-_RANK = "SELECT (row_number() OVER (ORDER BY count DESC, word) - 1)::INTEGER AS word_idx, word, count FROM ({})"
+_RANK = f"SELECT * FROM (SELECT (row_number() OVER (ORDER BY count DESC, word) - 1)::INTEGER AS word_idx, word, count FROM ({{}})) WHERE word_idx < {vocabulary.DICTIONARY_LIMIT}"
 
 
 @query(_RANK.format(_COUNTS))
@@ -257,6 +318,15 @@ def vocabulary_rank(spark, sf_dir):
     return vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "documents")))
 
 
+@query(
+    f"""SELECT * FROM (SELECT (row_number() OVER (ORDER BY count DESC, doc, pos) - 1)::INTEGER AS word_idx, word, count FROM (SELECT word, count(*) AS count, min({{'d': doc_id, 'p': pos}}).d AS doc, min({{'d': doc_id, 'p': pos}}).p AS pos
+FROM (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM ({_DOC_WORDS})) GROUP BY word)) WHERE word_idx < {vocabulary.DICTIONARY_LIMIT}"""
+)
+def vocabulary_rank_first_seen(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text_to_words(F.col("text"))).alias("pos", "word"))
+    return vocabulary.ranked(vocabulary.first_seen(words, ["doc_id", "pos"]), tie="first_seen")
+
+
 @query(f"SELECT word, sum(count)::BIGINT AS count FROM ({_COUNTS} UNION ALL SELECT word, -2 * count FROM ({_ITEM_COUNTS})) GROUP BY word HAVING sum(count) > 0")
 def merged_counters(spark, sf_dir):
     more = vocabulary.word_counts(_words(spark, sf_dir, "benchmark")).withColumn("count", F.col("count") * -2)
@@ -288,6 +358,21 @@ def interleaved_dictionary(spark, sf_dir):
     return vocabulary.reserved_first(vocabulary.interleaved(a, b), _CHAT)
 
 
+_OTHER = f"word NOT IN ({', '.join(sql.quoted(w) for w in _CHAT)})"
+_JOB = _INTERLEAVED.replace(_RANK.format(_COUNTS), _RANK.format(f"{_COUNTS} HAVING {_OTHER}")).replace(_RANK.format(_ITEM_COUNTS), _RANK.format(f"{_ITEM_COUNTS} HAVING {_OTHER}"))
+
+
+@query(f"SELECT word_idx::INTEGER AS word_idx, word FROM (VALUES {_CHAT_ROWS}) v(word_idx, word) UNION ALL SELECT (word_idx + {len(_CHAT)})::INTEGER, word FROM ({_JOB}) WHERE word_idx < {vocabulary.DICTIONARY_LIMIT - len(_CHAT)}")
+def dictionary_job(spark, sf_dir):
+    return vocabulary.generated_dictionary([vocabulary.word_counts(_words(spark, sf_dir, n)) for n in ("documents", "benchmark")])
+
+
+@query(f"SELECT t.word, t.n, r.word_idx FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM ({_TURN_WORDS})) GROUP BY word) t LEFT JOIN ({_RANK.format(_ITEM_COUNTS)}) r ON r.word = t.word")
+def word_index_lookup(spark, sf_dir):
+    words = encode.word_rows(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", PLAIN, True).groupBy("word").agg(F.count("*").alias("n"))
+    return vocabulary.word_to_index(words, vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "benchmark")))).select("word", "n", "word_idx")
+
+
 @query(f"WITH r AS ({_RANK.format(_ITEM_COUNTS)}) SELECT word_idx, word FROM r WHERE word_idx < 500")
 def truncated_dictionary(spark, sf_dir):
     return vocabulary.truncated(vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "benchmark"))), 500).select("word_idx", "word")
@@ -304,7 +389,7 @@ def extended_dictionary(spark, sf_dir):
     return vocabulary.extended(base, more)
 
 
-_EDGE = "(trigram_id % 256 = 32 OR trigram_id // 65536 = 32)"
+_EDGE = "(triple_id % 256 = 32 OR triple_id // 65536 = 32)"
 
 
 @query(f"WITH vocab AS ({_ITEM_WORDS}), {_WORD_ROWS} SELECT DISTINCT word, {_EDGE} AS is_edge, unnest(slots) AS vocab_id FROM slots WHERE NOT contains(word, '<|') UNION ALL SELECT DISTINCT word, false, unnest({sql.word_slots('word', PLAIN)}) FROM vocab WHERE contains(word, '<|')")
@@ -322,36 +407,51 @@ def training_counts(spark, sf_dir):
 
 _SMALL_ROWS = _WORD_ROWS.replace("% 32000", "% 64")
 _LETTERS = f"SELECT word FROM ({_ITEM_WORDS}) WHERE NOT contains(word, '<|')"
-_SCORES = f"""WITH vocab AS ({_LETTERS}), {_SMALL_ROWS},
-words AS (SELECT word, count(*)::DOUBLE AS t FROM slots GROUP BY word), pairs AS (SELECT DISTINCT word, {_EDGE} AS is_edge, unnest(slots) AS vocab_id FROM slots),
+_SCORES = f"""WITH vocab AS ({_ITEM_WORDS}), dict AS ({_RANK.format(_ITEM_COUNTS)}), {_SMALL_ROWS},
+words AS (SELECT word, count(*)::DOUBLE AS t FROM slots WHERE NOT contains(word, '<|') GROUP BY word UNION ALL SELECT word, 1.0 FROM vocab WHERE contains(word, '<|')),
+pairs AS (SELECT DISTINCT word, {_EDGE} AS is_edge, unnest(slots) AS vocab_id FROM slots WHERE NOT contains(word, '<|') UNION ALL SELECT DISTINCT word, false, unnest({sql.word_slots('word', SMALL)}) FROM vocab WHERE contains(word, '<|')),
 act AS (SELECT vec_id AS seq, unnest(range(len(embedding)))::INTEGER AS vocab_id, 1.0 / (1.0 + exp(-unnest(embedding)::DOUBLE)) AS a FROM embeddings), tot AS (SELECT seq, sum(a) AS total FROM act GROUP BY seq),
 s AS (SELECT seq, word, sum(a) AS s FROM pairs JOIN act USING (vocab_id) GROUP BY seq, word),
-scores AS (SELECT seq, word, round(s / (4.0 * t) + (s - total) / nullif(64.0 - t * 4.0, 0.0), 9) AS score FROM s JOIN words USING (word) JOIN tot USING (seq)),
-soft AS (SELECT seq, word, score, round(score - max(score) OVER (PARTITION BY seq) - ln(sum(exp(score - m)) OVER (PARTITION BY seq)), 6) AS log_prob FROM (SELECT *, max(score) OVER (PARTITION BY seq) AS m FROM scores))"""
+scores AS (SELECT seq, word, word_idx, round(s / (4.0 * t) + (s - total) / nullif(64.0 - t * 4.0, 0.0), 9) AS score FROM s JOIN words USING (word) JOIN tot USING (seq) JOIN dict USING (word)),
+soft AS (SELECT seq, word, word_idx, score, round(score - max(score) OVER (PARTITION BY seq) - ln(sum(exp(score - m)) OVER (PARTITION BY seq)), 6) AS log_prob FROM (SELECT *, max(score) OVER (PARTITION BY seq) AS m FROM scores))"""
 
 
-def _scores(spark, sf_dir):
-    words = _words(spark, sf_dir, "benchmark").where(~F.contains("word", F.lit("<|"))).distinct()
-    logits = decode.logits_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    scores = decode.word_scores(logits, vocabulary.dictionary_words(words, SMALL), vocabulary.dictionary_slots(words, SMALL), SMALL)
-    return decode.softmax(scores.withColumn("score", F.round("score", 9)))
+def _item_dictionary(spark, sf_dir):
+    return vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "benchmark"))).select("word_idx", "word")
+
 
+def _logits(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("logits"), (F.col("vec_id") % 50).cast("int").alias("target_idx"))
 
-@query(f"{_SCORES} SELECT seq, word, score, log_prob, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC NULLS LAST, word) AS rank FROM soft) WHERE rank <= 5")
+
+@query(f"{_SCORES} SELECT seq, word, score, log_prob, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC NULLS LAST, word_idx) AS rank FROM soft) WHERE rank <= 5")
 def decode_top5(spark, sf_dir):
-    return decode.top_words(_scores(spark, sf_dir), 5).select("seq", "word", "score", F.round("log_prob", 6).alias("log_prob"), "rank")
+    found = decode.top_words(decode.decoded(_logits(spark, sf_dir), _item_dictionary(spark, sf_dir), SMALL, 5, digits=9))
+    return found.select("seq", "word", "score", F.round("log_prob", 6).alias("log_prob"), "rank")
 
 
-@query(f"{_SCORES} SELECT seq, word, score FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC NULLS LAST, word) AS rank FROM soft WHERE length(word) > 3) WHERE rank = 1")
+@query(f"{_SCORES} SELECT seq, word, score FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC NULLS LAST, word_idx) AS rank FROM soft WHERE length(word) > 3) WHERE rank = 1")
 def decode_blacklisted(spark, sf_dir):
     short = _words(spark, sf_dir, "benchmark").where(F.char_length("word") <= 3).distinct()
-    return decode.top_words(_scores(spark, sf_dir), 1, short).select("seq", "word", "score")
+    found = decode.top_words(decode.decoded(_logits(spark, sf_dir), _item_dictionary(spark, sf_dir), SMALL, 1, short, digits=9))
+    return found.select("seq", "word", "score")
+
+
+@query(f"{_SCORES} SELECT seq, log_prob FROM soft WHERE word_idx = seq % 50")
+def target_log_probs(spark, sf_dir):
+    found = decode.decoded(_logits(spark, sf_dir), _item_dictionary(spark, sf_dir), SMALL, 1, digits=9)
+    return decode.target_log_probs(found).select("seq", F.round("log_prob", 6).alias("log_prob"))
+
+
+@query(f"{_SCORES} SELECT seq, word, log_prob FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC NULLS LAST, word_idx) AS rank FROM soft) WHERE rank <= 3")
+def log_prob_maps(spark, sf_dir):
+    found = decode.log_prob_map(decode.decoded(_logits(spark, sf_dir), _item_dictionary(spark, sf_dir), SMALL, 3, digits=9))
+    return found.select("seq", F.explode("log_probs").alias("word", "log_prob")).withColumn("log_prob", F.round("log_prob", 6))
 
 
 @query("SELECT seq, rank::INTEGER AS rank, vocab_id, round(v - m - ln(e), 6) AS log_prob FROM (SELECT *, sum(exp(v - m)) OVER (PARTITION BY seq) AS e, row_number() OVER (PARTITION BY seq ORDER BY v DESC, vocab_id) AS rank FROM (SELECT *, max(v) OVER (PARTITION BY seq) AS m FROM (SELECT vec_id AS seq, unnest(range(len(embedding)))::INTEGER AS vocab_id, unnest(embedding)::DOUBLE AS v FROM embeddings))) WHERE rank <= 3")
 def classic_decode_top3(spark, sf_dir):
-    out = decode.classic_decode(decode.logits_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 3)
-    return out.withColumn("log_prob", F.round("log_prob", 6))
+    return decode.classic_decode(_logits(spark, sf_dir), 3).withColumn("log_prob", F.round("log_prob", 6))
 
 
 @query(
@@ -432,10 +532,16 @@ def rotary_table(spark, sf_dir):
     return out.select("pos", "i", F.round("cos", 9).alias("cos"), F.round("sin", 9).alias("sin"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT user_id AS run, event_id AS step, coalesce(value > 90, false) AS o, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r(run, i, step, scale, patience, good) AS (SELECT DISTINCT run, 0::BIGINT, NULL::BIGINT, 65536.0::DOUBLE, 2, 0 FROM s
+UNION ALL SELECT r.run, s.i, s.step, CASE WHEN o THEN CASE WHEN patience = 1 THEN greatest(scale / 2, 1.0) ELSE scale END WHEN good > 0 AND good % 4 = 0 THEN scale * 2 ELSE scale END,
+CASE WHEN o THEN CASE WHEN patience = 1 THEN patience ELSE patience - 1 END WHEN good > 0 AND good % 4 = 0 THEN 2 ELSE patience END, CASE WHEN o THEN 0 ELSE good + 1 END
+FROM r JOIN s ON s.run = r.run AND s.i = r.i + 1) SELECT run, step, scale FROM r WHERE i > 0"""
+)
 def loss_scales(spark, sf_dir):
     steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") > 90).alias("overflow"))
-    return metrics.loss_scales(steps, window=4).select("run", F.array_join(F.col("scales").cast("array<string>"), ",").alias("scales"))
+    return metrics.loss_scales(steps, window=4)
 
 
 # ---- sampling and packing
@@ -475,8 +581,8 @@ def sampler_batches(spark, sf_dir):
 
 
 def _packed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("shard"), "doc_id", F.encode("text", "UTF-8").alias("payload"))
-    docs = corpus.with_offsets(docs, "doc_id", F.octet_length("payload"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
+    docs = pack.cut_shards(corpus.with_offsets(docs, "doc_id", F.octet_length("payload")), SHARD_BYTES)
     return pack.packed_records(docs), docs
 
 

@@ -42,7 +42,7 @@ def md5_mod(text: str, modulus: int) -> str:
     return f"(('0x' || md5({text}))::UHUGEINT % {modulus})::INTEGER"
 
 
-def trigram_ids(word: str) -> str:
+def triple_ids(word: str) -> str:
     h = f"hex(encode(' ' || {word} || ' '))"
     part = lambda a: f"substr({h}, i * 2 + {a}, 2)"
     return f"list_distinct(list_transform(range(length({h}) // 2 - 2), lambda i: ('0x' || {part(5)} || {part(3)} || {part(1)})::INTEGER))"
@@ -53,7 +53,7 @@ def word_slots(word: str, c: SplitConfig) -> str:
     return "[" + ", ".join(own + [md5_mod(f"lower({word}) || '_lower_{i}'", c.vocab_size) for i in range(c.shared_slots)]) + "]"
 
 
-def trigram_rows(source: str, column: str, c: SplitConfig, attempts: int = 8) -> str:
+def triple_rows(source: str, column: str, c: SplitConfig, attempts: int = 8) -> str:
     """A query of `column` and slots, ascending, before any sharing."""
     sql = f"SELECT {column}, []::INTEGER[] AS acc FROM {source}"
     for k in range(c.slots):

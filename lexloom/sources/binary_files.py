@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: fixed types of the packed index's files
+PACKED = {"indices": "<u4", "lengths": "<u2", "offsets": "<u8"}
+
+
 def _open(path: str):
     fs, local = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     return fs.open_input_file(local)
@@ -66,29 +70,55 @@ def as_numbers(payload_col: str, dtype: str) -> F.Column:
 
 
 def write_documents(docs: DataFrame, base: str, shard_col: str = "shard", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One triple `<base>/<shard>` for each shard, in id order; existing files are not overwritten. Returns shard, documents, bytes."""
-    slim = docs.select(F.col(shard_col).cast("string").alias("shard"), F.col(id_col).alias("doc_id"), F.encode(text_col, "UTF-8").alias("payload"))
+    """Three files `<base>/<shard>` for each shard, in id order; existing files are not overwritten. Texts are written as bytes,
+    arrays of numbers as signed 32-bit ones. Returns shard, documents, bytes."""
+    numbers = docs.schema[text_col].dataType.simpleString().startswith("array")
+    dtype, item = ("int32", 4) if numbers else ("uint8", 1)
+    payload = F.col(text_col).cast("array<int>") if numbers else F.encode(text_col, "UTF-8")
+    slim = docs.select(F.col(shard_col).cast("string").alias("shard"), F.col(id_col).alias("doc_id"), payload.alias("payload"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        shard, payloads = table.column("shard")[0].as_py(), table.column("payload").to_pylist()
+        shard, payloads = table.column("shard")[0].as_py(), [p if p is not None else b"" for p in table.column("payload").to_pylist()]
+        if numbers:
+            payloads = [np.asarray(list(p), "<i4").tobytes() for p in payloads]
         prefix = f"{base.rstrip('/')}/{shard}"
         fs, local = pafs.FileSystem.from_uri(prefix) if "://" in prefix else (pafs.LocalFileSystem(), prefix)
         if fs.get_file_info(f"{local}.meta.json").type != pafs.FileType.NotFound:
             raise FileExistsError(prefix)
-        size = np.array([len(p) for p in payloads], np.uint64)
+        size = np.array([len(p) // item for p in payloads], np.uint64)
         index = np.stack([np.cumsum(size) - size, size], axis=1).astype(np.uint64)
         _write(f"{prefix}.bin", b"".join(payloads))
         _write(f"{prefix}.idx", index.tobytes())
-        _write(f"{prefix}.meta.json", json.dumps({"dtype": "uint8", "index_dtype": "uint64", "document_count": len(payloads)}).encode())
-        return pa.table({"shard": [shard], "documents": pa.array([len(payloads)], pa.int64()), "bytes": pa.array([int(size.sum())], pa.int64())})
+        _write(f"{prefix}.meta.json", json.dumps({"dtype": dtype, "index_dtype": "uint64", "document_count": len(payloads)}).encode())
+        return pa.table({"shard": [shard], "documents": pa.array([len(payloads)], pa.int64()), "bytes": pa.array([int(size.sum()) * item], pa.int64())})
 
     return slim.groupBy("shard").applyInArrow(run, "shard string, documents bigint, bytes bigint")
 
 
+def write_packed_index(chunks: DataFrame, base: str) -> DataFrame:
+    """chunks(shard, record_id, chunk_no, offset, length): the packed index `<base>/<shard>` of each shard; existing files are not
+    overwritten. Returns shard, chunks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("record_id", "ascending"), ("chunk_no", "ascending")])
+        prefix = f"{base.rstrip('/')}/{table.column('shard')[0].as_py()}"
+        fs, local = pafs.FileSystem.from_uri(prefix) if "://" in prefix else (pafs.LocalFileSystem(), prefix)
+        if fs.get_file_info(f"{local}.indices.bin").type != pafs.FileType.NotFound:
+            raise FileExistsError(prefix)
+        for name, column in (("lengths", "length"), ("offsets", "offset"), ("indices", "record_id")):
+            values = table.column(column).to_numpy()
+            if len(values) and values.max() > np.iinfo(PACKED[name]).max:
+                raise ValueError(f"{column} {values.max()} does not fit into {PACKED[name]}")
+            _write(f"{prefix}.{name}.bin", values.astype(PACKED[name]).tobytes())
+        return pa.table({"shard": table.column("shard").slice(0, 1), "chunks": pa.array([table.num_rows], pa.int64())})
+
+    return chunks.select("shard", "record_id", "chunk_no", "offset", "length").groupBy("shard").applyInArrow(run, "shard string, chunks bigint")
+
+
 def read_packed_index(spark: SparkSession, prefix: str) -> DataFrame:
     """chunk, record_id, length, offset of a packed index (.indices.bin, .lengths.bin, .offsets.bin)."""
-    kinds = {"indices": "<u4", "lengths": "<u2", "offsets": "<u8"}
+    kinds = PACKED
     with _open(f"{prefix}.indices.bin") as f:
         count = f.size() // 4
     slices = max(1, min(64, count // 10_000))

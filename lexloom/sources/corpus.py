@@ -5,21 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.scratch import in_order
 
-def with_offsets(docs: DataFrame, id_col: str, size: Column, ranges: int = 256) -> DataFrame:
-    """docs with size and start, the sum of all sizes before in id order. Ids are dealt to equal ranges of values, summed inside
-    each and moved up by the ranges before, so that no window holds all rows."""
-    edge = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
-    rows = docs.withColumn("size", size.cast("bigint")).crossJoin(F.broadcast(edge))  # one row
-    part = F.floor((F.col(id_col) - F.col("lo")) * float(ranges) / (F.col("hi") - F.col("lo") + 1)).cast("int")
-    rows = rows.withColumn("__part", part).drop("lo", "hi")
-    sums = rows.groupBy("__part").agg(F.sum("size").alias("n"))
-    before = sums.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("__part").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__upto", inside).join(before, "__part").withColumn("start", F.col("__upto") - F.col("size") + F.col("before")).drop("__part", "__upto", "before")
+
+def with_offsets(docs: DataFrame, id_col: str, size: Column) -> DataFrame:
+    """docs with size and start, the sum of all sizes before in id order: null ids first, rows with equal ids in any order."""
+    return in_order(docs.withColumn("size", size.cast("bigint")), [F.col(id_col)], "start", F.col("size"))
 
 
 def write_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:

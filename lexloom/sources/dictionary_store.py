@@ -8,8 +8,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.config import SplitConfig, from_dict
-from lexloom.functions.hashing import trigram_slots
+from lexloom.config import SplitConfig
+from lexloom.config import from_dict as config_from_dict
+from lexloom.functions.hashing import triple_slots
+from lexloom.operators.vocabulary import DICTIONARY_LIMIT, dictionary_slots, ranked
 
 
 def _text(df: DataFrame) -> str:
@@ -24,7 +26,7 @@ def save_dictionary(path: str, config: SplitConfig, words: DataFrame, slots: Dat
 
 
 def load_dictionary(spark: SparkSession, path: str) -> tuple[SplitConfig, DataFrame, DataFrame]:
-    config = from_dict(SplitConfig, json.loads(_text(spark.read.text(f"{path}/config"))))
+    config = config_from_dict(SplitConfig, json.loads(_text(spark.read.text(f"{path}/config"))))
     return config, spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/slots")
 
 
@@ -33,13 +35,36 @@ def load_counts(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*sorted(paths)).groupBy("word").agg(F.sum("count").alias("count")).where("count > 0")
 
 
-def trigram_table(trigram_ids: DataFrame, config: SplitConfig, path: str | None = None) -> DataFrame:
-    """trigram_id, slots for the distinct ids that occur; kept under a path named by the sizes where one is given."""
-    from lexloom.sources.corpus import materialised
-
-    build = lambda: trigram_ids.select("trigram_id").distinct().select("trigram_id", trigram_slots(F.col("trigram_id"), config).alias("slots"))
-    key = {"vocab_size": config.vocab_size, "slots": config.slots, "shared": config.shared_slots}
-    return materialised(trigram_ids.sparkSession, path, key, build) if path else build()
+def triple_table(triple_ids: DataFrame, config: SplitConfig, path: str | None = None) -> DataFrame:
+    """triple_id, slots for the distinct ids asked for. With a path, rows are kept under a name made of the sizes; ids that are
+    not there yet are made and added."""
+    ids = triple_ids.select("triple_id").where("triple_id is not null").distinct()
+    made = lambda rows: rows.select("triple_id", triple_slots(F.col("triple_id"), config).alias("slots"))
+    if path is None:
+        return made(ids)
+    spark = triple_ids.sparkSession
+    kept = f"{path.rstrip('/')}/{config.vocab_size}-{config.slots}-{config.shared_slots}"
+    made(ids.where("false")).write.mode("append").parquet(kept)
+    missing = ids.join(spark.read.parquet(kept), "triple_id", "left_anti")
+    made(missing).write.mode("append").parquet(kept)
+    return spark.read.parquet(kept).dropDuplicates(["triple_id"]).join(ids, "triple_id", "left_semi")
+
+
+def from_words(counts: DataFrame, config: SplitConfig, path: str, limit: int = DICTIONARY_LIMIT) -> tuple[SplitConfig, DataFrame, DataFrame]:
+    """A new dictionary of the most frequent words of counts(word, count), saved and loaded again."""
+    words = ranked(counts, limit).select("word_idx", "word")
+    save_dictionary(path, config, words, dictionary_slots(words, config))
+    return load_dictionary(counts.sparkSession, path)
+
+
+def from_dict(values: dict, spark: SparkSession) -> tuple[SplitConfig, DataFrame | None, DataFrame | None]:
+    """From a dict with the configuration and, if it has one, the path of a saved dictionary."""
+    values = dict(values)
+    path = values.pop("path", None)
+    if path is None:
+        return config_from_dict(SplitConfig, values), None, None
+    config, words, slots = load_dictionary(spark, path)
+    return config_from_dict(SplitConfig, {**dataclasses.asdict(config), **values}), words, slots
 
 
 def metric_rows(steps: DataFrame, step_col: str, names: list[str]) -> DataFrame:

@@ -8,30 +8,42 @@ from lexloom.config import ScheduleConfig, SplitConfig
 from lexloom.operators import decode, metrics, vocabulary
 
 
-def test_scores_against_numpy(spark):
-    c = SplitConfig(vocab_size=50, slots=3, word_edge_weight=0.5)
-    words = spark.createDataFrame([("ab",), ("hello",), ("<|ws|>",)], "word string")
-    x = np.random.RandomState(1).standard_normal((2, 50))
-    logits = spark.createDataFrame([(s, v, float(x[s, v])) for s in range(2) for v in range(50)], "seq int, vocab_id int, value double")
-    slots, sizes = vocabulary.dictionary_slots(words, c), vocabulary.dictionary_words(words, c)
-    got = {(r.seq, r.word): r.score for r in decode.word_scores(logits, sizes, slots, c).collect()}
+@pytest.mark.parametrize("words_at_once", [1, 2, 100])
+def test_scores_against_numpy(spark, monkeypatch, words_at_once):
+    # "twin" and "niwt" have no triple in common; a word that fills the vocabulary has no score
+    monkeypatch.setattr(decode, "RANGE", words_at_once)
+    c = SplitConfig(vocab_size=48, slots=3, word_edge_weight=0.5)
+    names = ["ab", "hello", "<|ws|>", "twin", "niwt", "x" * 2 + "abcdefghijklmn", "same"]
+    words = spark.createDataFrame(list(enumerate(names)), "word_idx int, word string")
+    x = np.random.RandomState(1).standard_normal((70, 48))
+    rows = spark.createDataFrame([(s, x[s].tolist(), s % 8) for s in range(70)], "seq int, logits array<double>, target_idx int")
+    slots = vocabulary.dictionary_slots(words, c).collect()
+    t = {r.word: r.n_triples for r in vocabulary.dictionary_words(words, c).collect()}
+    assert t[names[5]] == 16  # as many slots as the vocabulary
     a = 1 / (1 + np.exp(-x))
-    t = {r.word: r.n_trigrams for r in sizes.collect()}
-    for seq in range(2):
-        for w in t:
-            s = sum(a[seq, r.vocab_id] * (0.5 if r.is_edge else 1) for r in slots.collect() if r.word == w)
-            assert got[seq, w] == pytest.approx(s / (3 * t[w]) + (s - a[seq].sum()) / (50 - 3 * t[w]))
-    soft = decode.softmax(decode.word_scores(logits, sizes, slots, c))
-    sums = soft.groupBy("seq").agg(F.sum(F.exp("log_prob")).alias("p")).collect()
-    assert all(r.p == pytest.approx(1) for r in sums)
-    top = decode.top_words(soft, 2)
-    assert top.count() == 4 and decode.top_words(soft, 9).count() == 6
-    best = {r.seq: r.word for r in decode.top_words(soft, 1).collect()}
-    bad = spark.createDataFrame([(w,) for w in set(best.values())], "word string")
-    assert not set(best.values()) & {r.word for r in decode.top_words(soft, 1, bad).collect()}
-    assert len(decode.log_prob_map(top).first().log_probs) == 2
-    targets = spark.createDataFrame([(0, "ab")], "seq int, word string")
-    assert decode.target_log_probs(soft, targets).count() == 1
+    want = np.full((70, len(names)), np.nan)
+    for k, w in enumerate(names):
+        s = sum(a[:, r.vocab_id] * (0.5 if r.is_edge else 1) for r in slots if r.word == w)
+        if 48 != 3 * t[w]:
+            want[:, k] = s / (3 * t[w]) + (s - a.sum(axis=1)) / (48 - 3 * t[w])
+    z = np.log(np.nansum(np.exp(want), axis=1))
+    found = decode.decoded(rows, words, c, 3)
+    top = {}
+    for r in decode.top_words(found).collect():
+        top.setdefault(r.seq, {})[r.rank] = r
+    for s in range(70):
+        order = sorted(range(len(names)), key=lambda k: (-want[s, k] if not np.isnan(want[s, k]) else math.inf, k))[:3]
+        assert [top[s][i + 1].word_idx for i in range(3)] == order and [top[s][i + 1].word for i in range(3)] == [names[k] for k in order]
+        assert [top[s][i + 1].score for i in range(3)] == pytest.approx([want[s, k] for k in order])
+        assert top[s][1].log_prob == pytest.approx(want[s, order[0]] - z[s])
+    assert all(len(r.log_probs) == 3 for r in decode.log_prob_map(found).collect())
+    for r in decode.target_log_probs(found).collect():
+        k = r.seq % 8
+        assert r.log_prob is None if k in (5, 7) else r.log_prob == pytest.approx(want[r.seq, k] - z[r.seq])
+    bad = spark.createDataFrame([(w,) for w in names[:5]], "word string")
+    left = decode.top_words(decode.decoded(rows, words, c, 9, bad)).collect()
+    assert {r.word for r in left} == set(names[5:]) and len(left) == 140
+    assert decode.decoded(rows, words.where("false"), c, 2).count() == 0
 
 
 def test_stop(spark):
@@ -40,8 +52,17 @@ def test_stop(spark):
     assert sorted((r.s, r.word) for r in got.collect()) == [(1, "a"), (1, "b"), (2, "x")]
 
 
+def test_generated_texts_and_echo(spark):
+    rows = spark.createDataFrame([(1, i, w) for i, w in enumerate(["so", "it", ".", "<|endoftext|>", "c"])] + [(2, 0, "x")], "s int, i int, word string")
+    got = {r.s: (r.text, r.n_words) for r in decode.generated_texts(rows, ["s"], "i", "<|endoftext|>").collect()}
+    assert got == {1: ("so it.", 3), 2: ("x", 1)}
+    prompt = spark.createDataFrame([(1, 0, "so"), (1, 1, "it")], "s int, pos int, word string")
+    scored = spark.createDataFrame([(1, 0, -0.5), (1, 1, -0.7)], "s int, pos int, log_prob double")
+    assert [(r.word, r.log_prob) for r in decode.echoed(prompt, scored, ["s"]).orderBy("pos").collect()] == [("so", None), ("it", -0.5)]
+
+
 def test_embeddings(spark):
-    slots = spark.createDataFrame([("w", 1, [0, 1]), ("w", 2, [1, 2])], "word string, trigram_id int, slots array<int>")
+    slots = spark.createDataFrame([("w", 1, [0, 1]), ("w", 2, [1, 2])], "word string, triple_id int, slots array<int>")
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "vocab_id int, embedding array<double>")
     flat = metrics.word_embeddings(slots, vectors)
     assert metrics.embedding_arrays(flat).first().embedding == [4.0, 4.0]
@@ -75,8 +96,11 @@ def test_schedule(spark):
 
 def test_loss_scale(spark):
     flags = [False] * 5 + [True, True, True, False]
-    df = spark.createDataFrame([(0, i, f) for i, f in enumerate(flags)], "run int, step int, overflow boolean")
-    got = metrics.loss_scales(df, initial=8.0, window=2, hysteresis=2, minimum=1.0).first().scales
+    df = spark.createDataFrame([(run, i, f) for run in (0, 1, None) for i, f in enumerate(flags)] + [(7, 0, None)], "run int, step int, overflow boolean")
+    every = metrics.loss_scales(df, initial=8.0, window=2, hysteresis=2, minimum=1.0).orderBy("run", "step").collect()
+    assert [r.scale for r in every if r.run == 7] == [8.0]
+    got, other = ([r.scale for r in every if r.run == k] for k in (0, None))
+    assert got == other
     scale, patience, good, want = 8.0, 2, 0, []
     for f in flags:
         if f:

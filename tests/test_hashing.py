@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
-from lexloom.functions import hashing, trigrams
+from lexloom.functions import hashing, triples
 
 WORDS = ["Hello", "world", "!", "é", "日本", "<|endoftext|>", "A", "x" * 40]
 
@@ -24,9 +24,9 @@ def row(i, c):
     return sorted(out)
 
 
-def test_trigrams(spark):
-    df = spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", trigrams.trigrams(F.col("w")).alias("t"))
-    df = df.withColumn("ids", F.transform("t", trigrams.trigram_to_id)).withColumn("back", F.transform("ids", trigrams.id_to_trigram))
+def test_triples(spark):
+    df = spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", triples.triples(F.col("w")).alias("t"))
+    df = df.withColumn("ids", F.transform("t", triples.triple_to_id)).withColumn("back", F.transform("ids", triples.id_to_triple))
     for r in df.collect():
         b = f" {r.w} ".encode()
         want = {b[i : i + 3] for i in range(len(b) - 2)}
@@ -37,7 +37,7 @@ def test_trigrams(spark):
 
 def test_strip(spark):
     spaces = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
-    df = spark.createDataFrame([(spaces + "a b" + spaces,), ("",), (None,)], "t string").select(trigrams.strip(F.col("t")).alias("s"))
+    df = spark.createDataFrame([(spaces + "a b" + spaces,), ("",), (None,)], "t string").select(triples.strip(F.col("t")).alias("s"))
     assert [r.s for r in df.collect()] == ["a b", "", None]
 
 
@@ -51,7 +51,7 @@ def test_slots(spark, config):
             own = own[: -config.shared_slots] + row(int.from_bytes(b.lower(), "little"), config)[-config.shared_slots :]
         return own
 
-    df = spark.createDataFrame([(i,) for i in ids], "i int").select("i", hashing.trigram_slots(F.col("i"), config).alias("s"))
+    df = spark.createDataFrame([(i,) for i in ids], "i int").select("i", hashing.triple_slots(F.col("i"), config).alias("s"))
     assert {r.i: r.s for r in df.collect()} == {i: slots(i) for i in ids}
     df = spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", hashing.word_slots(F.col("w"), config).alias("s"))
     own, shared = config.slots - config.shared_slots, config.shared_slots

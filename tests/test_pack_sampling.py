@@ -18,16 +18,26 @@ def packed(spark, texts):
 
 
 def test_record_sizes(spark):
-    texts = [f"{c} " * (15_000 if i % 2 == 0 else 10_000) for i, c in enumerate("abcdef")]
+    c = PackConfig()
+    texts = [f"w{i} " * (9_000 - 1_500 * (i % 4)) for i in range(7)]
     chunks, docs = packed(spark, texts)
-    sizes = [r.bytes for r in pack.record_bytes(chunks).collect()]
-    assert sizes and all(19_900 <= b <= 20_100 for b in sizes)
+    sizes = {r.record_id: r.bytes for r in pack.record_bytes(chunks).collect()}
+    assert len(sizes) > 5 and all(c.max_bytes - 2 * c.tolerance_bytes <= b <= c.max_bytes for b in sizes.values())
     rows = pack.record_texts(chunks, docs).orderBy("record_id", "chunk_no").collect()
-    letters = [set(r.text.replace(" ", "")) for r in rows]
-    assert all(len(x) == 1 for x in letters)
-    order = [next(iter(x)) for x in letters]
-    assert order == sorted(order)
+    names = [set(r.text.split()) for r in rows]
+    assert all(len(x) == 1 for x in names)  # a chunk is of one document
+    order = [r.doc_id for r in rows]
+    assert order == sorted(order) and [f"w{i}" for i in order] == [next(iter(x)) for x in names]
     assert pack.visible_records(chunks).select("record_id").distinct().count() == len(sizes) - 1
+    assert pack.record_counts(chunks).first().records == len(sizes) - 1
+    first = pack.record_texts(pack.records(chunks, "s", 0), docs).orderBy("chunk_no").collect()
+    assert [r.text for r in first] == [r.text for r in rows if r.record_id == 0]
+
+
+def test_shards_are_cut_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([40, 70, 30, 200, 10])], "doc_id bigint, text string")
+    cut = pack.cut_shards(corpus.with_offsets(docs, "doc_id", F.octet_length("text")), 100).orderBy("doc_id").collect()
+    assert [int(r.shard) for r in cut] == [0, 0, 1, 1, 3]
 
 
 def test_losses():
@@ -96,3 +106,18 @@ def test_offsets_match_a_running_sum(spark):
     docs = spark.createDataFrame([(int(i * i), "x" * int(n)) for i, n in enumerate(sizes)], "doc_id bigint, text string")
     got = corpus.with_offsets(docs, "doc_id", F.octet_length("text")).orderBy("doc_id").collect()
     assert [r.start for r in got] == (np.cumsum(sizes) - sizes).tolist()
+
+
+def test_offsets_keep_null_ids_and_outliers(spark):
+    docs = spark.createDataFrame([(None, "ab"), (5, "c"), (None, "d"), (2**60, "efg"), (5, "h"), (6, None)], "doc_id bigint, text string")
+    got = corpus.with_offsets(docs, "doc_id", F.octet_length("text")).collect()
+    assert len(got) == 6
+    spans = sorted((r.start, r.start + (r.size or 0)) for r in got)
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] == 8
+    assert {r.start for r in got if r.doc_id is None} <= {0, 1, 2} and next(r.start for r in got if r.text == "efg") == 5
+
+
+def test_union_of_shards(spark):
+    shards = [spark.range(2), spark.range(3)]
+    got = sampling.union_of_shards(shards)
+    assert sorted((r.shard, r.id) for r in got.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]

@@ -47,13 +47,16 @@ def test_binary_triple(spark, docs, tmp_path):
 
 
 def test_integer_table(spark, tmp_path):
-    rows, prefix = [[1, 2, 3, 4, 5], [1, 2, 5], [45, 1, 20, 303, 30203], [-7]], str(tmp_path / "n")
+    rows, prefix = [[9, 8, 70_001], [0], [], [-7, 2**31 - 1, -(2**31)]], str(tmp_path / "n")
     np.concatenate(rows).astype("<i4").tofile(f"{prefix}.bin")
     size = np.array([len(r) for r in rows])
     np.stack([np.cumsum(size) - size, size], 1).astype("<i8").tofile(f"{prefix}.idx")
     (tmp_path / "n.meta.json").write_text(json.dumps({"dtype": "int32", "index_dtype": "int64", "document_count": 4}))
-    got = binary_files.read_documents(spark, prefix).select("doc_id", binary_files.as_numbers("payload", "int32").alias("n"))
-    assert [r.n for r in got.orderBy("doc_id").collect()] == rows
+    read = lambda p: [r.n for r in binary_files.read_documents(spark, p).select("doc_id", binary_files.as_numbers("payload", "int32").alias("n")).orderBy("doc_id").collect()]
+    assert read(prefix) == rows
+    df = spark.createDataFrame([("w", i, r) for i, r in enumerate(rows)], "shard string, doc_id bigint, n array<int>")
+    assert binary_files.write_documents(df, str(tmp_path), text_col="n").first().bytes == 28
+    assert binary_files.describe(str(tmp_path / "w"))["dtype"] == "int32" and read(str(tmp_path / "w")) == rows
 
 
 def test_packed_index(spark, tmp_path):
@@ -65,6 +68,17 @@ def test_packed_index(spark, tmp_path):
     assert [(r.record_id, r.length, r.offset) for r in got] == [(0, 5, 0), (0, 60000, 5), (1, 7, 1 << 40)]
 
 
+def test_packed_index_is_written(spark, tmp_path):
+    chunks = spark.createDataFrame([("s", 1, 0, 9, 4), ("s", 0, 1, 5, 2), ("s", 0, 0, 1 << 33, 65535)], "shard string, record_id int, chunk_no int, offset bigint, length int")
+    assert [tuple(r) for r in binary_files.write_packed_index(chunks, str(tmp_path)).collect()] == [("s", 3)]
+    got = binary_files.read_packed_index(spark, str(tmp_path / "s")).orderBy("chunk").collect()
+    assert [(r.record_id, r.length, r.offset) for r in got] == [(0, 65535, 1 << 33), (0, 2, 5), (1, 4, 9)]
+    with pytest.raises(Exception):
+        binary_files.write_packed_index(chunks, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="does not fit"):
+        binary_files.write_packed_index(chunks.withColumns({"shard": F.lit("t"), "length": F.lit(65536)}), str(tmp_path)).collect()
+
+
 def test_jsonl(spark, tmp_path):
     line = json.dumps([{"type": "text", "content": "q", "has_loss": False}, {"type": "text", "content": "a", "has_loss": True}])
     (tmp_path / "f.jsonl").write_text(f"  {line}\n\n   \n")
@@ -103,8 +117,22 @@ def test_dictionary_store(spark, tmp_path):
     rows = dictionary_store.metric_rows(spark.createDataFrame([(1, 0.5, 2.0)], "step int, loss double, rate double"), "step", ["loss", "rate"])
     dictionary_store.write_metrics(rows, str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
-    ids = spark.createDataFrame([(5,), (5,), (9,)], "trigram_id int")
-    assert dictionary_store.trigram_table(ids, c, str(tmp_path / "t")).count() == 2
+    ids = spark.createDataFrame([(5,), (5,), (9,)], "triple_id int")
+    assert dictionary_store.triple_table(ids, c, str(tmp_path / "t")).count() == 2
+    # ids asked for later are added
+    more = spark.createDataFrame([(70,), (80,), (9,)], "triple_id int")
+    got = dictionary_store.triple_table(more, c, str(tmp_path / "t"))
+    made = dictionary_store.triple_table(more, c)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made.collect())) and [r.triple_id for r in got.orderBy("triple_id").collect()] == [9, 70, 80]
+
+
+def test_new_dictionary(spark, tmp_path):
+    counts = spark.createDataFrame([("b", 3), ("a", 3), ("zz", 9), ("q", 1)], "word string, count bigint")
+    c, words, slots = dictionary_store.from_words(counts, config.SplitConfig(slots=3), str(tmp_path / "d"), limit=3)
+    assert [r.word for r in words.orderBy("word_idx").collect()] == ["zz", "a", "b"] and slots.select("word").distinct().count() == 3
+    again, words, _ = dictionary_store.from_dict({"path": str(tmp_path / "d"), "lowercase": True}, spark)
+    assert again == config.SplitConfig(slots=3, lowercase=True) and words.count() == 3
+    assert dictionary_store.from_dict({"slots": 9}, spark) == (config.SplitConfig(slots=9), None, None)
 
 
 def test_config(tmp_path):

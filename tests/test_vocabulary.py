@@ -41,8 +41,30 @@ def test_interleave(spark):
 def test_dictionary(spark):
     words = spark.createDataFrame([("ab",), ("<|ws|>",), (None,)], "word string")
     c = SplitConfig(slots=4)
-    assert {r.word: r.n_trigrams for r in V.dictionary_words(words, c).collect()} == {"ab": 2, "<|ws|>": 1}
+    assert {r.word: r.n_triples for r in V.dictionary_words(words, c).collect()} == {"ab": 2, "<|ws|>": 1}
     slots = V.dictionary_slots(words, c).collect()
     assert {r.is_edge for r in slots if r.word == "ab"} == {True} and {r.is_edge for r in slots if r.word != "ab"} == {False}
     more = spark.createDataFrame([(0, "z"), (1, "a"), (2, "z")], "position int, word string")
     assert listed(V.extended(rank(spark, ["a"]), more)) == ["a", "z", "z"]
+
+
+def test_ranges_are_numbered_as_one(spark):
+    words = {f"w{i}": 1 + i * 7 % 13 for i in range(300)}
+    assert listed(V.ranked(counts(spark, **words), None)) == sorted(words, key=lambda w: (-words[w], w))
+    a, b = rank(spark, [f"a{i}" for i in range(40)]), rank(spark, [f"b{i}" for i in range(60)])
+    assert listed(V.interleaved(a, b, None)) == listed(V.interleaved(a, b))
+
+
+def test_first_seen_breaks_ties(spark):
+    rows = spark.createDataFrame([(2, 0, "z"), (1, 5, "b"), (1, 2, "y"), (3, 0, "b"), (3, 1, None), (0, 9, "a")], "d int, p int, word string")
+    assert listed(V.ranked(V.first_seen(rows, ["d", "p"]), tie="first_seen")) == ["b", "a", "y", "z"]
+
+
+def test_word_to_index(spark):
+    got = V.word_to_index(spark.createDataFrame([("b",), ("q",)], "word string"), rank(spark, ["a", "b", "b"]))
+    assert {r.word: r.word_idx for r in got.collect()} == {"b": 1, "q": None}
+
+
+def test_dictionary_job(spark):
+    got = listed(V.generated_dictionary([counts(spark, a=5, b=4, **{"<|ws|>": 9}), counts(spark, c=3, a=2, d=1)], 19))
+    assert got == [*V.reserved_words(True), "c", "a", "b"]
