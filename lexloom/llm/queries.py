@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted_sampling.fingerprint_edits(table(spark, sf_dir, "documents"), samples=32)
+    return weighted_sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
