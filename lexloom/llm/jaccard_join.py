@@ -31,7 +31,7 @@ from lexloom.llm import words
 from lexloom.llm.common import numbered, written
 from lexloom.llm.graph import components
 
-#: members and grams of a tile's side, about, and members dealt to a task
+#: members and grams of a tile's side, about, and members dealt to a task (with four times a side's grams at most, about)
 TILE = 1024
 TILE_GRAMS = 1 << 20
 DEALT = 1500
@@ -222,10 +222,11 @@ def _classes(rows: DataFrame, config: JaccardConfig) -> DataFrame:
     sized = grouped.join(nodes.select("rid", "copies", "size"), "rid")
     # a tile's side is bounded by members and by grams, so that long texts have smaller tiles
     sizes = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("int").alias("tiles"))
-    members = written(sized.drop("size").join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")).select("rid", "component", "tiles", "copies", "tile"), "members")
-    dealt = max(1, members.count() // DEALT)
+    members = written(sized.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")).select("rid", "component", "tiles", "copies", "tile", "size"), "members")
+    many = members.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("grams")).first()
+    dealt = max(1, many["n"] // DEALT, many["grams"] // (4 * TILE_GRAMS))
     # always by a shuffle, so that the plan is the same at every size
-    sets = rows.select("rid", "text").join(members.hint("merge"), "rid").mapInArrow(_sets(config.n), "rid bigint, component bigint, tiles int, copies bigint, tile int, grams binary")
+    sets = rows.select("rid", "text").join(members.drop("size").hint("merge"), "rid").mapInArrow(_sets(config.n), "rid bigint, component bigint, tiles int, copies bigint, tile int, grams binary")
     spread = sets.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
     spread = spread.withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
     spread = spread.withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(dealt))).otherwise(F.xxhash64("component", "i", "j")))
