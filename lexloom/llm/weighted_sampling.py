@@ -82,14 +82,14 @@ def as_text(p: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(p, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
 
 
-def fingerprint(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, samples: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and print of every text; null where there are no words. Rows with equal ids must have equal texts."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     found = signatures(slim.dropDuplicates(["doc_id"]), ["doc_id"], ["text"], samples).select(F.col("doc_id").alias("id"), F.col("print0").alias("print"))
     return slim.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "print")
 
 
-def fingerprint_edits(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, samples: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: see the module."""
     spark = docs.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -103,7 +103,7 @@ def fingerprint_edits(docs: DataFrame, samples: int = 64, id_col: str = "doc_id"
     parts = firsts.select("part")  # one row for each range
     following = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(following)).alias("then"))
-    after = turn.join(firsts.withColumnRenamed("part", "then"), "then").select("part", "first", "then")
+    after = turn.join(firsts.withColumnRenamed("part", "then").hint("merge"), "then").select("part", "first", "then")
     lined = lined.join(after.hint("merge"), "part").withColumn("next", F.coalesce("next", "first"))
 
     n = F.char_length("text")
