@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phrase_dedup, pii, pii_labels, suffix_dedup, token_count, url_filter, url_labels, weighted_sampling
+from lexloom.llm import decontaminate, jaccard_join, language_id, merkle, packing, phrase_dedup, pii, pii_labels, quality, suffix_dedup, token_count, url_filter, url_labels, weighted_sampling, whitening
 from lexloom.llm.common import table
 
 
@@ -107,6 +108,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase) if c == "text" else F.col(c)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    made = merkle.manifest(table(spark, sf_dir, "documents"), MANIFEST_FIELDS, "lang", "doc_id", 8, lowered, tampered)
+    return merkle.verify(made).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.component_rows(table(spark, sf_dir, "embeddings"), 32).withColumnRenamed("id", "vec_id")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(fold_of(F.col("doc_id")) != 0), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +147,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_quality": op13_quality,
         "pipeline": pipeline,
     }
 
@@ -159,7 +184,33 @@ t AS (SELECT doc_id, sum(b - a)::BIGINT AS n, string_agg(a || ':' || b, ',' ORDE
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(spans, '') AS spans FROM w LEFT JOIN t USING (doc_id)"""
 
 
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')"
+
+
+#: c: nodes of each level, a in the languages' trees, b in the tree of subroots; steps: from a node to its parent, with its siblings
+OP11_SQL = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+d AS (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 3 = 0 AS tampered FROM documents, crc),
+f AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS g, {_field("doc_id::VARCHAR")} || {_field("source")} || {_field("lang")} || {_field("n_chars::VARCHAR")} AS head, text, tampered FROM d),
+leaves AS (SELECT doc_id, g, sha256(head || {_field("text")}) AS leaf, sha256(head || {_field("CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS shown FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+a(g, level, idx, n, h) AS (SELECT g, 0, idx, n, leaf FROM placed UNION ALL SELECT g, level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM a WHERE n > 1 GROUP BY g, level, idx // 8),
+tops AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM a WHERE n = 1),
+b(g, level, idx, n, h) AS (SELECT NULL::VARCHAR, 0, idx, n, subroot FROM tops UNION ALL SELECT g, level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM b WHERE n > 1 GROUP BY g, level, idx // 8),
+c AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+runs AS (SELECT g, level, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM c WHERE n > 1 GROUP BY ALL),
+steps AS (SELECT c.g, c.level, idx, c.g AS g2, c.level + 1 AS level2, idx // 8 AS idx2, array_to_string(hs[1:idx % 8], '') AS before, array_to_string(hs[idx % 8 + 2:8], '') AS after
+  FROM c JOIN runs r ON r.g IS NOT DISTINCT FROM c.g AND r.level = c.level AND r.run = idx // 8 WHERE n > 1
+  UNION ALL SELECT a.g, a.level, 0, NULL, 0, t.idx, NULL, NULL FROM a JOIN tops t ON t.g = a.g WHERE a.n = 1),
+fold(doc_id, g, level, idx, acc, siblings) AS (SELECT doc_id, g, 0, idx, shown, '' FROM placed
+  UNION ALL SELECT doc_id, g2, level2, idx2, CASE WHEN before IS NULL THEN acc ELSE sha256(before || acc || after) END, siblings || coalesce(before || after, '')
+  FROM fold JOIN steps s ON s.g IS NOT DISTINCT FROM fold.g AND s.level = fold.level AND s.idx = fold.idx),
+ends AS (SELECT doc_id, acc, sha256(siblings) AS proof_sha256 FROM fold WHERE g IS NULL AND level = (SELECT max(level) FROM b))
+SELECT l.doc_id, l.leaf, t.subroot, r.h AS root, e.proof_sha256, e.acc AS folded_root, e.acc = r.h AS verified
+FROM leaves l JOIN tops t USING (g) JOIN ends e ON e.doc_id IS NOT DISTINCT FROM l.doc_id, (SELECT h FROM b WHERE n = 1) r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other methods (compression, gamma samples, an automaton over a vocabulary file, a trained model, a decomposition, a
     search) have no SQL form; tests hold them against brute force."""
-    return {"op3_phrase_dedup": OP3_SQL, "op7_url_filter": _op7_sql(), "op8_jaccard_join": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op3_phrase_dedup": OP3_SQL, "op7_url_filter": _op7_sql(), "op8_jaccard_join": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL}

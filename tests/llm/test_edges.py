@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexloom.llm import decontaminate, jaccard_join, language_id, packing, phrase_dedup, pii, queries, suffix_dedup, token_count, url_filter, weighted_sampling
+from lexloom.llm import decontaminate, jaccard_join, language_id, merkle, packing, phrase_dedup, pii, quality, queries, suffix_dedup, token_count, url_filter, weighted_sampling
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 RUNS = {
@@ -19,8 +19,10 @@ RUNS = {
     "op8": jaccard_join.near_duplicates,
     "op9": lambda d: packing.pack_documents(d, WORDS),
     "op10": suffix_dedup.repeated_spans,
+    "op11": lambda d: merkle.verify(merkle.manifest(d, queries.MANIFEST_FIELDS)),
+    "op13": lambda d: quality.score(d, quality.fit(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality")))),
 }
-ONE_EACH = {"op1", "op2", "op3", "op4", "op5", "op7", "op8", "op10"}
+ONE_EACH = {"op1", "op2", "op3", "op4", "op5", "op7", "op8", "op10", "op11", "op13"}
 
 
 @pytest.mark.parametrize("name", RUNS)
