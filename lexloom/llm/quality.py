@@ -1,7 +1,7 @@
 """A quality score by a factorisation machine over hashed words, structure statistics and metadata.
 
 A text's features are its lower-case words, hashed to ``buckets`` and weighted by the logarithm of their counts (scaled to
-length 1), and one indicator for each statistic, of the range that its value lies in: sizes, shares of kinds of characters, of
+length 1), and for each statistic an indicator of the range that its value lies in and the range's place among the others: sizes, shares of kinds of characters, of
 repeated words, of words that end in signs, each over the whole text and as its largest value in any block of the
 text, so that a bad stretch of a long text shows; and the metadata n_chars. The score is the logistic function of
 
@@ -32,15 +32,17 @@ from lexloom.llm.words import slices, words_of
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """sample_rows and sample_features bound what the driver fits on: labelled rows, and features of all of them."""
+    """sample_rows and sample_features bound what the driver fits on: labelled rows, and features of all of them. A small sample is
+    gone through more often, for `steps` batches at least."""
 
     sample_rows: int = 12_000
     sample_features: int = 12_000_000
     buckets: int = 1 << 15
-    factors: int = 8
+    factors: int = 4
     epochs: int = 6
-    batch: int = 128
-    rate: float = 0.08
+    steps: int = 500
+    batch: int = 64
+    rate: float = 0.05
     penalty: float = 1e-5
     seed: int = 17
 
@@ -149,9 +151,11 @@ def features(texts: pa.Array, n_chars: pa.Array, config: QualityConfig) -> Featu
     values = values / norms[row]
     stats = statistics(texts, pc.cast(n_chars, pa.float64(), safe=False).to_numpy(zero_copy_only=False))
     ranges = np.stack([np.where(np.isnan(x), RANGES - 1, np.minimum(np.searchsorted(ends, x, side="left"), RANGES - 2)) for x, (_, ends) in zip(stats.T, STATISTICS)], axis=1)
-    more = config.buckets + np.arange(len(STATISTICS)) * RANGES + ranges
-    row = np.concatenate([row, np.repeat(np.arange(rows), len(STATISTICS))])
-    ids, values = np.concatenate([ids, more.ravel()]), np.concatenate([values, np.full(more.size, STATISTIC)])
+    first = config.buckets + np.arange(len(STATISTICS)) * (RANGES + 1)
+    place = np.where(ranges < RANGES - 1, ranges / (RANGES - 2), 0.0)  # how far up: what a range that no training row has goes by
+    row = np.concatenate([row, np.repeat(np.arange(rows), 2 * len(STATISTICS))])
+    ids = np.concatenate([ids, np.stack([first + ranges, np.broadcast_to(first + RANGES, ranges.shape)], axis=2).ravel()])
+    values = np.concatenate([values, np.stack([np.full(ranges.shape, STATISTIC), place], axis=2).ravel()])
     order = np.argsort(row, kind="stable")
     return Features(ids[order].astype(np.int32), values[order].astype(np.float32), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]))
 
@@ -177,7 +181,7 @@ class QualityModel:
 
 def train(f: Features, labels: np.ndarray, weights: np.ndarray, config: QualityConfig = QualityConfig()) -> QualityModel:
     """Logistic loss by adaptive gradient steps over shuffled batches; labels from 0 to 1."""
-    size = config.buckets + len(STATISTICS) * RANGES
+    size = config.buckets + len(STATISTICS) * (RANGES + 1)
     share = float((labels * weights).sum() / weights.sum()) if len(labels) and weights.sum() else 0.5
     w, v = np.zeros(size), np.random.default_rng(config.seed).normal(0, 0.05, (size, config.factors))
     if not len(labels) or not 0 < share < 1:
@@ -186,7 +190,7 @@ def train(f: Features, labels: np.ndarray, weights: np.ndarray, config: QualityC
     bias, bias_grown, w_grown, v_grown = float(np.log(share / (1 - share))), 1e-8, np.full(size, 1e-8), np.full((size, config.factors), 1e-8)
     weights = weights / weights.mean()
     rng = np.random.default_rng(config.seed)
-    for _ in range(config.epochs):
+    for _ in range(max(config.epochs, -(-config.steps * config.batch // len(labels)))):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), config.batch):
             rows = order[lo : lo + config.batch]

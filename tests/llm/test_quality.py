@@ -22,7 +22,7 @@ def brute_score(model, ids, values):
 def test_sum_of_squares_is_all_pairs():
     config = quality.QualityConfig(buckets=64)
     rng = np.random.default_rng(0)
-    size = config.buckets + len(quality.STATISTICS) * quality.RANGES
+    size = config.buckets + len(quality.STATISTICS) * (quality.RANGES + 1)
     model = quality.QualityModel(0.3, rng.normal(size=size) * 0.1, rng.normal(size=(size, 4)) * 0.1, config)
     f = quality.features(pa.array(["one two two THREE", "", None, "a" * 300 + " !!! 12"]), pa.array([17, 0, None, 1]), config)
     got = model.scores(f)
