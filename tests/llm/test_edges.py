@@ -20,7 +20,7 @@ RUNS = {
     "op9": lambda d: packing.pack_documents(d, WORDS),
     "op10": suffix_dedup.repeated_spans,
     "op11": lambda d: merkle.verify(merkle.manifest(d, queries.MANIFEST_FIELDS)),
-    "op13": lambda d: quality.score(d, quality.fit(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality")))),
+    "op13": lambda d: quality.score(d, quality.fit(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality")), quality.QualityConfig(steps=2))),
 }
 ONE_EACH = {"op1", "op2", "op3", "op4", "op5", "op7", "op8", "op10", "op11", "op13"}
 

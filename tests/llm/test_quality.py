@@ -68,7 +68,7 @@ def test_edges(spark, make_docs, edge_texts):
     assert {round(r.score, 6) for r in quality.score(docs, none).collect()} == {0.5}
     only = quality.fit(docs, labels([(3, 1, "x"), (3, 1, "x"), (None, 0, "x"), (4, None, "x")]))
     assert {round(r.score, 2) for r in quality.score(docs, only).collect()} == {0.99}
-    mixed = quality.fit(docs, labels([(i, i % 2, "x") for i in range(9)] + [(99, 0, "x")]))
+    mixed = quality.fit(docs, labels([(i, i % 2, "x") for i in range(9)] + [(99, 0, "x")]), quality.QualityConfig(epochs=2, steps=2))
     rows = quality.score(docs, mixed).collect()
     assert len(rows) == 9 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id in (3, 4)}) == 1
     assert quality.score(docs.limit(0), mixed).count() == 0
