@@ -24,7 +24,9 @@ from lexloom.llm.common import written
 #: samples made from one row of (term, weight): keeps generated methods small enough to be compiled
 WIDTH = 2
 _LOW = (1 << 21) - 1
-_ID = (1 << 30) - 1
+#: bits that stand for a sample: different ones are taken for equal once in 32768 times
+_BITS = 15
+_ID = (1 << _BITS) - 1
 #: ranges for each shuffle partition, so that ranges hash evenly onto partitions
 RANGES = 4
 
@@ -35,7 +37,7 @@ def _uniform(h: Column, at: int) -> Column:
 
 
 def sample(term: Column, log_weights: list[Column], k: Column) -> list[Column]:
-    """For each weight of a term, its value for hash function k in the upper bits, so that min() finds the sample, and 30 bits
+    """For each weight of a term, its value for hash function k in the upper bits, so that min() finds the sample, and 15 bits
     that stand for (term, t); null where the log weight is null. All weights share the term's r, c and b."""
     h = F.xxhash64(term, k)
     g = F.xxhash64(h)
@@ -46,7 +48,7 @@ def sample(term: Column, log_weights: list[Column], k: Column) -> list[Column]:
     for log_weight in log_weights:
         t = F.floor(log_weight / r + b)
         value = log_c - r * (t.cast("double") - b + 1.0)
-        out.append(F.shiftleft((value * float(1 << 26)).cast("bigint"), 30).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(_ID))))
+        out.append(F.shiftleft((value * float(1 << 38)).cast("bigint"), _BITS).bitwiseOR(g.bitwiseXOR(t).bitwiseAND(F.lit(_ID))))
     return out
 
 
@@ -55,7 +57,7 @@ def words_of(text: Column) -> Column:
 
 
 def signatures(rows: DataFrame, keys: list[str], text_cols: list[str], samples: int) -> DataFrame:
-    """keys and, for each text column, `print` and its number: an array of `samples` 30-bit integers, null without words; no
+    """keys and, for each text column, `print` and its number: an array of `samples` 15-bit integers, null without words; no
     row where no text has words. Where rows are dealt by some of the keys already, nothing is shuffled."""
     sides = range(len(text_cols))
     texts = rows.select(*keys, F.posexplode(F.array(*text_cols)).alias("side", "t"))
@@ -66,7 +68,7 @@ def signatures(rows: DataFrame, keys: list[str], text_cols: list[str], samples:
     spread = weighted.select(*keys, "term", *[f"w{i}" for i in sides], groups)
     made = [(f"s{i}_{j}", c) for j in range(WIDTH) for i, c in enumerate(sample(F.col("term"), [F.col(f"w{i}") for i in sides], F.col("g") + j))]
     least = spread.select(*keys, "g", *[c.alias(n) for n, c in made]).groupBy(*keys, "g").agg(*[F.min(n).alias(n) for n, _ in made])
-    part = lambda i: F.array(*[F.col(f"s{i}_{j}").bitwiseAND(F.lit(_ID)).cast("int") for j in range(WIDTH)])
+    part = lambda i: F.array(*[F.col(f"s{i}_{j}").bitwiseAND(F.lit(_ID)).cast("smallint") for j in range(WIDTH)])
     parts = F.struct("g", *[part(i).alias(f"p{i}") for i in sides])
     whole = least.groupBy(*keys).agg(F.sort_array(F.collect_list(parts)).alias("p"))
     return whole.select(*keys, *[F.when(F.col("p")[0][f"p{i}"][0].isNotNull(), F.flatten(F.col("p")[f"p{i}"])).alias(f"print{i}") for i in sides])
@@ -79,17 +81,17 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(p: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(p, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(p, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), ""), F.lit(""))
 
 
-def fingerprint(docs: DataFrame, samples: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and print of every text; null where there are no words. Rows with equal ids must have equal texts."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     found = signatures(slim.dropDuplicates(["doc_id"]), ["doc_id"], ["text"], samples).select(F.col("doc_id").alias("id"), F.col("print0").alias("print"))
     return slim.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "print")
 
 
-def fingerprint_edits(docs: DataFrame, samples: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: see the module."""
     spark = docs.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
