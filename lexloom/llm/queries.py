@@ -68,7 +68,7 @@ URL_RULES = [
 
 @lru_cache(1)
 def url_model() -> url_filter.UrlModel:
-    return url_filter.train(url_labels.labelled_urls())
+    return url_filter.train(url_labels.labelled_urls(), words=url_labels.words_of)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
