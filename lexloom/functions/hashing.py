@@ -9,8 +9,10 @@ from lexloom.config import SplitConfig
 from lexloom.functions.base import let
 from lexloom.functions.triples import id_to_triple, triple_to_id
 
-#: attempts at the next slot of a triple before its row counts as full
-ATTEMPTS = 64
+#: the first attempts at a slot that are made together, and by how much each later lot of them is larger
+LOT, GROWTH = 8, 8
+#: attempts for each slot of the vocabulary: with 64 the last free slot of a row is missed with a probability of e**-64
+SURE = 64
 
 
 def md5_mod(text: Column, modulus: int) -> Column:
@@ -33,8 +35,21 @@ def word_slots(word: Column, config: SplitConfig) -> Column:
     return F.array(*parts)
 
 
-def triple_row(triple_id: Column, config: SplitConfig, attempts: int = ATTEMPTS) -> Column:
-    """`slots` distinct slots in ascending order: for each, the first of a series of hashes that is not taken yet."""
+def attempt_lots(vocab_size: int) -> list[tuple[int, int]]:
+    """First and last attempt of each lot after attempt 0, in growing lots up to SURE for each slot of the vocabulary."""
+    lots, at = [], 1
+    while at <= SURE * vocab_size:
+        size = LOT * GROWTH ** len(lots)
+        lots.append((at, at + size - 1))
+        at += size
+    return lots
+
+
+def triple_row(triple_id: Column, config: SplitConfig) -> Column:
+    """`slots` distinct slots in ascending order: for each, the first of a series of hashes that is not taken yet. Later lots of the
+    series are computed only for a slot that the earlier ones do not find."""
+    if config.slots > config.vocab_size:
+        raise ValueError("a row has more slots than the vocabulary")
     name = F.concat(triple_id.cast("string"), F.lit("_"))
 
     def hashed(k: Column, j: Column) -> Column:
@@ -44,8 +59,11 @@ def triple_row(triple_id: Column, config: SplitConfig, attempts: int = ATTEMPTS)
         return let(hashed(k, F.lit(0)), lambda h: F.when(~F.array_contains(taken, h), F.array_append(taken, h)).otherwise(F.array_append(taken, later(taken, k))))
 
     def later(taken: Column, k: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.lit(attempts)), lambda j: hashed(k, j))
-        return F.element_at(F.filter(tries, lambda h: ~F.array_contains(taken, h)), 1)
+        def lot(first: int, last: int) -> Column:
+            tries = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda j: hashed(k, j))
+            return F.get(F.filter(tries, lambda h: ~F.array_contains(taken, h)), 0)
+
+        return F.coalesce(*[lot(*x) for x in attempt_lots(config.vocab_size)], F.raise_error(F.lit("no free slot")).cast("int"))
 
     return F.array_sort(F.aggregate(F.sequence(F.lit(0), F.lit(config.slots - 1)), F.array().cast("array<int>"), add))
 

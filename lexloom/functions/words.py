@@ -1,40 +1,29 @@
-"""Reversible splitting of text into words, as column expressions.
+"""Reversible splitting of text into words.
 
 A text is cut at special tokens (``<|...|>``); the segments between them become words, single digits and single other
 characters. A blank is dropped where one is expected, marked where it is not, and a missing one is marked as well, so that
-joining restores the text. Runs of blanks and of newlines become run tokens.
+joining restores the text. Runs of blanks and of newlines become run tokens. Splitting and joining are Arrow functions over
+whole batches (`word_arrays`): as column expressions, every piece of a text would be interpreted.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from lexloom.functions.base import let, strings
+from lexloom.functions import word_arrays
+from lexloom.functions.base import strings
+from lexloom.functions.word_arrays import LINE, NO_BLANK_AFTER, NO_BLANK_BEFORE, NO_WS, RUN_OF, WS  # noqa: F401
 
-# Fixed values of the word format.
-BLANK, NEWLINE = " ", "\n"
-NO_BLANK_AFTER = "#$=-+*/'\"\\(<[]~^&@%_\n "
-NO_BLANK_BEFORE = ".,:;?!=-+*/'\"\\)>]~^&@%_\n 1234567890"
-NO_WS, WS, LINE = "<|no_ws|>", "<|ws|>", "<|\n|>"
-RUN_OF = {WS: "<-ws->", LINE: "<-\n->"}
-
-#: a special token, or the longest stretch without one
-SEGMENTS = r"(?d)<\|.*?\|>|[\s\S]+?(?=<\|.*?\|>|\z)"
-#: runs of blanks, runs of newlines, a digit, another character that is no letter or number, a run of the rest
-PIECES = r"(?d) +|\n+|\p{Nd}|[^\p{L}\p{N}]|[\p{L}\p{N}&&[^\p{Nd}]]+"
-RUN = r"^<\|([0-9]+)<-(ws|\n)->\|>$"
+RUN = word_arrays.RUN
 
 
 def is_special(word: Column) -> Column:
     return word.startswith("<|") & word.endswith("|>")
 
 
-def _in(chars: str, piece: Column) -> Column:
-    """Whether a piece is one of chars: pieces of several characters hold letters or are runs, which chars does not have."""
-    return F.coalesce(F.instr(F.lit(chars), piece) > 0, F.lit(False))
-
-
 def run_tokens(token: str, count: Column) -> Column:
     """count tokens merged: fours, then at most one pair or four, then at most one single."""
     pairs = F.floor(count / 2).cast("int")
@@ -46,30 +35,19 @@ def run_tokens(token: str, count: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(name(4)), fours), middle, last)
 
 
-def _segment_words(segment: Column) -> Column:
-    pieces = F.regexp_extract_all(segment, F.lit(PIECES), F.lit(0))
-
-    def words(s: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            before, after = F.get(s, i - 1), F.get(s, i + 1)
-            blanks, lines = x.startswith(BLANK), x.startswith(NEWLINE)
-            # the ends of runs decide as single characters do; inside a run every blank is kept
-            first = F.substring(after, 1, 1)
-            left, right = _in(NO_BLANK_AFTER, F.when(before.startswith(NEWLINE), F.lit(NEWLINE)).otherwise(before)), _in(NO_BLANK_BEFORE, F.when(after.startswith(NEWLINE), F.lit(NEWLINE)).otherwise(after))
-            kept = (F.length(x) > 1) | (i == 0) | (i == F.size(s) - 1) | left | right
-            joined = after.isNotNull() & ~F.coalesce(first.isin(BLANK, NEWLINE), F.lit(False)) & ~_in(NO_BLANK_AFTER, x) & ~right
-            word = F.when(joined, F.array(x, F.lit(NO_WS))).otherwise(F.array(x))
-            return F.when(blanks, F.when(kept, run_tokens(WS, F.length(x))).otherwise(strings())).when(lines, run_tokens(LINE, F.length(x))).otherwise(word)
+@F.arrow_udf(returnType=ArrayType(StringType()))
+def _split(texts: pa.Array) -> pa.Array:
+    return word_arrays.split(texts)
 
-        return F.flatten(F.transform(s, one))
 
-    return let(pieces, words)
+@F.arrow_udf(returnType=StringType())
+def _join(words: pa.Array) -> pa.Array:
+    return word_arrays.join(words)
 
 
 def text_to_words(text: Column) -> Column:
     """array<string>; null for null."""
-    segments = F.regexp_extract_all(text, F.lit(SEGMENTS), F.lit(0))
-    return F.flatten(F.transform(segments, lambda t: F.when(is_special(t), F.array(t)).otherwise(_segment_words(t))))
+    return _split(text)
 
 
 def expand_runs(words: Column) -> Column:
@@ -84,16 +62,5 @@ def expand_runs(words: Column) -> Column:
 
 
 def words_to_text(words: Column) -> Column:
-    """The text that text_to_words came from."""
-
-    def join(s: Column) -> Column:
-        def one(w: Column, i: Column) -> Column:
-            before = F.get(s, i - 1)
-            bare = lambda x: x.isin(NO_WS, WS) | is_special(x)
-            apart = before.isNotNull() & ~bare(before) & ~bare(w) & ~_in(NO_BLANK_AFTER, F.right(before, F.lit(1))) & ~_in(NO_BLANK_BEFORE, F.left(w, F.lit(1)))
-            own = F.when(w == NO_WS, F.lit("")).when(w == WS, F.lit(BLANK)).when(w == LINE, F.lit(NEWLINE)).otherwise(w)
-            return F.when(F.coalesce(apart, F.lit(False)), F.concat(F.lit(BLANK), own)).otherwise(own)
-
-        return F.array_join(F.transform(s, one), "")
-
-    return let(expand_runs(words), join)
+    """The text that text_to_words came from; null for null."""
+    return _join(words)

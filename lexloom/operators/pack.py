@@ -97,22 +97,60 @@ def record_bytes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("shard", "record_id").agg(F.sum("length").alias("bytes"))
 
 
+def _doubled(step: DataFrame, length: int, tag: str) -> DataFrame:
+    """step(slot, to, chunks, positions) taken twice."""
+    second = step.select(F.col("slot").alias("to"), F.col("to").alias("then"), F.col("chunks").alias("c2"), F.col("positions").alias("p2"))
+    both = step.join(second, "to").select("slot", F.col("then").alias("to"), (F.col("chunks") + F.col("c2")).alias("chunks"), F.least(F.col("positions") + F.col("p2"), F.lit(length).cast("bigint")).alias("positions"))
+    return written(both, tag)
+
+
+def visits(records: DataFrame, count: int, length: int, samples: DataFrame) -> DataFrame:
+    """sample, slot, part for every record that a sample takes: records(slot, chunks, positions) at slots 0 to count - 1, samples(sample).
+
+    A sample takes the record at its slot, then the one `chunks` slots on, around the end, until it has `length` positions. Where
+    2**k steps lead, and how many chunks and positions they take, is a table for each k, made from the one before by one
+    join; a sample's steps are the largest such stretches that leave it short, and one more. Stretches are halved, all at
+    once, down to single steps. Rounds are the logarithm of the longest sample's steps."""
+    tables = [written(records.select("slot", ((F.col("slot") + F.col("chunks")) % count).alias("to"), F.col("chunks").cast("bigint").alias("chunks"), F.col("positions").cast("bigint").alias("positions")), "steps")]
+    while (least := tables[-1].agg(F.min("positions")).first()[0]) is not None and least < length:
+        if least == 0 and 1 << len(tables) - 1 >= count:
+            raise ValueError("some records lead in a circle without any position")
+        tables.append(_doubled(tables[-1], length, "steps"))
+    short = samples.select("sample", F.col("sample").alias("slot"), F.lit(0).cast("bigint").alias("done"), F.lit(0).cast("bigint").alias("part"))
+    single = lambda rows: rows.select("sample", "slot", "part")
+    whole = short.join(tables[0].select("slot", F.col("positions").alias("own")), "slot")
+    found = single(whole.where(F.col("own") >= length))
+    at = whole.where(F.col("own") < length).select("sample", "slot", "done", "part")
+    stretches: list[tuple[int, DataFrame]] = []
+    for k in reversed(range(len(tables) - 1)):  # the last table's stretches are enough for any sample
+        taken = F.col("done") + F.col("positions") < length
+        moved = written(at.join(tables[k], "slot").withColumn("taken", taken), "moved")
+        stretches.append((k, single(moved.where("taken"))))
+        go = lambda a, b: F.when(F.col("taken"), a).otherwise(b)
+        at = moved.select("sample", go(F.col("to"), F.col("slot")).alias("slot"), go(F.col("done") + F.col("positions"), F.col("done")).alias("done"), go(F.col("part") + F.col("chunks"), F.col("part")).alias("part"))
+    found = found.unionByName(single(at))
+    halves = None
+    for k, rows in stretches:
+        rows = rows if halves is None else rows.unionByName(halves)
+        if k == 0:
+            found = found.unionByName(rows)
+            break
+        step = tables[k - 1].select("slot", "to", "chunks")
+        second = rows.join(step, "slot").select("sample", F.col("to").alias("slot"), (F.col("part") + F.col("chunks")).alias("part"))
+        halves = written(rows.unionByName(second), "halves")
+    return found
+
+
 def sample_chunks(texts: DataFrame, order: DataFrame, config: SplitConfig, samples: DataFrame | None = None) -> DataFrame:
-    """Pretraining samples: sample, part, text with its end of text. texts(record, chunk_no, text), order(slot, record).
+    """Pretraining samples: sample, part, text with its end of text, and the texts' other columns. texts(record, chunk_no, text), order(slot, record).
 
     A sample takes the record at its slot; while it has fewer positions than the sequence length it takes the record at slot +
-    chunks so far, around the end. Each round advances all open samples by one join and ends when none is open."""
+    chunks so far, around the end."""
     n = order.count()
-    sized = texts.select("record", "chunk_no", F.concat("text", F.lit("<|endoftext|>")).alias("text"))
+    sized = texts.withColumn("text", F.concat("text", F.lit("<|endoftext|>")))
     sized = sized.withColumn("n", F.size(text_to_words(prepared(F.col("text"), config.lowercase, True))) - 1)
     records = written(sized.groupBy("record").agg(F.count("*").alias("chunks"), F.sum("n").alias("positions")).join(order, "record"), "records")
-    open_ = (samples if samples is not None else order.select(F.col("slot").alias("sample"))).select("sample", F.lit(0).cast("bigint").alias("done"), F.lit(0).cast("bigint").alias("part"))
-    taken = None
-    while True:
-        step = open_.withColumn("slot", (F.col("sample") + F.col("part")) % n).join(records, "slot")
-        step = written(step.select("sample", "record", "part", (F.col("part") + F.col("chunks")).alias("next"), (F.col("done") + F.col("positions")).alias("total")), "round")
-        taken = step if taken is None else taken.unionByName(step)
-        open_ = step.where(F.col("total") < config.sequence_length).select("sample", F.col("total").alias("done"), F.col("next").alias("part"))
-        if open_.isEmpty():
-            break
-    return taken.join(sized, "record").select("sample", (F.col("part") + F.col("chunk_no")).alias("part"), "text")
+    every = samples if samples is not None else order.select(F.col("slot").alias("sample"))
+    taken = visits(records, n, config.sequence_length, every).join(records.select("slot", "record"), "slot")
+    more = [c for c in texts.columns if c not in ("record", "chunk_no", "text")]
+    return taken.join(sized, "record").select("sample", (F.col("part") + F.col("chunk_no")).alias("part"), "text", *more)

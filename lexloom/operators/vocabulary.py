@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
 from lexloom.operators.encode import slots_of_words
-from lexloom.sources.scratch import in_order
+from lexloom.sources.scratch import in_order, written
 
 DICTIONARY_LIMIT = 1_000_000
 
@@ -44,47 +44,53 @@ def with_reserved(counts: DataFrame, words: list[str]) -> DataFrame:
     return counts.select("word", "count").unionByName(extra).groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def _numbered(rows: DataFrame, order: list, limited: bool) -> DataFrame:
-    """rows with word_idx; over ranges where no limit bounds them."""
-    if limited:
-        return rows.withColumn("word_idx", F.row_number().over(Window.orderBy(*order)) - 1)
-    return in_order(rows, order, "word_idx").withColumn("word_idx", F.col("word_idx").cast("int"))
-
-
 def first_seen(words: DataFrame, order: list[str], word_col: str = "word") -> DataFrame:
     """word, count, first_seen: the least value of the order columns among the word's places, a tie-break of `ranked`."""
     return words.where(F.col(word_col).isNotNull()).groupBy(F.col(word_col).alias("word")).agg(F.count("*").alias("count"), F.min(F.struct(*order)).alias("first_seen"))
 
 
+def least_count(counts: DataFrame, limit: int) -> int:
+    """The least count that a word among the `limit` most frequent can have: from how many words have each count, a table of as many
+    rows as there are different counts, added up from the largest."""
+    sizes = counts.groupBy("count").agg(F.count("*").alias("n"))
+    above = in_order(sizes, [F.col("count").desc()], "above", F.col("n"))
+    return above.where(F.col("above") < limit).agg(F.min("count")).first()[0] or 0
+
+
 def ranked(counts: DataFrame, limit: int | None = DICTIONARY_LIMIT, tie: str = "word", drop: list[str] = ()) -> DataFrame:
-    """word_idx, word, count by descending count, then `tie` (first_seen keeps the order of first places). The limit comes first
-    (a distributed top-k), so that the numbering window holds no more than `limit` rows; without one, ranges are numbered."""
-    rows = counts.where(~F.col("word").isin(*drop)) if drop else counts
-    order = [F.col("count").desc(), F.col(tie).asc()]
-    rows = rows.orderBy(*order).limit(limit) if limit is not None else rows
-    return _numbered(rows, order, limit is not None).select("word_idx", "word", "count")
+    """word_idx, word, count by descending count, then `tie` (first_seen keeps the order of first places). With a limit, words of a
+    lesser count than the last one of the limit go first; what stays is sorted into ranges and numbered by them, so no task
+    holds more than its range, however many words or ties there are."""
+    rows = written(counts.where(~F.col("word").isin(*drop)) if drop else counts, "counts")
+    if limit is not None:
+        rows = rows.where(F.col("count") >= least_count(rows, limit))
+    out = in_order(rows, [F.col("count").desc(), F.col(tie).asc()], "word_idx").withColumn("word_idx", F.col("word_idx").cast("int"))
+    return (out if limit is None else out.where(F.col("word_idx") < limit)).select("word_idx", "word", "count")
 
 
 def reserved_first(rank: DataFrame, words: list[str]) -> DataFrame:
-    """Reserved words, then the others in rank order, numbered from 0."""
+    """Reserved words, then the others in rank order, numbered from 0. rank's numbers have no gaps, so a word moves up by the reserved
+    words and down by those of them that are before it in the rank."""
     head = rank.sparkSession.createDataFrame(list(enumerate(words)), "word_idx int, word string").select("word_idx", "word")
-    tail = rank.where(~F.col("word").isin(*words)) if words else rank
-    moved = tail.select((F.row_number().over(Window.orderBy("word_idx")) + len(words) - 1).alias("word_idx"), "word")
+    if not words:
+        return rank.select("word_idx", "word")
+    there = [r["word_idx"] for r in rank.where(F.col("word").isin(*words)).select("word_idx").collect()]  # no more than there are reserved words
+    before = F.size(F.filter(F.array(*[F.lit(i) for i in there]), lambda i: i < F.col("word_idx"))) if there else F.lit(0)
+    moved = rank.where(~F.col("word").isin(*words)).select((F.col("word_idx") + len(words) - before).cast("int").alias("word_idx"), "word")
     return head.unionByName(moved)
 
 
 def interleaved(a: DataFrame, b: DataFrame, limit: int | None = DICTIONARY_LIMIT) -> DataFrame:
     """Two rankings (word_idx, word) taken in turn, the longer first in each pair (b if they are as long), a word at its first place only; what the
     longer has beyond the shorter follows as it is, repeats included."""
-    sizes = a.agg(F.count("*").alias("na")).crossJoin(b.agg(F.count("*").alias("nb")))
-    sides = a.select("word_idx", "word", F.lit(0).alias("from")).unionByName(b.select("word_idx", "word", F.lit(1).alias("from"))).crossJoin(F.broadcast(sizes))
-    short = F.least("na", "nb")
-    side = F.when(F.col("na") > F.col("nb"), F.col("from")).otherwise(1 - F.col("from"))
-    keyed = sides.select("word", (F.col("word_idx").cast("bigint") * 2 + side).alias("key"), (F.col("word_idx") < short).alias("paired"))
+    na, nb = a.count(), b.count()
+    sides = a.select("word_idx", "word", F.lit(0).alias("from")).unionByName(b.select("word_idx", "word", F.lit(1).alias("from")))
+    side = F.col("from") if na > nb else 1 - F.col("from")
+    keyed = sides.select("word", (F.col("word_idx").cast("bigint") * 2 + side).alias("key"), (F.col("word_idx") < min(na, nb)).alias("paired"))
     head = keyed.where("paired").groupBy("word").agg(F.min("key").alias("key"))
     every = head.select("word", "key").unionByName(keyed.where("not paired").select("word", "key"))
-    every = every.orderBy("key").limit(limit) if limit is not None else every
-    return _numbered(every, [F.col("key")], limit is not None).select("word_idx", "word")
+    out = in_order(every, [F.col("key")], "word_idx").withColumn("word_idx", F.col("word_idx").cast("int"))
+    return (out if limit is None else out.where(F.col("word_idx") < limit)).select("word_idx", "word")
 
 
 def truncated(dictionary: DataFrame, size: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +14,9 @@ from lexloom.functions import hashing, triples
 from lexloom.functions.words import expand_runs, text_to_words, words_to_text
 from lexloom.operators import chat, decode, encode, metrics, pack, sampling, tokenizer, vocabulary
 from lexloom.plans import sql
-from lexloom.sources import corpus
+from lexloom.sources import corpus, shard_files
+from lexloom.sources.scratch import scratch_dir
+from lexloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,6 +159,109 @@ def kept_lines(spark, sf_dir):
     return corpus.kept_lines(lines).groupBy("line").agg(F.count("*").alias("n"))
 
 
+# ---- shards in the binary formats
+
+
+_NUMBERED = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, octet_length(encode(text))::BIGINT AS size, md5(text) AS text_md5, source FROM documents"
+
+
+def _new_folder(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_shards(spark, sf_dir) -> str:
+    path = _new_folder(spark, "shards")
+    shard_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, ["doc_id"])
+    return path
+
+
+def _text_md5() -> F.Column:
+    return F.md5("payload").alias("text_md5")
+
+
+@query(f"SELECT doc_id, size, text_md5 FROM ({_NUMBERED})")
+def shard_round_trip(spark, sf_dir):
+    return shard_files.read(spark, _as_shards(spark, sf_dir)).select("doc_id", "size", _text_md5())
+
+
+@query(f"SELECT doc_id, size, text_md5 FROM ({_NUMBERED}) WHERE doc_id IN (7, 41) OR doc_id = (SELECT count(*) - 1 FROM documents)")
+def shard_point_lookups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = shard_files.read(spark, _as_shards(spark, sf_dir)).where(F.col("doc_id").isin(7, 41, docs.count() - 1))
+    return found.select("doc_id", "size", _text_md5())
+
+
+@query(f"SELECT doc_id, size FROM ({_NUMBERED})")
+def shard_index(spark, sf_dir):
+    return shard_files.read(spark, _as_shards(spark, sf_dir), payload=False).select("doc_id", "size")
+
+
+@query("SELECT count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents")
+def shard_totals(spark, sf_dir):
+    index = shard_files.read(spark, _as_shards(spark, sf_dir), payload=False)
+    # every shard's entries follow each other without a gap
+    ends = index.groupBy("shard").agg(F.count("*").alias("n"), F.max(F.col("start") + F.col("size")).alias("bytes"))
+    return ends.agg(F.sum("n").alias("documents"), F.sum("bytes").alias("bytes"))
+
+
+_CHUNKS = "SELECT 's' || (doc_id % 3) AS shard, doc_id // 12 AS record_id, least(octet_length(encode(text)), 65535)::BIGINT AS length, doc_id * 100000 AS \"offset\" FROM documents"
+
+
+def _chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.concat(F.lit("s"), F.col("doc_id") % 3).alias("shard"), F.expr("doc_id div 12").alias("record_id"), F.col("doc_id").alias("chunk_no"),
+        F.least(F.octet_length("text"), F.lit(65535)).cast("bigint").alias("length"), (F.col("doc_id") * 100_000).alias("offset"),
+    )
+
+
+def _as_records(spark, sf_dir) -> DataFrame:
+    path = _new_folder(spark, "records")
+    shard_files.write_records(_chunks(spark, sf_dir), path)
+    return shard_files.read_records(spark, path).select("shard", "record_id", "length", "offset")
+
+
+@query(_CHUNKS)
+def packed_index_round_trip(spark, sf_dir):
+    return _as_records(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({_CHUNKS}) WHERE record_id >= 5 AND record_id < 9")
+def packed_record_range(spark, sf_dir):
+    return _as_records(spark, sf_dir).where("record_id >= 5 and record_id < 9")
+
+
+def _ingested(spark, sf_dir):
+    """Shards of each source in two generations, taken in by a query of its own each: the second goes on where the first stopped."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    base, name = _new_folder(spark, "ingest"), F.regexp_extract("shard", "^[0-9]+-(.*)$", 1)
+    expected = docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("documents"))
+    for part in range(2):
+        shards = docs.where(F.expr("doc_id div 40") % 2 == part).withColumn("shard", F.concat(F.lit(f"{part}-"), "source"))
+        shard_files.write(shards, f"{base}/shards", ["doc_id"], shard_col="shard")
+        corpus_, status = ingest.ingest(spark, f"{base}/shards", f"{base}/out", name, expected)
+    return corpus_, status
+
+
+@query("SELECT source AS name, 'COMPLETE' AS state, count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source")
+def ingest_status(spark, sf_dir):
+    status = _ingested(spark, sf_dir)[1].groupBy("name").agg(F.max_by(F.struct("state", "documents", "bytes"), "at").alias("s"))
+    return status.select("name", "s.state", "s.documents", "s.bytes")
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY text")
+def ingested_documents(spark, sf_dir):
+    return _ingested(spark, sf_dir)[0].groupBy(_text_md5()).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE (doc_id % 100 = 0 OR doc_id = (SELECT max(doc_id) FROM documents)) AND (doc_id % 3 = 0 AND text <> upper(text) OR doc_id % 7 = 0)")
+def validation_mismatches(spark, sf_dir):
+    """A copy in which every third text is in capitals and every seventh is missing, against the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bad = docs.where("doc_id % 7 <> 0").select("doc_id", F.encode(F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")), "UTF-8").alias("payload"))
+    return corpus.mismatches(bad, docs, every=100)
+
+
 # ---- finetuning and chat
 
 
@@ -603,3 +709,22 @@ def pretraining_samples(spark, sf_dir):
     texts = pack.record_texts(chunks, docs).withColumn("record", F.concat_ws("/", "shard", "record_id"))
     order = sampling.hashed_permutation(texts.select("record").distinct(), "record", 42).withColumnRenamed("idx", "record")
     return pack.sample_chunks(texts, order, SplitConfig(sequence_length=4096)).select("sample", "part", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_SLICES = "SELECT doc_id // 3 AS record, (doc_id % 3)::INTEGER AS chunk_no, doc_id, regexp_replace(text, '^[" + sql.SPACES + "]+', '') AS text FROM documents"
+_SAMPLE_LENGTH = 1500
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT record, chunk_no, doc_id, len(w) AS n FROM ({sql.words(f"({_SLICES})", "record, chunk_no, doc_id", "text")})),
+r AS (SELECT record, count(*) AS chunks, sum(n) AS positions FROM s GROUP BY record),
+o AS (SELECT row_number() OVER (ORDER BY md5('42_' || record), record) - 1 AS slot, * FROM r),
+walk(sample, slot, part, done, more, steps) AS (SELECT slot, slot, 0::BIGINT, 0::HUGEINT, positions, chunks FROM o
+UNION ALL SELECT w.sample, o.slot, w.part + w.steps, w.done + w.more, o.positions, o.chunks FROM walk w JOIN o ON o.slot = (w.sample + w.part + w.steps) % (SELECT count(*) FROM o) WHERE w.done + w.more < {_SAMPLE_LENGTH})
+SELECT sample, part + chunk_no AS part, doc_id FROM walk JOIN o USING (slot) JOIN s ON s.record = o.record"""
+)
+def sample_assembly(spark, sf_dir):
+    """Every three documents are a record of three chunks."""
+    texts = table(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("record"), (F.col("doc_id") % 3).cast("int").alias("chunk_no"), "doc_id", "text")
+    order = sampling.hashed_permutation(texts.select("record").distinct(), "record", 42).withColumnRenamed("idx", "record")
+    return pack.sample_chunks(texts, order, SplitConfig(sequence_length=_SAMPLE_LENGTH)).select("sample", "part", "doc_id")

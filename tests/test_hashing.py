@@ -41,7 +41,7 @@ def test_strip(spark):
     assert [r.s for r in df.collect()] == ["a b", "", None]
 
 
-@pytest.mark.parametrize("config", [SplitConfig(slots=4), SplitConfig(vocab_size=23, slots=8), SplitConfig(slots=10, shared_slots=2)])
+@pytest.mark.parametrize("config", [SplitConfig(slots=4), SplitConfig(vocab_size=23, slots=8), SplitConfig(slots=10, shared_slots=2), SplitConfig(vocab_size=16, slots=16), SplitConfig(vocab_size=40, slots=40, shared_slots=3)])
 def test_slots(spark, config):
     ids = [0, 1, 12345, (1 << 24) - 1] + [int.from_bytes(b, "little") for b in (b" He", b"ABc", b"abc", b"A1b")]
 
@@ -57,3 +57,11 @@ def test_slots(spark, config):
     own, shared = config.slots - config.shared_slots, config.shared_slots
     for r in df.collect():
         assert r.s == [h(f"{r.w}_{i}", config.vocab_size) for i in range(own)] + [h(f"{r.w.lower()}_lower_{i}", config.vocab_size) for i in range(shared)]
+
+
+def test_series_has_no_early_end(spark):
+    assert hashing.attempt_lots(16)[-1][1] >= 64 * 16 and hashing.attempt_lots(32_000)[-1][1] >= 64 * 32_000
+    df = spark.range(300).select(hashing.triple_row(F.col("id"), SplitConfig(vocab_size=16, slots=16)).alias("s"))
+    assert {tuple(r.s) for r in df.collect()} == {tuple(range(16))}
+    with pytest.raises(ValueError, match="more slots"):
+        hashing.triple_row(F.lit(1), SplitConfig(vocab_size=3, slots=4))

@@ -72,6 +72,27 @@ def test_samples_top_up(spark):
     assert rows[1] == ["f g h i j", "k", "a b c", "d e"][: len(rows[1])] and len(rows[1]) >= 2
 
 
+def test_long_walks_take_few_rounds(spark):
+    """Samples of hundreds of steps, over records of no position as well, against a walk step by step."""
+    rng = random.Random(3)
+    n, length = 97, 700
+    chunks, positions = [rng.randint(1, 5) for _ in range(n)], [rng.choice([0, 0, 1, 2, 9, 800]) if i % 9 else 3 for i in range(n)]
+    records = spark.createDataFrame(list(zip(range(n), chunks, positions)), "slot bigint, chunks bigint, positions bigint")
+    got = pack.visits(records, n, length, records.select(F.col("slot").alias("sample")))
+    want = []
+    for sample in range(n):
+        at, part, done = sample, 0, 0
+        while True:
+            want.append((sample, at, part))
+            done, part = done + positions[at], part + chunks[at]
+            if done >= length:
+                break
+            at = (sample + part) % n
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 8 * n
+    with pytest.raises(ValueError, match="circle"):
+        pack.visits(records.withColumn("positions", F.lit(0)), n, length, records.select(F.col("slot").alias("sample")))
+
+
 def test_permutations(spark):
     assert [r.idx for r in sampling.legacy_permutation(spark, 10, 42).orderBy("slot").collect()] == [8, 1, 5, 0, 7, 2, 9, 4, 3, 6]
     got = sampling.hashed_permutation(spark.range(500), "id", 7).orderBy("slot").collect()

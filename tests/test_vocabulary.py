@@ -68,3 +68,15 @@ def test_word_to_index(spark):
 def test_dictionary_job(spark):
     got = listed(V.generated_dictionary([counts(spark, a=5, b=4, **{"<|ws|>": 9}), counts(spark, c=3, a=2, d=1)], 19))
     assert got == [*V.reserved_words(True), "c", "a", "b"]
+
+
+def test_limit_without_a_gathering_task(spark):
+    """Ties at the limit: of many words with the least count only the first by word stay, and no operator gathers all words."""
+    words = {f"w{i:03d}": 5 - (i > 3) - (i > 250) for i in range(300)}
+    got = V.ranked(counts(spark, **words), 17)
+    assert listed(got) == sorted(words, key=lambda w: (-words[w], w))[:17]
+    assert V.least_count(counts(spark, **words), 4) == 5 and V.least_count(counts(spark, **words), 5) == 4 and V.least_count(counts(spark, **words), 10**6) == 3
+    for df in (got, V.interleaved(got, got), V.reserved_first(got, ["w003", "none"]), V.generated_dictionary([counts(spark, **words)], 30)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "CollectLimit" not in plan
+        assert "word" not in "".join(line for line in plan.splitlines() if "Window" in line)

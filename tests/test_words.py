@@ -1,10 +1,13 @@
 import itertools
 import random
+import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.functions import word_arrays
 from lexloom.functions import words as W
 
 
@@ -96,6 +99,44 @@ def test_random_texts(spark):
             assert r.back == r.t
 
 
+def plain_join(words):
+    """The rules of the join, word by word."""
+    expanded = []
+    for w in words:
+        m = re.fullmatch(r"<\|([0-9]+)<-(ws|\n)->\|>", w)
+        expanded += [W.WS if m[2] == "ws" else W.LINE] * int(m[1]) if m else [w]
+    out, bare = "", lambda x: x.startswith("<|") and x.endswith("|>")
+    for i, w in enumerate(expanded):
+        left = expanded[i - 1] if i else ""
+        if left and w and not bare(left) and not bare(w) and left[-1] not in W.NO_BLANK_AFTER and w[0] not in W.NO_BLANK_BEFORE:
+            out += " "
+        out += {W.NO_WS: "", W.WS: " ", W.LINE: "\n"}.get(w, w)
+    return out
+
+
+def test_join_of_any_words():
+    rng = random.Random(5)
+    pool = ["a", "", "é", ".", "(", W.NO_WS, W.WS, W.LINE, "<|2<-ws->|>", "<|0<-ws->|>", "<|4<-\n->|>", "<|6<-ws->|>", "<|x|>", "x|>", "<|", "a b", "7", "\U0001d49c"]
+    rows = [[rng.choice(pool) for _ in range(rng.randint(0, 12))] for _ in range(1500)]
+    for some in (rows, rows[:1], [[]], [["", ""]], [[], ["a"], []]):
+        assert word_arrays.join(pa.array(some, pa.list_(pa.string()))).to_pylist() == [plain_join(r) for r in some]
+    assert word_arrays.join(pa.array([["a", "b"], None, []], pa.list_(pa.string()))).to_pylist() == ["a b", None, ""]
+    assert word_arrays.join(pa.array([["x"], ["a", None, "b"]], pa.list_(pa.string())).slice(1)).to_pylist() == ["ab"]
+    assert word_arrays.join(pa.array([None], pa.list_(pa.string()))).to_pylist() == [None]
+
+
+def test_chunks_and_slices(monkeypatch):
+    texts = ["a  b.\n", None, "", "日本 <|x|> 7", "<|a\n|>", " ", "\U0001d49c\U0001d49c!"] * 7
+    whole = word_arrays.split(pa.array(texts)).to_pylist()
+    assert whole == [None if t is None else plain_split(t) for t in texts]
+    monkeypatch.setattr(word_arrays, "CHUNK_BYTES", 5)
+    assert word_arrays.split(pa.array(texts)).to_pylist() == whole
+    assert word_arrays.split(pa.array(texts).slice(3, 9)).to_pylist() == whole[3:12]
+    assert word_arrays.split(pa.array([], pa.string())).to_pylist() == [] and word_arrays.split(pa.array([None, None], pa.string())).to_pylist() == [None, None]
+    long = "word, " * 300_000
+    assert len(word_arrays.split(pa.array([long])).to_pylist()[0]) == len(plain_split(long))
+
+
 def test_null_text(spark):
     assert split(spark, [None])[0].w is None
 
