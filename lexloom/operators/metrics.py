@@ -3,52 +3,146 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lexloom.config import ScheduleConfig
 
 
-def word_embeddings(slots: DataFrame, vectors: DataFrame, aggregation: str = "sum", by_triples: bool = False) -> DataFrame:
-    """slots(word, triple_id, slots), vectors(vocab_id, embedding): word, dim, value. Sum over a word's triples of the sum or
-    mean over their slots; optionally over the number of triples."""
-    each = slots.select("word", "triple_id", F.size("slots").alias("k"), F.explode("slots").alias("vocab_id"))
-    flat = vectors.select("vocab_id", F.posexplode("embedding").alias("dim", "x"))
-    scale = F.lit(1.0) if aggregation == "sum" else 1.0 / F.col("k")
-    out = each.join(flat, "vocab_id").groupBy("word", "dim").agg(F.sum(F.col("x").cast("double") * scale).alias("value"))
+#: slots whose vectors a task holds, and words whose sums it holds
+SLOT_BLOCK, WORD_BLOCK = 4096, 50_000
+#: rows of vectors that are added up at once
+ROWS_AT_ONCE = 8192
+
+
+def _summed(columns: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Adds up the rows of each word, array by array."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("word")
+        words = table.column("word").combine_chunks()
+        vectors = np.array(table.column("embedding").to_pylist(), float).reshape(len(words), -1)
+        firsts = np.flatnonzero(np.append([True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
+        sums = np.add.reduceat(vectors, firsts, axis=0)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)), pa.array(sums.ravel()))
+        return pa.table({"word": words.take(pa.array(firsts)), "embedding": rows}).select(columns)
+
+    return run
+
+
+def embedding_arrays(slots: DataFrame, vectors: DataFrame, aggregation: str = "sum", by_triples: bool = False) -> DataFrame:
+    """slots(word, triple_id, slots), vectors(vocab_id, embedding): word, embedding. Sum over a word's triples of the sum or mean over
+    their slots; optionally over the number of triples.
+
+    A sparse product by blocks: slots and words are dealt to a grid, a cell holds the vectors of its slots once and sends one
+    array for each of its words, and these are added up by word."""
+    weight = F.lit(1.0) if aggregation == "sum" else 1.0 / F.size("slots")
+    each = slots.select("word", weight.alias("weight"), F.explode("slots").alias("vocab_id")).groupBy("word", "vocab_id").agg(F.sum("weight").alias("weight"))
+    words = slots.agg(F.approx_count_distinct("word")).first()[0]
+    grid = max(1, -(-words // WORD_BLOCK))
+    block = F.expr(f"vocab_id div {SLOT_BLOCK}").alias("block")
+    each = each.select(block, F.pmod(F.xxhash64("word"), F.lit(grid)).cast("int").alias("part"), "word", "vocab_id", "weight")
+    held = vectors.select(block, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("part"), "vocab_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def cell(own: pa.Table, table: pa.Table) -> pa.Table:
+        known = table.column("vocab_id").to_numpy()
+        order = np.argsort(known)
+        matrix = np.array(table.column("embedding").to_pylist(), float).reshape(len(known), -1)[order]
+        own = own.sort_by("word")
+        wanted = own.column("vocab_id").to_numpy()
+        place = np.minimum(np.searchsorted(known[order], wanted), max(len(known) - 1, 0))
+        there = known[order][place] == wanted if len(known) else np.zeros(len(wanted), bool)
+        own, place = own.filter(pa.array(there)), place[there]
+        if not own.num_rows:
+            return pa.table({"word": pa.array([], pa.string()), "embedding": pa.array([], pa.list_(pa.float64()))})
+        names = own.column("word").combine_chunks()
+        firsts = np.flatnonzero(np.append([True], pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)))
+        weights, ends = own.column("weight").to_numpy(), np.append(firsts[1:], len(place))
+        sums = np.empty((len(firsts), matrix.shape[1]))
+        at = 0
+        while at < len(firsts):  # some thousand rows of vectors at once
+            stop = max(at + 1, int(np.searchsorted(ends, firsts[at] + ROWS_AT_ONCE, side="right")))
+            part = slice(firsts[at], ends[stop - 1])
+            sums[at:stop] = np.add.reduceat(matrix[place[part]] * weights[part, None], firsts[at:stop] - firsts[at], axis=0)
+            at = stop
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)), pa.array(sums.ravel()))
+        return pa.table({"word": names.take(pa.array(firsts)), "embedding": rows})
+
+    parts = each.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(cell, "word string, embedding array<double>")
+    out = parts.groupBy("word").applyInArrow(_summed(["word", "embedding"]), "word string, embedding array<double>")
     if by_triples:
         n = slots.groupBy("word").agg(F.count("*").alias("n"))
-        out = out.join(n, "word").select("word", "dim", (F.col("value") / F.col("n")).alias("value"))
+        out = out.join(n, "word").select("word", F.transform("embedding", lambda x: x / F.col("n")).alias("embedding"))
     return out
 
 
-def embedding_arrays(flat: DataFrame) -> DataFrame:
-    return flat.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("embedding"))
+def word_embeddings(slots: DataFrame, vectors: DataFrame, aggregation: str = "sum", by_triples: bool = False) -> DataFrame:
+    """word, dim, value of embedding_arrays."""
+    return embedding_arrays(slots, vectors, aggregation, by_triples).select("word", F.posexplode("embedding").alias("dim", "value"))
+
+
+def _rows_of(logits: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and where each list begins; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(logits), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return logits.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _softplus(x: np.ndarray) -> np.ndarray:
+    """log(1 + exp(-x)), stable for large values of either sign."""
+    return np.log1p(np.exp(-np.abs(x))) + np.maximum(-x, 0)
+
+
+def _totals(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([[0.0], np.cumsum(values)])
+    return upto[bounds[1:]] - upto[bounds[:-1]]
+
+
+def row_loss(logits: Column, hits: Column, positive_weight: float) -> Column:
+    """Sum over a row's slots of the binary cross entropy: that of a row without hits, corrected at the few hits. logits: all slots in
+    order, hits: the different slots that are hit."""
 
+    @F.arrow_udf(returnType=DoubleType())
+    def run(x: pa.Array, h: pa.Array) -> pa.Array:
+        values, bounds = _rows_of(x)
+        slots, of = _rows_of(h)
+        none = _totals(values + _softplus(values), bounds)
+        at = values[(np.repeat(bounds[:-1], np.diff(of)) + slots).astype(np.int64)]
+        return pa.array(none + _totals(positive_weight * _softplus(at) - at - _softplus(at), of))
 
-def bce_term(x: Column, y: Column, positive_weight: float) -> Column:
-    """Binary cross entropy of a logit, stable for large ones."""
-    return (1.0 - y) * x + (1.0 + (positive_weight - 1.0) * y) * (F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0)))
+    return run(logits, hits)
 
 
-def loss(logits: DataFrame, hits: DataFrame, weights: DataFrame, positive_weight: float = 1.0, scale: float = 1.0) -> DataFrame:
+def loss(rows: DataFrame, hits: DataFrame, positive_weight: float = 1.0, scale: float = 1.0) -> DataFrame:
     """One row, loss: the mean over all (position, slot) pairs; slots without a hit count as 0, with no dense target made.
-    logits(seq, vocab_id, value), hits(seq, vocab_id, hits), weights(seq, loss_weight)."""
-    y = F.least(F.coalesce("hits", F.lit(0)), F.lit(1)).cast("double")  # least() passes over nulls
-    joined = logits.join(hits, ["seq", "vocab_id"], "left").join(weights, "seq")
-    return joined.agg((F.avg(bce_term(F.col("value"), y, positive_weight) * F.col("loss_weight")) * scale).alias("loss"))
-
-
-def activation_statistics(logits: DataFrame, weights: DataFrame) -> DataFrame:
-    """Mean activation of weighted positions, and for i = 0..10 how many activations exceed i / 10, over the sum of weights."""
-    a = 1.0 / (1.0 + F.exp(-F.col("value")))
-    total = weights.agg(F.sum("loss_weight").alias("w"))
-    kept = logits.join(weights.where("loss_weight > 0"), "seq").withColumn("a", a)
-    over = [F.sum((F.col("a") > i / 10).cast("bigint")).alias(f"n{i}") for i in range(11)]
-    return kept.agg(F.avg("a").alias("mean_activation"), *over).crossJoin(F.broadcast(total)).select("mean_activation", *[(F.col(f"n{i}") / F.col("w")).alias(f"over_{i}") for i in range(11)])
+    rows(seq, logits, loss_weight), hits(seq, vocab_id[, ...]): the logits stay in their rows, and only the slots that a row hits move."""
+    hit = hits.groupBy("seq").agg(F.collect_set(F.col("vocab_id").cast("int")).alias("hit"))
+    each = rows.join(hit, "seq", "left").select(F.coalesce("hit", F.array().cast("array<int>")).alias("hit"), "logits", "loss_weight")
+    sums = each.select((row_loss(F.col("logits"), F.col("hit"), positive_weight) * F.col("loss_weight")).alias("l"), F.size("logits").alias("n"))
+    return sums.agg((F.sum("l") / F.sum("n") * scale).alias("loss"))
+
+
+@F.arrow_udf(returnType=ArrayType(DoubleType()))
+def _activations(logits: pa.Array) -> pa.Array:
+    """For each row: sum of the activations, and how many exceed i / 10."""
+    values, bounds = _rows_of(logits)
+    a = 1 / (1 + np.exp(-values))
+    columns = [_totals(a, bounds), *[_totals((a > i / 10).astype(float), bounds) for i in range(11)]]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 12 * len(logits) + 1, 12, dtype=np.int32)), pa.array(np.stack(columns, axis=1).ravel()))
+
+
+def activation_statistics(rows: DataFrame) -> DataFrame:
+    """rows(seq, logits, loss_weight): mean activation of weighted positions, and for i = 0..10 how many activations exceed i / 10,
+    over the sum of all weights."""
+    shown = F.when(F.col("loss_weight") > 0, F.col("logits").cast("array<double>")).otherwise(F.array().cast("array<double>"))
+    each = rows.select(shown.alias("x"), "loss_weight").select("loss_weight", F.size("x").alias("n"), _activations(F.col("x")).alias("s"))
+    sums = each.agg(F.sum("loss_weight").alias("w"), F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(12)])
+    return sums.select((F.col("s0") / F.col("n")).alias("mean_activation"), *[(F.col(f"s{i + 1}") / F.col("w")).alias(f"over_{i}") for i in range(11)])
 
 
 def metric_means(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -9,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import SampleConfig
+from lexloom.functions.base import let
+from lexloom.functions.hashing import md5_mod
+from lexloom.sources.scratch import written
 
 #: largest index space for which the exact legacy permutation is made on the driver
 LEGACY_LIMIT = 5_000_000
@@ -50,9 +55,72 @@ def union_of_shards(shards: list[DataFrame]) -> DataFrame:
 
 
 def locate(indices: DataFrame, ranges: DataFrame, idx_col: str = "idx") -> DataFrame:
-    """The shard and local index of a global index."""
-    i = F.col(idx_col)
-    return indices.join(ranges, (i >= F.col("lo")) & (i < F.col("hi"))).select(*indices.columns, "shard", (i - F.col("lo")).alias("local_idx"))
+    """The shard and local index of a global index: an as-of join. Indices and starts of ranges are sorted together, each index takes
+    the last start before it, within its sorted range or, where there is none, from the ranges before; only one row
+    for each sorted range meets in a window. ranges(shard, lo, hi) do not overlap."""
+    kept = [c for c in indices.columns if c != idx_col]
+    at = F.struct("shard", "lo", "hi")
+    starts = ranges.select(F.col("lo").cast("bigint").alias("__key"), F.lit(0).alias("__kind"), F.col("hi").cast("bigint").alias("__hi"), at.alias("__range"), F.lit(None).cast(indices.select(F.struct(*kept) if kept else F.lit(0)).schema[0].dataType).alias("__row"))
+    asked = indices.select(F.col(idx_col).cast("bigint").alias("__key"), F.lit(1).alias("__kind"), F.lit(0).cast("bigint").alias("__hi"), F.lit(None).cast(starts.schema["__range"].dataType).alias("__range"), (F.struct(*kept) if kept else F.lit(0)).alias("__row"))
+    order = ["__key", "__kind", "__hi"]
+    line = starts.unionByName(asked).repartitionByRange(*order).sortWithinPartitions(*order)
+    line = written(line.withColumn("__at", F.monotonically_increasing_id()), "line").withColumn("__part", F.shiftright("__at", 33))
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = line.groupBy("__part").agg(F.max_by("__range", F.when(F.col("__kind") == 0, F.col("__at"))).alias("__end"))
+    before = ends.select("__part", F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    found = line.withColumn("__own", F.last("__range", ignorenulls=True).over(inside)).where("__kind = 1").join(before, "__part")
+    found = found.withColumn("r", F.coalesce("__own", "__before")).where(F.col("__key") < F.col("r.hi"))
+    columns = [F.col("__key").cast(indices.schema[idx_col].dataType).alias(idx_col) if c == idx_col else F.col("__row")[c].alias(c) for c in indices.columns]
+    return found.select(*columns, F.col("r.shard").alias("shard"), (F.col("__key") - F.col("r.lo")).alias("local_idx"))
+
+
+@dataclass(frozen=True)
+class Permutation:
+    """A keyed permutation of 0 to count - 1 by arithmetic, both ways: rounds of a Feistel network over a x b numbers, the least grid of nearly
+    equal sides that holds them; what falls outside is sent through again until it is inside. A new epoch is another key."""
+
+    count: int
+    seed: int
+    epoch: int = 0
+    rounds: int = 4
+
+    @property
+    def sides(self) -> tuple[int, int]:
+        a = max(1, math.isqrt(max(self.count - 1, 0)) + 1)
+        return a, max(1, -(-self.count // a))
+
+    def _round(self, k: int, x: Column, forward: bool) -> Column:
+        a, b = self.sides
+        left, right = F.floor(x / F.lit(b).cast("decimal(20,0)")).cast("bigint"), x % b
+        shift = lambda of, side: md5_mod(F.concat(F.lit(f"{self.seed}_{self.epoch}_{k}_"), of.cast("string")), side).cast("bigint")
+        sign = 1 if forward else -1
+        if k % 2:
+            return left * b + F.pmod(right + sign * shift(left, b), F.lit(b))
+        return F.pmod(left + sign * shift(right, a), F.lit(a)) * b + right
+
+    def _through(self, x: Column, forward: bool) -> Column:
+        def after(k: int, v: Column) -> Column:
+            if k == self.rounds:
+                return v
+            return let(self._round(k if forward else self.rounds - 1 - k, v, forward), lambda u: after(k + 1, u))
+
+        return after(0, x)
+
+    def _walk(self, x: Column, forward: bool) -> Column:
+        """Through the network until the number is inside: a few times at most as a rule, never more often than numbers are outside."""
+        a, b = self.sides
+        outside = a * b - self.count
+        once = self._through(x.cast("bigint"), forward)
+        if not outside:
+            return once
+        again = lambda v: F.aggregate(F.sequence(F.lit(1), F.lit(outside)), v, lambda u, _: F.when(u < self.count, u).otherwise(self._through(u, forward)))
+        return let(once, lambda v: F.when(v < self.count, v).otherwise(again(v)))
+
+    def slot(self, idx: Column) -> Column:
+        return self._walk(idx, True)
+
+    def index(self, slot: Column) -> Column:
+        return self._walk(slot, False)
 
 
 def dealt(slots: DataFrame, total: int, config: SampleConfig) -> DataFrame:

@@ -590,10 +590,8 @@ _LOGITS = "SELECT vec_id AS seq, unnest(range(len(embedding)))::INTEGER AS vocab
 
 def _loss_inputs(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    logits = decode.logits_of(rows, "vec_id", "embedding")
     hits = rows.select(F.col("vec_id").alias("seq"), F.explode(F.array(F.lit(1), F.lit(7))).alias("k")).select("seq", ((F.col("seq") * F.col("k")) % 64).cast("int").alias("vocab_id")).groupBy("seq", "vocab_id").agg(F.count("*").alias("hits"))
-    weights = rows.select(F.col("vec_id").alias("seq"), (F.col("label") % 2).cast("double").alias("loss_weight"))
-    return logits, hits, weights
+    return rows.select(F.col("vec_id").alias("seq"), F.col("embedding").alias("logits"), (F.col("label") % 2).cast("double").alias("loss_weight")), hits
 
 
 @query(
@@ -609,8 +607,7 @@ def weighted_loss(spark, sf_dir):
 SELECT round(avg(a), 6) AS mean_activation, {', '.join(f'round(sum((a > {i / 10})::INT) / any_value(s), 6) AS over_{i}' for i in range(11))} FROM a, s"""
 )
 def activation_statistics(spark, sf_dir):
-    logits, _, weights = _loss_inputs(spark, sf_dir)
-    out = metrics.activation_statistics(logits, weights)
+    out = metrics.activation_statistics(_loss_inputs(spark, sf_dir)[0])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -661,6 +658,25 @@ def hashed_permutation(spark, sf_dir):
     return sampling.hashed_permutation(table(spark, sf_dir, "documents"), "doc_id", 42)
 
 
+_STEP = """(SELECT l * b + (r + s3) % b FROM (SELECT l, r, b, {m3} AS s3 FROM (SELECT (l + s2) % a AS l, r, a, b FROM (SELECT l, r, a, b, {m2} AS s2 FROM (SELECT l, (r + s1) % b AS r, a, b FROM (SELECT l, r, a, b, {m1} AS s1
+FROM (SELECT (l + s0) % a AS l, r, a, b FROM (SELECT l, r, a, b, {m0} AS s0 FROM (SELECT x // b AS l, x % b AS r, a, b))))))))))"""
+_SHIFT = "(('0x' || md5('42_3_{k}_' || {of}))::UHUGEINT % {side})::BIGINT"
+_STEP = _STEP.format(**{f"m{k}": _SHIFT.format(k=k, of="l" if k % 2 else "r", side="b" if k % 2 else "a") for k in range(4)})
+
+
+@query(
+    f"""WITH RECURSIVE n AS (SELECT count(*) AS n, (floor(sqrt(count(*) - 1)) + 1)::BIGINT AS a FROM documents), g AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+s AS (SELECT x, {_STEP} AS y FROM (SELECT unnest(range(a * b)) AS x, a, b FROM g)),
+w(idx, x) AS (SELECT x, y FROM s, g WHERE x < n UNION ALL SELECT w.idx, s.y FROM w JOIN s ON s.x = w.x, g WHERE w.x >= n)
+SELECT idx, w.x AS slot, idx AS back FROM w, g WHERE w.x < n"""
+)
+def keyed_permutation(spark, sf_dir):
+    """Slots of all documents by arithmetic, and back: no sort, no shuffle, another key for another epoch."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"))
+    order = sampling.Permutation(docs.count(), 42, epoch=3)
+    return docs.withColumn("slot", order.slot(F.col("idx"))).withColumn("back", order.index(F.col("slot")))
+
+
 @query()
 def legacy_permutation(spark, sf_dir):
     return sampling.legacy_permutation(spark, table(spark, sf_dir, "documents").count(), 42)

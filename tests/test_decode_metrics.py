@@ -61,24 +61,46 @@ def test_generated_texts_and_echo(spark):
     assert [(r.word, r.log_prob) for r in decode.echoed(prompt, scored, ["s"]).orderBy("pos").collect()] == [("so", None), ("it", -0.5)]
 
 
-def test_embeddings(spark):
-    slots = spark.createDataFrame([("w", 1, [0, 1]), ("w", 2, [1, 2])], "word string, triple_id int, slots array<int>")
+@pytest.mark.parametrize("blocks", [(1, 1), (2, 2), (4096, 50_000)])
+def test_embeddings(spark, monkeypatch, blocks):
+    monkeypatch.setattr(metrics, "SLOT_BLOCK", blocks[0])
+    monkeypatch.setattr(metrics, "WORD_BLOCK", blocks[1])
+    monkeypatch.setattr(metrics, "ROWS_AT_ONCE", 2)
+    rows = [("w", 1, [0, 1]), ("w", 2, [1, 2]), ("v", 1, [0, 1]), ("u", 7, [2, 2, 1])]
+    slots = spark.createDataFrame(rows, "word string, triple_id int, slots array<int>")
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "vocab_id int, embedding array<double>")
-    flat = metrics.word_embeddings(slots, vectors)
-    assert metrics.embedding_arrays(flat).first().embedding == [4.0, 4.0]
-    assert metrics.embedding_arrays(metrics.word_embeddings(slots, vectors, "mean", True)).first().embedding == [1.0, 1.0]
+    got = {r.word: r.embedding for r in metrics.embedding_arrays(slots, vectors).collect()}
+    assert got == {"w": [4.0, 4.0], "v": [1.0, 2.0], "u": [5.0, 3.0]}
+    assert {r.word: r.embedding for r in metrics.embedding_arrays(slots.where("word = 'w'"), vectors, "mean", True).collect()} == {"w": [1.0, 1.0]}
+    assert sorted((r.word, r.dim, r.value) for r in metrics.word_embeddings(slots.where("word = 'v'"), vectors).collect()) == [("v", 0, 1.0), ("v", 1, 2.0)]
+    assert metrics.embedding_arrays(slots.where("false"), vectors).count() == 0
 
 
 def test_loss_counts_missing_hits_as_zero(spark):
-    logits = spark.createDataFrame([(0, 0, 2.0), (0, 1, -1.0)], "seq int, vocab_id int, value double")
-    hits = spark.createDataFrame([(0, 0, 3)], "seq int, vocab_id int, hits bigint")
-    weights = spark.createDataFrame([(0, 1.0)], "seq int, loss_weight double")
+    rows = spark.createDataFrame([(0, [2.0, -1.0], 1.0)], "seq int, logits array<double>, loss_weight double")
+    hits = spark.createDataFrame([(0, 0, 3), (9, 1, 1)], "seq int, vocab_id int, hits bigint")
     want = 0.5 * (2 * math.log1p(math.exp(-2)) + math.log1p(math.exp(-1)))
-    assert metrics.loss(logits, hits, weights, positive_weight=2.0).first().loss == pytest.approx(want)
-    stats = metrics.activation_statistics(logits, weights).first()
+    assert metrics.loss(rows, hits, positive_weight=2.0).first().loss == pytest.approx(want)
+    stats = metrics.activation_statistics(rows).first()
     assert stats.over_0 == 2 and stats.over_5 == 1 and stats.over_10 == 0
 
 
+def test_loss_against_dense_targets(spark):
+    rng = np.random.RandomState(2)
+    x, w = rng.standard_normal((40, 30)) * np.geomspace(0.1, 300, 40)[:, None], rng.rand(40) * (rng.rand(40) > 0.3)
+    y = rng.rand(40, 30) < 0.1
+    rows = spark.createDataFrame([(i, x[i].tolist(), float(w[i])) for i in range(40)], "seq int, logits array<double>, loss_weight double").repartition(3)
+    hits = spark.createDataFrame([(int(i), int(j), 2) for i, j in zip(*np.nonzero(y))] * 2, "seq int, vocab_id int, hits bigint")
+    each = (1 - y) * x + (1 + 2.0 * y) * (np.log1p(np.exp(-np.abs(x))) + np.maximum(-x, 0))
+    got = metrics.loss(rows, hits, positive_weight=3.0, scale=7.0)
+    assert got.first().loss == pytest.approx((each * w[:, None]).mean() * 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Generate") == 0  # no row for each logit
+    a = 1 / (1 + np.exp(-x[w > 0]))
+    stats = metrics.activation_statistics(rows).first()
+    assert stats.mean_activation == pytest.approx(a.mean()) and stats.over_3 == pytest.approx((a > 0.3).sum() / w.sum())
+
+
 def test_metric_means(spark):
     df = spark.createDataFrame([("l", 0, 0, 1.0), ("l", 0, 0, 3.0), ("l", 0, 1, 6.0), ("m", 0, 0, None), ("m", 0, 1, 4.0)], "name string, step int, rank int, value double")
     assert {r.name: r.value for r in metrics.metric_means(df).collect()} == {"l": 4.0, "m": 0.0}

@@ -142,3 +142,36 @@ def test_union_of_shards(spark):
     shards = [spark.range(2), spark.range(3)]
     got = sampling.union_of_shards(shards)
     assert sorted((r.shard, r.id) for r in got.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]
+
+
+def test_as_of_join_over_many_shards(spark):
+    rng = random.Random(8)
+    sizes = [(f"s{i:05d}", rng.choice([0, 0, 1, 2, 30])) for i in range(2000)]
+    ranges = sampling.shard_ranges(spark.createDataFrame(sizes, "shard string, n bigint"))
+    total = sum(n for _, n in sizes)
+    idx = [*range(-2, total + 3), 5, 5]
+    got = sampling.locate(spark.createDataFrame([(i, f"x{i}") for i in idx], "idx bigint, tag string"), ranges)
+    want, at = [], 0
+    for s, n in sizes:
+        want += [(at + k, f"x{at + k}", s, k) for k in range(n)]
+        at += n
+    want += [w for w in want if w[0] == 5] * 2
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sampling.locate(spark.range(4).toDF("idx"), ranges.where("false")).count() == 0
+    assert sampling.locate(spark.range(4).toDF("idx"), ranges).columns == ["idx", "shard", "local_idx"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 12, 97, 1000, 1023])
+def test_keyed_permutation(spark, n):
+    order = sampling.Permutation(n, 5)
+    df = spark.range(n).select("id", order.slot(F.col("id")).alias("s")).withColumn("back", order.index(F.col("s")))
+    rows = df.collect()
+    assert sorted(r.s for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    if n >= 97:
+        other = spark.range(n).select(sampling.Permutation(n, 5, epoch=1).slot(F.col("id")).alias("s")).collect()
+        same = sum(a.s == b.s for a, b in zip(rows, other))
+        assert same < 10 and sum(r.s == r.id for r in rows) < 10
+        assert abs(sum(abs(r.s - r.id) for r in rows) / n - n / 3) < n / 8  # as far as chance would move them
