@@ -52,16 +52,13 @@ def sample(term: Column, log_weights: list[Column], k: Column) -> list[Column]:
     return out
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
 def signatures(rows: DataFrame, keys: list[str], text_cols: list[str], samples: int) -> DataFrame:
     """keys and, for each text column, `print` and its number: an array of `samples` 15-bit integers, null without words; no
     row where no text has words. Where rows are dealt by some of the keys already, nothing is shuffled."""
     sides = range(len(text_cols))
     texts = rows.select(*keys, F.posexplode(F.array(*text_cols)).alias("side", "t"))
-    words = texts.select(*keys, "side", F.explode(words_of(F.col("t"))).alias("w")).select(*keys, "side", F.xxhash64("w").alias("term"))
+    # the empty word at the start or end of a text goes as a row: a filter inside the array would be interpreted
+    words = texts.select(*keys, "side", F.explode(F.split(F.lower("t"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").select(*keys, "side", F.xxhash64("w").alias("term"))
     # a weight of 0 has no logarithm: null, which min() passes over
     weighted = words.groupBy(*keys, "term").agg(*[F.ln(F.sum((F.col("side") == i).cast("bigint")).cast("double")).alias(f"w{i}") for i in sides])
     groups = F.explode(F.array(*[F.lit(i) for i in range(0, samples, WIDTH)])).alias("g")
