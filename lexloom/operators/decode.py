@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import SplitConfig
 from lexloom.functions.words import words_to_text
 from lexloom.operators.encode import slots_of_words
+from lexloom.sources.scratch import written
 
 
 def logits_of(df: DataFrame, seq_col: str, array_col: str) -> DataFrame:
@@ -22,8 +21,8 @@ def logits_of(df: DataFrame, seq_col: str, array_col: str) -> DataFrame:
     return df.select(F.col(seq_col).alias("seq"), F.posexplode(array_col).alias("vocab_id", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-#: words whose slots are sent to tasks at once
-RANGE = 200_000
+#: words of a block of the dictionary, and rows of a block of logits: what a task holds of either
+WORD_BLOCK, ROW_BLOCK = 50_000, 512
 
 
 @dataclass(frozen=True)
@@ -58,8 +57,8 @@ class _Range:
         return out if digits is None else np.round(out, digits)
 
 
-def _ranges(dictionary: DataFrame, config: SplitConfig, blacklist: DataFrame | None) -> Iterator[_Range]:
-    """The dictionary (word_idx, word) with its slots, RANGE words at a time."""
+def _blocks(dictionary: DataFrame, config: SplitConfig, blacklist: DataFrame | None) -> DataFrame:
+    """The dictionary (word_idx, word) with its slots, one row for each WORD_BLOCK numbers: wb, list in order of word_idx."""
     words = dictionary.select("word_idx", "word")
     hidden = blacklist.select("word").distinct().withColumn("hidden", F.lit(True)) if blacklist is not None else None
     marked = words.join(hidden, "word", "left") if hidden is not None else words.withColumn("hidden", F.lit(None).cast("boolean"))
@@ -67,56 +66,51 @@ def _ranges(dictionary: DataFrame, config: SplitConfig, blacklist: DataFrame | N
     each = triples.select("word", F.explode("slots").alias("vocab_id"), "is_edge").groupBy("word").agg(F.sort_array(F.collect_set(F.struct("is_edge", "vocab_id"))).alias("s"))
     sized = triples.groupBy("word").agg(F.count("*").alias("t")).join(each, "word")
     whole = marked.join(sized, "word").select("word_idx", "word", "t", F.col("hidden").isNull().alias("shown"), F.col("s.vocab_id").alias("slots"), F.col("s.is_edge").alias("edges"))
-    last = words.agg(F.max("word_idx")).first()[0]
-    several = last is not None and last >= RANGE
-    whole = whole.persist(StorageLevel.DISK_ONLY) if several else whole
-    for lo in range(0, (last if last is not None else -1) + 1, RANGE):
-        part = (whole.where((F.col("word_idx") >= lo) & (F.col("word_idx") < lo + RANGE)) if several else whole).toArrow().combine_chunks().sort_by("word_idx")
-        if not part.num_rows:
-            continue
-        lists = part.column("slots").combine_chunks()
-        edges = part.column("edges").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        yield _Range(
-            part.column("word_idx").to_numpy(), part.column("word").to_pylist(), part.column("t").to_numpy().astype(float), part.column("shown").to_numpy().astype(bool),
-            lists.flatten().to_numpy(), np.where(edges, config.word_edge_weight, 1.0), lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py(),
-        )
-    if several:
-        whole.unpersist()
-
-
-PARTS = "top array<struct<score:double,word_idx:int,word:string>>, best double, total double, target double"
-
-
-def _part(part: _Range, config: SplitConfig, k: int, digits: int | None):
-    """Of each row (seq, logits, target_idx): its k best words of the range, the greatest score with the sum of exp(score -
-    greatest), and the target's score if it is of the range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                logits = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-                score = part.scores(1 / (1 + np.exp(-logits)), config, digits)
-                there = ~np.isnan(score)
-                best = np.where(there, score, -np.inf).max(axis=1)
-                total = np.where(there, np.exp(np.where(there, score, 0) - np.where(np.isfinite(best), best, 0)[:, None]), 0).sum(axis=1)
-                tops = []
-                for row in np.where(there, score, -np.inf)[:, part.shown]:
-                    if len(row) > k:  # all that tie with the k-th
-                        chosen = np.flatnonzero(row >= np.partition(row, -k)[-k])
-                    else:
-                        chosen = np.arange(len(row))
-                    chosen = chosen[np.lexsort((chosen, -row[chosen]))][:k]
-                    at_ = np.flatnonzero(part.shown)[chosen]
-                    tops.append([{"score": float(row[c]) if np.isfinite(row[c]) else None, "word_idx": int(part.idx[i]), "word": part.words[i]} for c, i in zip(chosen, at_)])
-                wanted = batch.column(2).fill_null(-1).to_numpy()
-                place = np.minimum(np.searchsorted(part.idx, wanted), len(part.idx) - 1)
-                found = part.idx[place] == wanted
-                target = np.where(found, score[np.arange(len(score)), place], np.nan)
-                kind = pa.list_(pa.struct([("score", pa.float64()), ("word_idx", pa.int32()), ("word", pa.string())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(tops, kind), pa.array(best), pa.array(total), pa.array(target, mask=np.isnan(target))], ["seq", "top", "best", "total", "target"]
-                )
+    return whole.groupBy(F.expr(f"word_idx div {WORD_BLOCK}").alias("wb")).agg(F.sort_array(F.collect_list(F.struct("word_idx", "word", "t", "shown", "slots", "edges"))).alias("list"))
+
+
+def _range_of(block: pa.ListArray, config: SplitConfig) -> _Range:
+    part = dict(zip(("idx", "word", "t", "shown", "slots", "edges"), block.flatten().flatten()))
+    edges, slots = part["edges"].flatten().to_numpy(zero_copy_only=False), part["slots"]
+    return _Range(
+        part["idx"].to_numpy(), part["word"].to_pylist(), part["t"].to_numpy().astype(float), part["shown"].to_numpy(zero_copy_only=False).astype(bool),
+        slots.flatten().to_numpy(), np.where(edges, config.word_edge_weight, 1.0), np.concatenate([[0], np.cumsum(pc.list_value_length(slots).to_numpy())[:-1]]).astype(np.int64),
+    )
+
+
+KIND = pa.list_(pa.struct([("score", pa.float64()), ("word_idx", pa.int32()), ("word", pa.string())]))
+TOP = "top array<struct<score:double,word_idx:int,word:string>>"
+
+
+def _cell(config: SplitConfig, k: int, digits: int | None):
+    """Of each row (seq, logits, target_idx) of a block: its k best words of a block of the dictionary, the greatest score with the sum of
+    exp(score - greatest), and the target's score if it is of the block."""
+
+    def run(rows: pa.Table, block: pa.Table) -> pa.Table:
+        made = {"seq": [], "top": [], "best": [], "total": [], "target": []}
+        part = _range_of(block.column("list").combine_chunks(), config) if block.num_rows and rows.num_rows else None
+        shown = np.flatnonzero(part.shown) if part else None
+        for at in range(0, rows.num_rows if part else 0, 64):
+            batch = rows.slice(at, 64)
+            logits = np.array(batch.column("logits").to_pylist(), float).reshape(batch.num_rows, -1)
+            score = part.scores(1 / (1 + np.exp(-logits)), config, digits)
+            there = ~np.isnan(score)
+            lowest = np.where(there, score, -np.inf)
+            best = lowest.max(axis=1)
+            total = np.where(there, np.exp(np.where(there, score, 0) - np.where(np.isfinite(best), best, 0)[:, None]), 0).sum(axis=1)
+            for row in lowest[:, shown]:
+                chosen = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))  # all that tie with the k-th
+                chosen = chosen[np.lexsort((chosen, -row[chosen]))][:k]
+                made["top"].append([{"score": float(row[c]) if np.isfinite(row[c]) else None, "word_idx": int(part.idx[i]), "word": part.words[i]} for c, i in zip(chosen, shown[chosen])])
+            wanted = batch.column("target_idx").combine_chunks().fill_null(-1).to_numpy()
+            place = np.minimum(np.searchsorted(part.idx, wanted), len(part.idx) - 1)
+            target = np.where(part.idx[place] == wanted, score[np.arange(len(score)), place], np.nan)
+            made["seq"] += batch.column("seq").to_pylist()
+            made["best"] += best.tolist()
+            made["total"] += total.tolist()
+            made["target"] += [None if np.isnan(t) else float(t) for t in target]
+        kinds = {"seq": rows.schema.field("seq").type, "top": KIND, "best": pa.float64(), "total": pa.float64(), "target": pa.float64()}
+        return pa.table({n: pa.array(made[n], kind) for n, kind in kinds.items()})
 
     return run
 
@@ -124,17 +118,18 @@ def _part(part: _Range, config: SplitConfig, k: int, digits: int | None):
 def decoded(rows: DataFrame, dictionary: DataFrame, config: SplitConfig, k: int, blacklist: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """rows(seq, logits[, target_idx]): seq, top (the k best words with score and word_idx, ties by word_idx), log_total (the
     logarithm of the sum of exp(score) over all words) and target (the score of target_idx). Words of blacklist(word) are
-    passed over in the top. Each task holds the logits of some rows and a range of the dictionary; what a range finds is a
-    few numbers for each row, which are merged by row. Scores are rounded to `digits` before anything else, if given."""
+    passed over in the top. Rows and dictionary are dealt to a grid of blocks; a task holds one block of either, and what a cell
+    finds is a few numbers for each row, which are merged by row. Scores are rounded to `digits` before anything else, if given."""
     target = F.col("target_idx").cast("int") if "target_idx" in rows.columns else F.lit(None).cast("int")
-    slim = rows.select("seq", F.col("logits").cast("array<double>").alias("logits"), target.alias("target_idx"))
-    schema = f"seq {slim.schema['seq'].dataType.simpleString()}, {PARTS}"
-    parts = [slim.mapInArrow(_part(part, config, k, digits), schema) for part in _ranges(dictionary, config, blacklist)]
-    if not parts:
-        return slim.sparkSession.createDataFrame([], f"seq {slim.schema['seq'].dataType.simpleString()}, top array<struct<score:double,word_idx:int,word:string>>, log_total double, target double")
-    if len(parts) == 1:
-        return parts[0].select("seq", "top", (F.col("best") + F.log("total")).alias("log_total"), "target")
-    together = reduce(DataFrame.unionByName, parts).groupBy("seq").agg(F.flatten(F.collect_list("top")).alias("all"), F.max("best").alias("m"), F.collect_list(F.struct("best", "total")).alias("e"), F.max("target").alias("target"))
+    across = max(1, -(-rows.count() // ROW_BLOCK))
+    words = written(dictionary.select("word_idx", "word"), "dictionary")
+    down = (words.agg(F.max("word_idx")).first()[0] or 0) // WORD_BLOCK + 1
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slim = rows.select("seq", F.col("logits").cast("array<double>").alias("logits"), target.alias("target_idx"), F.pmod(F.xxhash64("seq"), F.lit(across)).cast("int").alias("rb"), all_of(down).alias("wb"))
+    blocks = _blocks(words, config, blacklist).select(F.col("wb").cast("int").alias("wb"), "list", all_of(across).alias("rb"))
+    schema = f"seq {slim.schema['seq'].dataType.simpleString()}, {TOP}, best double, total double, target double"
+    parts = slim.groupBy("rb", "wb").cogroup(blocks.groupBy("rb", "wb")).applyInArrow(_cell(config, k, digits), schema)
+    together = parts.groupBy("seq").agg(F.flatten(F.collect_list("top")).alias("all"), F.max("best").alias("m"), F.collect_list(F.struct("best", "total")).alias("e"), F.max("target").alias("target"))
     ordered = F.array_sort("all", lambda a, b: F.when(a["score"].eqNullSafe(b["score"]), a["word_idx"] - b["word_idx"]).when(a["score"].isNull() | (a["score"] < b["score"]), 1).otherwise(-1))
     total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["best"] - F.col("m")))
     return together.select("seq", F.slice(ordered, 1, k).alias("top"), (F.col("m") + F.log(total)).alias("log_total"), "target")

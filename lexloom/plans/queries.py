@@ -14,7 +14,7 @@ from lexloom.functions import hashing, triples
 from lexloom.functions.words import expand_runs, text_to_words, words_to_text
 from lexloom.operators import chat, decode, encode, metrics, pack, sampling, tokenizer, vocabulary
 from lexloom.plans import sql
-from lexloom.sources import corpus, shard_files
+from lexloom.sources import corpus, dictionary_store, shard_files
 from lexloom.sources.scratch import scratch_dir
 from lexloom.streaming import ingest
 
@@ -231,6 +231,27 @@ def packed_record_range(spark, sf_dir):
     return _as_records(spark, sf_dir).where("record_id >= 5 and record_id < 9")
 
 
+@query(f"SELECT shard, max(record_id) AS records FROM ({_CHUNKS}) GROUP BY shard")
+def packed_record_counts(spark, sf_dir):
+    return pack.record_counts(_as_records(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS documents FROM documents GROUP BY source")
+def materialised_once(spark, sf_dir):
+    """A table kept under a name made of its parameters: asked for twice, built once."""
+    base, built = _new_folder(spark, "kept"), []
+
+    def build():
+        built.append(1)
+        return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"))
+
+    corpus.materialised(spark, base, {"by": "source"}, build)
+    out = corpus.materialised(spark, base, {"by": "source"}, build)
+    if len(built) != 1:
+        raise ValueError("built twice")
+    return out
+
+
 def _ingested(spark, sf_dir):
     """Shards of each source in two generations, taken in by a query of its own each: the second goes on where the first stopped."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -281,6 +302,18 @@ def chat_prompts(spark, sf_dir):
 # ---- encodings
 
 
+_MASK_LENGTH = 64
+
+
+@query(
+    f"""WITH n AS (SELECT conv_id, turn, len(w)::INTEGER AS n FROM ({sql.words("conversations", "conv_id, turn", "text")}) WHERE len(w) > 0)
+SELECT conv_id, turn, unnest(range(greatest(n, {_MASK_LENGTH})))::INTEGER AS pos, 0 AS key_start, CASE WHEN pos < n THEN pos + 1 ELSE 0 END AS key_end FROM n"""
+)
+def inference_mask_spans(spark, sf_dir):
+    rows = encode.word_rows(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", PLAIN, False)
+    return encode.causal_spans(rows, ["conv_id", "turn"], _MASK_LENGTH)
+
+
 _SHIFTED = "SELECT conv_id, turn, unnest(range(len(w) - 1))::INTEGER AS pos, unnest(w[1:len(w) - 1]) AS word, unnest(w[2:len(w)]) AS target FROM ({}) WHERE len(w) > 1"
 _ROWS = _SHIFTED.format(_TURN_WORDS)
 
@@ -324,6 +357,16 @@ def slot_hits(spark, sf_dir):
     return hits.groupBy("vocab_id").agg(F.sum("hits").alias("hits"), F.sum(F.least("hits", F.lit(1).cast("bigint"))).alias("positions"))
 
 
+_LAST_EDGE = f"(SELECT t % 256 = 32 OR t // 65536 = 32 FROM (SELECT list_max({sql.triple_ids('target')}) AS t))"
+
+
+@query(f"SELECT conv_id, turn, pos, target, CASE WHEN NOT contains(target, '<|') AND {_LAST_EDGE} THEN 0.25 ELSE 1.0 END::DOUBLE AS loss_weight FROM ({_ROWS}) WHERE pos < 2048")
+def edge_weighted_rows(spark, sf_dir):
+    config = SplitConfig(vocab_size=32_000, slots=4, word_edge_weight=0.25)
+    rows = tokenizer.encode_training(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", config)
+    return tokenizer.edge_weighted(rows, config).select("conv_id", "turn", "pos", "target", "loss_weight")
+
+
 _EOT_WORDS = f"SELECT conv_id, flatten(list(list_append(w, '{EOT}') ORDER BY turn)) AS w FROM ({_TURN_WORDS}) GROUP BY conv_id"
 _EOT_FLAGS = f"SELECT conv_id, unnest(range(len(w) - 1))::INTEGER AS pos, unnest(w[2:len(w)]) = '{EOT}' AS is_eot FROM ({_EOT_WORDS})"
 _SEGMENTS = f"SELECT conv_id, pos, coalesce(sum(is_eot::INT) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM ({_EOT_FLAGS}) WHERE pos < {LENGTH}"
@@ -473,15 +516,46 @@ def dictionary_job(spark, sf_dir):
     return vocabulary.generated_dictionary([vocabulary.word_counts(_words(spark, sf_dir, n)) for n in ("documents", "benchmark")])
 
 
-@query(f"SELECT t.word, t.n, r.word_idx FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM ({_TURN_WORDS})) GROUP BY word) t LEFT JOIN ({_RANK.format(_ITEM_COUNTS)}) r ON r.word = t.word")
+@query(f"SELECT word, sum(count)::BIGINT AS count FROM ({_COUNTS} UNION ALL {_ITEM_COUNTS}) GROUP BY word")
+def loaded_counters(spark, sf_dir):
+    """Counters of two tables, kept as files and loaded together."""
+    paths = [_new_folder(spark, "counter") for _ in range(2)]
+    for path, name in zip(paths, ("documents", "benchmark")):
+        vocabulary.word_counts(_words(spark, sf_dir, name)).write.parquet(path)
+    return dictionary_store.load_counts(spark, *paths)
+
+
+_TURN_COUNTS = f"SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM ({sql.words('conversations', 'conv_id, turn', 'text')})) GROUP BY word"
+
+
+@query(f"SELECT word_idx, word FROM ({_RANK.format(_TURN_COUNTS)})")
+def saved_dictionary(spark, sf_dir):
+    """A dictionary made of counts, saved with its slots and configuration, and loaded again."""
+    counts = vocabulary.word_counts(_words(spark, sf_dir, "conversations"))
+    config, words, slots = dictionary_store.from_words(counts, PLAIN, _new_folder(spark, "dictionary"))
+    if config != PLAIN or slots.isEmpty():
+        raise ValueError("the dictionary did not come back")
+    return words.select("word_idx", "word")
+
+
+@query(f"WITH vocab AS ({_ALL_WORDS}), {_WORD_ROWS} SELECT triple_id, array_to_string(slots, ',') AS slots FROM made")
+def cached_triple_slots(spark, sf_dir):
+    """Slots of triples kept as a table: of the benchmark's first, then of the documents', of which only new ones are made."""
+    path = _new_folder(spark, "triples")
+    ids = lambda name: _words(spark, sf_dir, name).distinct().select(F.explode(F.transform(triples.triples(F.col("word")), triples.triple_to_id)).alias("triple_id"))
+    dictionary_store.triple_table(ids("benchmark"), PLAIN, path)
+    return dictionary_store.triple_table(ids("documents"), PLAIN, path).select("triple_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"))
+
+
+@query(f"SELECT t.word, t.n, r.word_idx FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM ({_TURN_WORDS})) GROUP BY word) t LEFT JOIN ({_RANK.format(_COUNTS)}) r ON r.word = t.word")
 def word_index_lookup(spark, sf_dir):
     words = encode.word_rows(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", PLAIN, True).groupBy("word").agg(F.count("*").alias("n"))
-    return vocabulary.word_to_index(words, vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "benchmark")))).select("word", "n", "word_idx")
+    return vocabulary.word_to_index(words, vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "documents")))).select("word", "n", "word_idx")
 
 
-@query(f"WITH r AS ({_RANK.format(_ITEM_COUNTS)}) SELECT word_idx, word FROM r WHERE word_idx < 500")
+@query(f"WITH r AS ({_RANK.format(_COUNTS)}) SELECT word_idx, word FROM r WHERE word_idx < 500")
 def truncated_dictionary(spark, sf_dir):
-    return vocabulary.truncated(vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "benchmark"))), 500).select("word_idx", "word")
+    return vocabulary.truncated(vocabulary.ranked(vocabulary.word_counts(_words(spark, sf_dir, "documents"))), 500).select("word_idx", "word")
 
 
 @query(
@@ -560,6 +634,12 @@ def classic_decode_top3(spark, sf_dir):
     return decode.classic_decode(_logits(spark, sf_dir), 3).withColumn("log_prob", F.round("log_prob", 6))
 
 
+@query("SELECT seq, 1 AS rank, vocab_id, round(v - m - ln(e), 6) AS log_prob FROM (SELECT *, max(v) OVER (PARTITION BY seq) AS m, sum(exp(v)) OVER (PARTITION BY seq) / exp(max(v) OVER (PARTITION BY seq)) AS e, row_number() OVER (PARTITION BY seq ORDER BY v DESC, vocab_id) AS i FROM (SELECT vec_id AS seq, unnest(range(len(embedding)))::INTEGER AS vocab_id, unnest(embedding)::DOUBLE AS v FROM embeddings)) WHERE i = 1")
+def dispatched_decode(spark, sf_dir):
+    """Greedy picks through the one entry for both tokenizations, here the plain one."""
+    return tokenizer.decode_rows(_logits(spark, sf_dir), SplitConfig(classic=True), 1).withColumn("log_prob", F.round("log_prob", 6))
+
+
 @query(
     f"""WITH r AS (SELECT conv_id, turn, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM ({_TURN_WORDS})), e AS (SELECT conv_id, turn, min(pos) AS e FROM r WHERE word = '.' GROUP BY ALL)
 SELECT conv_id, turn, pos, word FROM r LEFT JOIN e USING (conv_id, turn) WHERE e IS NULL OR pos < e"""
@@ -659,7 +739,7 @@ def hashed_permutation(spark, sf_dir):
 
 
 _STEP = """(SELECT l * b + (r + s3) % b FROM (SELECT l, r, b, {m3} AS s3 FROM (SELECT (l + s2) % a AS l, r, a, b FROM (SELECT l, r, a, b, {m2} AS s2 FROM (SELECT l, (r + s1) % b AS r, a, b FROM (SELECT l, r, a, b, {m1} AS s1
-FROM (SELECT (l + s0) % a AS l, r, a, b FROM (SELECT l, r, a, b, {m0} AS s0 FROM (SELECT x // b AS l, x % b AS r, a, b))))))))))"""
+FROM (SELECT (l + s0) % a AS l, r, a, b FROM (SELECT l, r, a, b, {m0} AS s0 FROM (SELECT x // b AS l, x % b AS r, a, b)))))))))"""
 _SHIFT = "(('0x' || md5('42_3_{k}_' || {of}))::UHUGEINT % {side})::BIGINT"
 _STEP = _STEP.format(**{f"m{k}": _SHIFT.format(k=k, of="l" if k % 2 else "r", side="b" if k % 2 else "a") for k in range(4)})
 

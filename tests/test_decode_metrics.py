@@ -11,7 +11,8 @@ from lexloom.operators import decode, metrics, vocabulary
 @pytest.mark.parametrize("words_at_once", [1, 2, 100])
 def test_scores_against_numpy(spark, monkeypatch, words_at_once):
     # "twin" and "niwt" have no triple in common; a word that fills the vocabulary has no score
-    monkeypatch.setattr(decode, "RANGE", words_at_once)
+    monkeypatch.setattr(decode, "WORD_BLOCK", words_at_once)
+    monkeypatch.setattr(decode, "ROW_BLOCK", 20 * words_at_once)
     c = SplitConfig(vocab_size=48, slots=3, word_edge_weight=0.5)
     names = ["ab", "hello", "<|ws|>", "twin", "niwt", "x" * 2 + "abcdefghijklmn", "same"]
     words = spark.createDataFrame(list(enumerate(names)), "word_idx int, word string")
