@@ -738,15 +738,17 @@ def hashed_permutation(spark, sf_dir):
     return sampling.hashed_permutation(table(spark, sf_dir, "documents"), "doc_id", 42)
 
 
-_STEP = """(SELECT l * b + (r + s3) % b FROM (SELECT l, r, b, {m3} AS s3 FROM (SELECT (l + s2) % a AS l, r, a, b FROM (SELECT l, r, a, b, {m2} AS s2 FROM (SELECT l, (r + s1) % b AS r, a, b FROM (SELECT l, r, a, b, {m1} AS s1
-FROM (SELECT (l + s0) % a AS l, r, a, b FROM (SELECT l, r, a, b, {m0} AS s0 FROM (SELECT x // b AS l, x % b AS r, a, b)))))))))"""
-_SHIFT = "(('0x' || md5('42_3_{k}_' || {of}))::UHUGEINT % {side})::BIGINT"
-_STEP = _STEP.format(**{f"m{k}": _SHIFT.format(k=k, of="l" if k % 2 else "r", side="b" if k % 2 else "a") for k in range(4)})
+def _shift(k: int, of: str, side: str) -> str:
+    return f"(('0x' || md5('42_3_{k}_' || {of}))::UHUGEINT % {side}::UHUGEINT)::BIGINT"
 
 
 @query(
     f"""WITH RECURSIVE n AS (SELECT count(*) AS n, (floor(sqrt(count(*) - 1)) + 1)::BIGINT AS a FROM documents), g AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
-s AS (SELECT x, {_STEP} AS y FROM (SELECT unnest(range(a * b)) AS x, a, b FROM g)),
+x0 AS (SELECT x, x // b AS l, x % b AS r, a, b FROM (SELECT unnest(range(a * b)) AS x, a, b FROM g)),
+x1 AS (SELECT x, (l + {_shift(0, 'r', 'a')}) % a AS l, r, a, b FROM x0),
+x2 AS (SELECT x, l, (r + {_shift(1, 'l', 'b')}) % b AS r, a, b FROM x1),
+x3 AS (SELECT x, (l + {_shift(2, 'r', 'a')}) % a AS l, r, a, b FROM x2),
+s AS (SELECT x, l * b + (r + {_shift(3, 'l', 'b')}) % b AS y FROM x3),
 w(idx, x) AS (SELECT x, y FROM s, g WHERE x < n UNION ALL SELECT w.idx, s.y FROM w JOIN s ON s.x = w.x, g WHERE w.x >= n)
 SELECT idx, w.x AS slot, idx AS back FROM w, g WHERE w.x < n"""
 )
