@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named (tests)."""
+    """The shared folder the cluster names; a local one only where none is named and all tasks run in this machine's one JVM (tests)."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lexloom-{spark.sparkContext.applicationId}"

@@ -156,3 +156,24 @@ def test_stream(spark, docs, tmp_path):
     q = word_stream.start_corpus_ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_shared_folder_has_to_be_named():
+    """Only a local session may fall back to a folder of this machine."""
+    from lexloom.sources.scratch import scratch_dir
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf()
+            self.sparkContext = type("Context", (), {"applicationId": "a", "getConf": lambda _: {"spark.master": master}})()
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="share"):
+            scratch_dir(Session(master))
+    for master in ("local", "local[4]", "local[*]"):
+        session = Session(master)
+        assert scratch_dir(session) == f"{session.conf['spark.checkpoint.dir']}/lexloom-a"
