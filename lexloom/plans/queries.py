@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.config import SampleConfig, ScheduleConfig, SplitConfig
+from lexloom.config import PackConfig, SampleConfig, ScheduleConfig, SplitConfig
 from lexloom.functions import hashing, triples
 from lexloom.functions.words import expand_runs, text_to_words, words_to_text
 from lexloom.operators import chat, decode, encode, metrics, pack, sampling, tokenizer, vocabulary
@@ -117,6 +117,7 @@ _EXPANDED = "list_sum(list_transform(w, lambda x: CASE WHEN regexp_full_match(x,
 
 @query(f"SELECT doc_id, array_to_string(w, ' ') AS words, {_EXPANDED} AS n_expanded FROM ({sql.words('documents', 'doc_id', _RUN_TEXT)})")
 def run_tokens(spark, sf_dir):
+    """The tables hold no runs of blanks, so texts with runs are made of the documents' numbers."""
     n = lambda k: (F.col("doc_id") % k).cast("int")
     text = F.concat(F.lit("a"), F.repeat(F.lit(" "), n(23)), F.lit("b"), F.repeat(F.lit("\n"), n(19)), F.lit("c"), F.repeat(F.lit(" "), n(3)))
     docs = table(spark, sf_dir, "documents").select("doc_id", text_to_words(text).alias("w"))
@@ -701,17 +702,18 @@ _SHARE = "least((step - 100) / 900.0, 1.0)"
 
 
 @query(
-    f"""WITH s AS (SELECT unnest(range(1200)) AS step) SELECT step, round(CASE WHEN step <= 100 THEN 0.001 * step / 100.0 WHEN step > 1000 THEN 0.0001 ELSE 0.0001 + 0.0009 * (1 - {_SHARE}) END, 9) AS linear,
+    f"""WITH s AS (SELECT event_id AS step FROM events) SELECT step, round(CASE WHEN step <= 100 THEN 0.001 * step / 100.0 WHEN step > 1000 THEN 0.0001 ELSE 0.0001 + 0.0009 * (1 - {_SHARE}) END, 9) AS linear,
 round(CASE WHEN step <= 100 THEN 0.001 * step / 100.0 WHEN step > 1000 THEN 0.0001 ELSE 0.0001 + 0.0009 * 0.5 * (cos(pi() * {_SHARE}) + 1) END, 9) AS cosine, round(CASE WHEN step <= 100 THEN 0.001 * step / 100.0 ELSE 0.001 END, 9) AS constant FROM s"""
 )
 def learning_rates(spark, sf_dir):
     rate = lambda style: F.round(metrics.learning_rate(F.col("step"), ScheduleConfig(1e-3, 1e-4, 100, 1000, style)), 9).alias(style)
-    return spark.range(1200).withColumnRenamed("id", "step").select("step", rate("linear"), rate("cosine"), rate("constant"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("step")).select("step", rate("linear"), rate("cosine"), rate("constant"))
 
 
-@query("SELECT pos, i, round(cos(pos / pow(10000.0, 2.0 * i / 64)), 9) AS cos, round(sin(pos / pow(10000.0, 2.0 * i / 64)), 9) AS sin FROM (SELECT unnest(range(512)) AS pos), (SELECT unnest(range(32))::INTEGER AS i)")
+@query("SELECT pos, i, round(cos(pos / pow(10000.0, 2.0 * i / 64)), 9) AS cos, round(sin(pos / pow(10000.0, 2.0 * i / 64)), 9) AS sin FROM (SELECT DISTINCT n_chars AS pos FROM documents), (SELECT unnest(range(32))::INTEGER AS i)")
 def rotary_table(spark, sf_dir):
-    out = metrics.rotary_table(spark.range(512).withColumnRenamed("id", "pos"), 64)
+    """Positions are the lengths that documents have."""
+    out = metrics.rotary_table(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("pos")).distinct(), 64)
     return out.select("pos", "i", F.round("cos", 9).alias("cos"), F.round("sin", 9).alias("sin"))
 
 
@@ -784,24 +786,51 @@ def sampler_batches(spark, sf_dir):
     return sampling.dealt(order, docs.count(), SAMPLE).join(order, "slot").select("slot", "idx", "rank", "batch", "place")
 
 
+#: w: a step of the packer for each row, over all shards at once: the next document, a closed record, or a chunk
+_PACKER = """WITH RECURSIVE d AS (SELECT doc_id, text, octet_length(encode(text))::BIGINT AS size, (sum(octet_length(encode(text))) OVER (ORDER BY doc_id) - octet_length(encode(text)))::BIGINT AS start FROM documents),
+p AS (SELECT doc_id, ch, sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY p) - octet_length(encode(ch)) AS k FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(len(string_split(text, '')))) AS p FROM documents)),
+g AS (SELECT doc_id, list(k::BIGINT ORDER BY k) AS seps FROM p WHERE ch IN (' ', '.', ',', '!', '?') GROUP BY doc_id),
+f AS MATERIALIZED (SELECT lpad((start // {shard})::VARCHAR, 12, '0') AS shard, row_number() OVER (PARTITION BY start // {shard} ORDER BY d.doc_id) AS i, d.doc_id, size, start, coalesce(seps, []) AS seps FROM d LEFT JOIN g ON g.doc_id = d.doc_id),
+w(shard, i, pos, room, used, rec, n, e_n, e_doc, e_offset, e_length) AS (SELECT DISTINCT shard, 1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, -1, 0, NULL::INTEGER, NULL::BIGINT, NULL::BIGINT, NULL::INTEGER FROM f
+UNION ALL SELECT shard, CASE WHEN ends THEN i + 1 ELSE i END, CASE WHEN ends THEN 0 WHEN cut > 0 THEN pos + cut ELSE pos END,
+  CASE WHEN ends THEN room WHEN cut <= 0 OR most = room OR total >= {maximum} - {tolerance} THEN 0 ELSE {maximum} - total END, CASE WHEN ends THEN used WHEN cut <= 0 THEN 0 ELSE total END,
+  CASE WHEN emits AND room = 0 THEN rec + 1 ELSE rec END, CASE WHEN NOT emits THEN n WHEN room = 0 THEN 1 ELSE n + 1 END,
+  CASE WHEN NOT emits THEN NULL WHEN room = 0 THEN 0 ELSE n END, CASE WHEN emits THEN doc_id END, CASE WHEN emits THEN start + pos END, CASE WHEN emits THEN cut END::INTEGER
+  FROM (SELECT *, NOT going OR cut <= 0 AND room = 0 AS ends, going AND cut > 0 AS emits, CASE WHEN room = 0 THEN 0 ELSE used END + cut AS total
+    FROM (SELECT *, coalesce(list_last(list_filter(seps, lambda k: k < pos + most)), -1) - pos AS cut
+      FROM (SELECT w.shard, w.i, pos, room, used, rec, n, f.doc_id, f.start, f.seps, size >= {tolerance} AND size - pos > {tolerance} AS going, least(CASE WHEN room = 0 THEN {maximum} ELSE room END, size - pos) AS most FROM w JOIN f ON f.shard = w.shard AND f.i = w.i)))),
+every AS (SELECT shard, rec AS record_id, e_n AS chunk_no, e_doc AS doc_id, e_offset AS "offset", e_length AS length FROM w WHERE e_doc IS NOT NULL),
+closed AS (SELECT shard, max(record_id) AS last FROM every GROUP BY shard),
+chunks AS (SELECT every.* FROM every JOIN closed USING (shard) WHERE record_id < last)""".format(shard=SHARD_BYTES, maximum=PackConfig().max_bytes, tolerance=PackConfig().tolerance_bytes)
+_CHUNK_TEXTS = "SELECT c.*, t.text FROM chunks c JOIN (SELECT shard, record_id, chunk_no, string_agg(ch, '' ORDER BY k) AS text FROM chunks JOIN f USING (shard, doc_id) JOIN p ON p.doc_id = chunks.doc_id AND k >= \"offset\" - start AND k < \"offset\" - start + length GROUP BY ALL) t USING (shard, record_id, chunk_no)"
+
+
 def _packed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
     docs = pack.cut_shards(corpus.with_offsets(docs, "doc_id", F.octet_length("payload")), SHARD_BYTES)
     return pack.packed_records(docs), docs
 
 
-@query()
+@query(f"{_PACKER} SELECT * FROM chunks")
 def packed_records(spark, sf_dir):
     return _packed(spark, sf_dir)[0]
 
 
-@query()
+@query(f"{_PACKER}, v AS (SELECT shard, max(record_id) AS seen FROM chunks GROUP BY shard) SELECT t.* FROM ({_CHUNK_TEXTS}) t JOIN v USING (shard) WHERE record_id < seen")
 def packed_record_texts(spark, sf_dir):
     chunks, docs = _packed(spark, sf_dir)
     return pack.record_texts(pack.visible_records(chunks), docs)
 
 
-@query()
+@query(
+    f"""{_PACKER}, t AS MATERIALIZED (SELECT shard || '/' || record_id AS record, chunk_no, text FROM ({_CHUNK_TEXTS})),
+z AS (SELECT record, chunk_no, text, len(w) AS n FROM ({sql.words("t", "record, chunk_no, text", f"regexp_replace(text, '^[{sql.SPACES}]+', '')")})),
+r AS (SELECT record, count(*) AS chunks, sum(n) AS positions FROM z GROUP BY record),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('42_' || record), record) - 1 AS slot, * FROM r),
+walk(sample, slot, part, done, more, steps) AS (SELECT slot, slot, 0::BIGINT, 0::HUGEINT, positions, chunks FROM o
+UNION ALL SELECT k.sample, o.slot, k.part + k.steps, k.done + k.more, o.positions, o.chunks FROM walk k JOIN o ON o.slot = (k.sample + k.part + k.steps) % (SELECT count(*) FROM o) WHERE k.done + k.more < 4096)
+SELECT sample, part + chunk_no AS part, md5(z.text || '{EOT}') AS text_md5 FROM walk JOIN o USING (slot) JOIN z ON z.record = o.record"""
+)
 def pretraining_samples(spark, sf_dir):
     chunks, docs = _packed(spark, sf_dir)
     texts = pack.record_texts(chunks, docs).withColumn("record", F.concat_ws("/", "shard", "record_id"))
