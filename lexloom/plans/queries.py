@@ -254,12 +254,13 @@ def materialised_once(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir):
-    """Shards of each source in two generations, taken in by a query of its own each: the second goes on where the first stopped."""
+    """Sixteen shards of each source, so that none holds most documents, in two generations, taken in by a query of its own each: the second
+    goes on where the first stopped."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    base, name = _new_folder(spark, "ingest"), F.regexp_extract("shard", "^[0-9]+-(.*)$", 1)
+    base, name = _new_folder(spark, "ingest"), F.regexp_extract("shard", "^[0-9]+-(.*)-[0-9]+$", 1)
     expected = docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("documents"))
     for part in range(2):
-        shards = docs.where(F.expr("doc_id div 40") % 2 == part).withColumn("shard", F.concat(F.lit(f"{part}-"), "source"))
+        shards = docs.where(F.expr("doc_id div 40") % 2 == part).withColumn("shard", F.concat(F.lit(f"{part}-"), "source", F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.lit(16))))
         shard_files.write(shards, f"{base}/shards", ["doc_id"], shard_col="shard")
         corpus_, status = ingest.ingest(spark, f"{base}/shards", f"{base}/out", name, expected)
     return corpus_, status
