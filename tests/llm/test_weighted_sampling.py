@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lexloom.llm import weighted_sampling as ws
 
 
@@ -44,3 +46,23 @@ def test_one_row_follows_itself(spark, make_docs):
 def test_native_only(spark, make_docs):
     plan = ws.fingerprint_edits(make_docs(spark, ["a b", "c"]), samples=8)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_terms_that_go_early_change_nothing(spark, make_docs):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.01)), 900)}" for _ in range(rng.choice([1, 5, 60, 2000]))) for _ in range(40)] + ["", " a  b "]
+    rows = make_docs(spark, texts).withColumn("e", F.reverse("text"))
+    made = lambda room, samples: {r.doc_id: (r.print0, r.print1) for r in ws.signatures(rows, ["doc_id"], ["text", "e"], samples, room).collect()}
+    assert made(ws.ROOM, 16) == made(1e12, 16)
+    few = made(0.5, 7)  # samples that no term is near enough for stay in their places
+    every = made(1e12, 7)
+    assert any(0 in a for a, _ in few.values()) and all(x in (0, y) for k, v in few.items() for a, b in zip(v, every[k]) for x, y in zip(a or [], b or [], strict=True))
+
+
+def test_a_task_holds_one_range(spark, make_docs, monkeypatch):
+    """Ranges hashed onto tasks meet in some of them, in more the more there are."""
+    seen, made = [], ws.signatures
+    monkeypatch.setattr(ws, "signatures", lambda rows, *a: seen.append(rows) or made(rows, *a))
+    ws.fingerprint_edits(make_docs(spark, [f"a{i} b" for i in range(400)]), samples=4)
+    ranges = seen[0].groupBy(F.spark_partition_id()).agg(F.count_distinct("part").alias("n")).collect()
+    assert len(ranges) > 4 and {r.n for r in ranges} == {1}
