@@ -244,12 +244,12 @@ def repeated_spans(docs: DataFrame, config: SuffixDedupConfig = SuffixDedupConfi
     id_type = slim.schema["doc_id"].dataType.simpleString()
     outlined = written(slim.mapInArrow(outline(winnow), f"doc_id {id_type}, digest binary, n_words bigint, anchors array<bigint>"), "outline")
 
-    some = outlined.where(F.size("anchors") > 0)
-    each = some.select("digest", F.explode("anchors").alias("anchor"))
-    # the suffix of a text that occurs twice is no neighbour of its own copy: digests count once, repeats in a text do not
-    texts_of = each.groupBy("digest", "anchor").agg(F.count("*").alias("n"))
+    # both joins below read the same copies: said here that digests are not null, for else one of them is read with that filter
+    some = outlined.where((F.size("anchors") > 0) & F.col("digest").isNotNull())
     copies = some.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    inside = texts_of.join(copies.select("digest", "copies"), "digest").select("digest", "anchor", F.ceil(F.col("n") / F.col("copies")).alias("n"))
+    # a text that occurs twice is no neighbour of its own copy, repeats in a text are: one copy's anchors, shuffled as a list
+    each = some.groupBy("digest").agg(F.first("anchors").alias("anchors")).select("digest", F.explode("anchors").alias("anchor"))
+    inside = each.groupBy("digest", "anchor").agg(F.count("*").alias("n"))
     recurring = inside.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     of_text = inside.select("digest", "anchor").join(recurring, "anchor").groupBy("digest").agg(F.collect_list(F.struct("anchor", "parts")).alias("anchors"))
     wanted = of_text.join(copies, "digest")
