@@ -127,3 +127,13 @@ def test_base_spans_stay_and_mask(spark, make_docs):
     masked = pii.mask(docs, queries.pii_model())
     assert masked.columns == docs.columns
     assert {r.doc_id: r.text for r in masked.collect()} == {0: "mail <email> or <phone> today", 1: None, 2: "", 3: "nothing"}
+
+
+def test_best_before_takes_the_first_best_tag():
+    rng = np.random.RandomState(3)
+    trans = rng.randint(-3, 3, (9, 9)).astype(np.float32)  # whole numbers: many ties
+    for n in (1, pii.FEW - 1, pii.FEW, 200):
+        best = rng.randint(-3, 3, (n, 9)).astype(np.float32)
+        score = best[:, :, None] + trans
+        top, from_ = pii.Decoder.best_before(best, trans)
+        assert (top == score.max(axis=1)).all() and (from_ == score.argmax(axis=1)).all()
