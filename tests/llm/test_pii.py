@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lexloom.llm import pii, pii_labels, queries
 
 PATTERNS = {
